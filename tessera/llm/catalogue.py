@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import leakage, mixing, percentiles, truncation
+from tessera.llm import leakage, mixing, nearcopies, percentiles, truncation
 from tessera.operators.versions import latest
 
 
@@ -36,6 +36,29 @@ def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return percentiles.percentiles(whole, ["genotype", "coverage"], {"p25": 0.25, "p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
+FIELDS = ["read", "sequence"]
+
+
+def _sequences(spark: SparkSession, sf: str) -> DataFrame:
+    reads = _table(spark, sf, "alignments").where("seq is not null and seq <> '*'").select(F.lit(0).alias("field"), F.col("read_id").alias("id"), F.upper("seq").alias("seq"))
+    seqs = _table(spark, sf, "hash_seqs").where("hash_sequence is not null").select(F.lit(1).alias("field"), F.col("seq_id").alias("id"), F.upper("hash_sequence").alias("seq"))
+    return reads.unionByName(seqs)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("field_name", F.element_at(F.array(*[F.lit(x) for x in FIELDS]), F.col("field") + 1))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of reads and of unique sequences sharing half of their 11-letter pieces."""
+    return _named(nearcopies.similar_ids(_sequences(spark, sf))).select("field_name", "id_low", "id_high")
+
+
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per read and unique sequence with its class and number of links."""
+    return _named(nearcopies.classes(_sequences(spark, sf))).select("field_name", "id", "class_id", "n_links")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents holding 12 or more consecutive words of a test item."""
     return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
@@ -79,11 +102,23 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found, "p3_percentiles": p3_percentiles,
+    "p4_found": p4_found, "p4_classes": p4_classes,
     "p7_found": p7_found, "p7_items": p7_items,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix,
     "p9_found": p9_found, "p9_rates": p9_rates,
 }
 
+_P4 = """
+with r as (select distinct 'read' f, read_id id, upper(seq) s from alignments where seq is not null and seq <> '*' and read_id is not null
+union select distinct 'sequence', seq_id, upper(hash_sequence) from hash_seqs where hash_sequence is not null and seq_id is not null),
+u as (select f, s, row_number() over () u from (select distinct f, s from r where length(s) >= 11)),
+t as (select distinct f, u, s[k:k + 10] t from (select f, u, s, unnest(range(1, length(s) - 9)) k from u)),
+n as (select u, count(*) n from t group by 1),
+c as (select a.u a, b.u b, count(*) c from t a join t b on a.t = b.t and a.f = b.f and a.u < b.u group by 1, 2),
+p as (select a, b from c join n x on x.u = a join n y on y.u = b where c >= 0.5 * (x.n + y.n - c)),
+m as (select u, r.f, id from r join u on r.f = u.f and r.s = u.s),
+o as (select x.f, x.id i, y.id j from p join m x on x.u = a join m y on y.u = b union select x.f, x.id, y.id from m x join m y on x.u = y.u)
+"""
 _P7 = """
 with i as (select item_id, suite, string_split_regex(trim(regexp_replace(lower(item_text), '[^a-z0-9]+', ' ', 'g')), ' ') w from eval_items),
 r as (select distinct item_id, suite, array_to_string(w[k:k + 11], ' ') g from (select item_id, suite, w, unnest(range(1, greatest(len(w) - 10, 1))) k from i)),
@@ -92,6 +127,7 @@ x as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') g from (select d
 f as (select distinct doc_id, item_id, suite from x join r using (g))
 """
 ORACLE = {
+    "p4_found": _P4 + "select distinct f field_name, least(i, j) id_low, greatest(i, j) id_high from o where i <> j",
     "p7_found": _P7 + "select doc_id, item_id from f",
     "p7_items": _P7 + "select item_id, suite, count(*) n_docs from f group by 1, 2",
     # any measure of size gives the same sources; here characters stand for tokens
