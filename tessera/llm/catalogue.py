@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import leakage, mixing, nearcopies, percentiles, truncation
+from tessera.llm import leakage, mixing, nearcopies, percentiles, similarity, truncation
 from tessera.operators.versions import latest
 
 
@@ -12,6 +12,21 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _observations(spark: SparkSession, sf: str):
+    return similarity.density_peaks(_table(spark, sf, "kmodes_obs"), "obs_id", "dmat", radius=10)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every observation with the least observation of its cluster."""
+    found = similarity.labels(*_observations(spark, sf)).where("id <> first_id")
+    return found.select(F.col("first_id").alias("first_obs_id"), F.col("id").alias("obs_id"))
+
+
+def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters with their size and most typical members."""
+    return similarity.describe(*_observations(spark, sf)).select(F.col("first_id").alias("first_obs_id"), F.col("n").alias("n_obs"), "typical")
+
+
 def _coverages(spark: SparkSession, sf: str) -> DataFrame:
     """``genotype, coverage, value`` of the valid versions, measured values only."""
     g = latest(_table(spark, sf, "gatk_info"), ["info_id"], "loaded_at", ["genotype", "cova", "covb"])
@@ -101,6 +116,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_clusters": p2_clusters,
     "p3_found": p3_found, "p3_percentiles": p3_percentiles,
     "p4_found": p4_found, "p4_classes": p4_classes,
     "p7_found": p7_found, "p7_items": p7_items,
@@ -127,6 +143,11 @@ x as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') g from (select d
 f as (select distinct doc_id, item_id, suite from x join r using (g))
 """
 ORACLE = {
+    # clusters are cliques in this data, so the least similar observation names them
+    "p2_found": """
+with s as (select obs_id, list_transform(dmat, lambda x: coalesce(x, -1)) d from kmodes_obs),
+t as (select a.obs_id, min(b.obs_id) f from s a join s b on b.obs_id < a.obs_id and list_sum(list_transform(list_zip(a.d, b.d), lambda p: (p[1] >= 0 and p[2] >= 0 and p[1] <> p[2])::int)) <= 10 group by 1)
+select f first_obs_id, obs_id from t""",
     "p4_found": _P4 + "select distinct f field_name, least(i, j) id_low, greatest(i, j) id_high from o where i <> j",
     "p7_found": _P7 + "select doc_id, item_id from f",
     "p7_items": _P7 + "select item_id, suite, count(*) n_docs from f group by 1, 2",
