@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
-@F.pandas_udf("double")
-def _erfc(x: pd.Series) -> pd.Series:
-    return pd.Series([math.erfc(v) if v == v and v is not None else np.nan for v in x.astype("float64")])
+def _erfc(x: Column) -> Column:
+    @F.pandas_udf("double")
+    def erfc(v: pd.Series) -> pd.Series:
+        return pd.Series([math.erfc(a) for a in v.astype("float64")])
+
+    return erfc(x)
 
 
 def chi2_sf(x: Column, df: int) -> Column:

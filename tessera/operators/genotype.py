@@ -108,12 +108,12 @@ def genotype_likelihoods(p: DataFrame, keys: list[str]) -> DataFrame:
 
 def posteriors(lik: DataFrame) -> DataFrame:
     """Adds ``pp_00 .. pp_22`` under a uniform prior, shifted by the greatest likelihood."""
-    top = F.greatest(*[F.col(f"lp_{a}{b}") for a, b in GENOTYPES])
-    out = lik.withColumn("_t", top)
-    out = out.withColumns({f"_e{a}{b}": F.exp(F.col(f"lp_{a}{b}") - F.col("_t")) for a, b in GENOTYPES})
-    total = sum((F.col(f"_e{a}{b}") for a, b in GENOTYPES), F.lit(0.0))
-    out = out.withColumn("_s", total).withColumns({f"pp_{a}{b}": F.col(f"_e{a}{b}") / F.col("_s") for a, b in GENOTYPES})
-    return out.drop("_t", "_s", *[f"_e{a}{b}" for a, b in GENOTYPES])
+    # arrays keep the generated code of the nine-fold expressions small
+    lp = F.array(*[F.col(f"lp_{a}{b}") for a, b in GENOTYPES])
+    e = F.transform(lp, lambda x: F.exp(x - F.array_max(F.col("_l"))))
+    out = lik.withColumn("_l", lp).withColumn("_e", e)
+    out = out.withColumn("_p", F.transform("_e", lambda x: x / F.aggregate(F.col("_e"), F.lit(0.0), lambda s, y: s + y)))
+    return out.withColumns({f"pp_{a}{b}": F.col("_p")[i] for i, (a, b) in enumerate(GENOTYPES)}).drop("_l", "_e", "_p")
 
 
 def marginals(pp: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All core queries and their SQL."""
 
-from tessera.plans import dataset_queries, genotype_queries, read_queries
+from tessera.plans import cohort_queries, dataset_queries, genotype_queries, read_queries
 
-QUERIES = {**dataset_queries.QUERIES, **genotype_queries.QUERIES, **read_queries.QUERIES}
-ORACLE = {**dataset_queries.ORACLE, **genotype_queries.ORACLE, **read_queries.ORACLE}
+QUERIES = {**dataset_queries.QUERIES, **genotype_queries.QUERIES, **read_queries.QUERIES, **cohort_queries.QUERIES}
+ORACLE = {**dataset_queries.ORACLE, **genotype_queries.ORACLE, **read_queries.ORACLE, **cohort_queries.ORACLE}

@@ -21,7 +21,7 @@ def stream_table(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Rows per key and time window; rows later than the watermark are left out."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *keys).agg(F.count("*").alias("n_rows")).select(F.col("w.start").alias("window_start"), *keys, "n_rows")
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window).alias("w"), *keys).agg(F.count("*").alias("n_rows")).select(F.col("w.start").alias("window_start"), *keys, "n_rows")
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
