@@ -14,11 +14,13 @@ tokens then share a rare token, two normal tokens of a cell or three frequent
 tokens of a cell, because more common tokens exist than the cells can hold
 apart.  Splitting in one fixed order makes the cells of any two records nested,
 so both index the shared combination: no similar pair is missed.  Candidates
-are verified exactly on the whole sequences.
+that share too few combinations for their sizes are discarded by count, the
+others verified exactly on the whole sequences.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,8 +33,10 @@ from tessera.operators.rejects import text_buffer
 from tessera.storage import stage
 
 SLOTS = 1 << 18  # hashed token counts: a fixed size, whatever the collection
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 RARE, FREQUENT = 0.02, 64.0  # class limits in mean counts of a slot
+ROWS = 16_384  # records indexed at a time; row numbers take 16 bits
+SPARE = 3  # combinations similar records share beyond the first, for the count filter
 PER_BUCKET = 6_000_000  # combinations one bucket should hold
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -212,17 +216,43 @@ def token_table(uniq: DataFrame, k: int) -> tuple[dict[int, np.ndarray], dict[in
     return classes, least, all_
 
 
+def _pack(low: np.ndarray, who: np.ndarray, high_bits: int) -> bytes:
+    """A sorted posting list: how many signatures have each high part, then low parts and row numbers.
+
+    The first byte is the width of the counts.
+    """
+    counts = np.bincount(low >> np.uint32(16), minlength=1 << high_bits)
+    width = 1 if counts.max() < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes() + low.astype(np.uint16).tobytes() + who.astype(np.uint16).tobytes()
+
+
+def _unpack(blob: bytes, high_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    at = 1 + (blob[0] << high_bits)
+    counts = np.frombuffer(blob[1:at], f"<u{blob[0]}")
+    m = (len(blob) - at) // 4
+    high = np.repeat(np.arange(1 << high_bits, dtype=np.uint32), counts)
+    body = np.frombuffer(blob[at:], np.uint16)
+    return (high << np.uint32(16)) | body[:m], body[m:]
+
+
 def _candidates(uniq: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Distinct ``a, b`` record pairs that share a combination (a < b)."""
+    """Distinct ``a, b`` record pairs (a < b) that share as many combinations as similar ones must.
+
+    With ``c`` common tokens two records share at least ``c`` less the cost of
+    the finer one's cells; the pair's own least overlap less that cost is
+    therefore a lower bound that discards partly overlapping pairs unseen.
+    """
     classes, least, totals = token_table(uniq, k)
     buckets = max(8, -(-sum(totals.values()) // PER_BUCKET))
+    high_bits = max(4, min(16, int(np.log2(ROWS * 64 / buckets))))
     shared = uniq.sparkSession.sparkContext.broadcast((classes, least))
+    share = threshold / (1 + threshold)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, least = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 16_384):
-                b = whole.slice(at, 16_384)
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
                 field = b.column(0).to_numpy(zero_copy_only=False)
                 uid = b.column(1).to_numpy(zero_copy_only=False)
                 h, offs = tokens(*text_buffer(b.column(2)), k, field)
@@ -233,40 +263,46 @@ def _candidates(uniq: DataFrame, k: int, threshold: float) -> DataFrame:
                 for f in np.unique(field):
                     cls[owner == f] = classes[f][h[owner == f] >> np.uint32(14)]
                     short[field == f] = least[f]
-                sig, who = combinations(h, offs, cls, least_overlap(n, short, threshold))
-                sig ^= np.where(field[who] == 0, np.uint64(0), np.uint64(0x5851F42D4C957F2D) * field[who].astype(np.uint64))
+                budget = np.maximum(least_overlap(n, short, threshold) - 1 - SPARE, 0)
+                sig, who = combinations(h, offs, cls, budget + 1)
+                sig ^= np.uint64(0x5851F42D4C957F2D) * field[who].astype(np.uint64)
                 bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
-                low = (sig & np.uint64(0xFFFFFFFF)) | (bucket << np.uint64(32))
+                low = (bucket << np.uint64(32)) | ((sig & np.uint64(0xFFFFFFFF)) >> np.uint64(16 - high_bits))
                 order = np.argsort(low)
-                low, who = low[order], who[order].astype(np.uint16)
+                low, who = low[order], who[order]
                 edges = np.searchsorted(low, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                runs = _uids(uid)
                 low = low.astype(np.uint32)
                 full = np.flatnonzero(np.diff(edges))
-                # high and low halves apart: sorted high halves compress to almost nothing
-                blobs = [(low[x:y] >> np.uint32(16)).astype(np.uint16).tobytes() + low[x:y].astype(np.uint16).tobytes() + who[x:y].tobytes() for x, y in zip(edges[full], edges[full + 1])]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.array([runs] * len(full), pa.binary())], names=["bucket", "blob", "runs"])
+                blobs = [_pack(low[x:y], who[x:y], high_bits) for x, y in zip(edges[full], edges[full + 1])]
+                runs, sizes = _uids(uid), np.stack([n, budget]).astype(np.int32).tobytes()
+                m = len(full)
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.array([runs] * m, pa.binary()), pa.array([zlib.compress(sizes, 1)] * m, pa.binary())], names=["bucket", "blob", "runs", "sizes"])
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, who = [], []
-        for blob, runs in zip(pdf["blob"], pdf["runs"]):
-            m = len(blob) // 6
-            a = np.frombuffer(blob, np.uint16)
-            sig.append((a[:m].astype(np.uint32) << np.uint32(16)) | a[m : 2 * m])
-            who.append(_from_runs(runs)[a[2 * m :]])
-        sig, who = np.concatenate(sig), np.concatenate(who)
+        sig, who, n, budget = [], [], [], []
+        for blob, runs, sizes in zip(pdf["blob"], pdf["runs"], pdf["sizes"]):
+            low, row = _unpack(blob, high_bits)
+            nb = np.frombuffer(zlib.decompress(sizes), np.int32).reshape(2, -1)
+            sig.append(low), who.append(_from_runs(runs)[row]), n.append(nb[0][row]), budget.append(nb[1][row])
+        sig, who, n, budget = (np.concatenate(v) for v in (sig, who, n, budget))
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         same = sig[1:] == sig[:-1]
         inside = np.zeros(len(sig), bool)
         inside[1:] |= same
         inside[:-1] |= same
-        sig, who = sig[inside], who[order][inside]
-        names, who = np.unique(who, return_inverse=True)
-        found = np.zeros(0, np.int64)
-        live, d = np.arange(len(sig)), 1
-        held: list[np.ndarray] = []
-        size = 0
+        keep = order[inside]
+        sig = sig[inside]
+        names, first, who = np.unique(who[keep], return_index=True, return_inverse=True)
+        n, budget = n[keep][first], budget[keep][first]
+        found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        live, d, held, size = np.arange(len(sig)), 1, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            code, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            both, at = np.unique(np.concatenate([found, code]), return_inverse=True)
+            return both, np.bincount(at, weights=np.concatenate([times, count]), minlength=len(both)).astype(np.int64)
+
         while len(live):  # partners at distance d within a posting list
             live = live[live + d < len(sig)]
             live = live[sig[live + d] == sig[live]]
@@ -275,14 +311,17 @@ def _candidates(uniq: DataFrame, k: int, threshold: float) -> DataFrame:
             held.append(code[x != y])
             size += len(code)
             if size > 4_000_000:
-                found, held, size = np.unique(np.concatenate([found, *held])), [], 0
+                (found, times), held, size = merged(), [], 0
             d += 1
-        found = np.unique(np.concatenate([found, *held]))
-        x, y = names[found // max(len(names), 1)], names[found % max(len(names), 1)]
-        return pd.DataFrame({"a": x, "b": y})
-
-    blobs = uniq.mapInArrow(index, "bucket int, blob binary, runs binary")
-    return blobs.groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint").distinct()
+        found, times = merged()
+        x, y = found // max(len(names), 1), found % max(len(names), 1)
+        need = np.ceil(share * (n[x] + n[y]) - 1e-9) - np.maximum(budget[x], budget[y])
+        fits = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+        return pd.DataFrame({"a": names[x], "b": names[y], "s": times.astype(np.int32), "need": np.maximum(need, 1).astype(np.int32)})[fits]
+
+    blobs = uniq.mapInArrow(index, "bucket int, blob binary, runs binary, sizes binary")
+    found = blobs.groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint, s int, need int")
+    return found.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("need").alias("need")).where("s >= need").select("a", "b")
 
 
 def _verify(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
