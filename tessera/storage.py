@@ -43,7 +43,7 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
     """Write ``df`` once to shared storage and return a DataFrame reading it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
