@@ -18,22 +18,32 @@ def _erfc(x: Column) -> Column:
 
 def chi2_sf(x: Column, df: int) -> Column:
     """Upper tail of chi-square with 1 or 2 degrees of freedom; 1 at or below 0, null for null."""
-    x = F.greatest(x.cast("double"), F.lit(0.0))
+    v = F.greatest(x.cast("double"), F.lit(0.0))  # greatest skips nulls, hence the test on x
     if df == 2:
-        return F.exp(-x / 2)
+        return F.when(x.isNotNull(), F.exp(-v / 2))
     if df == 1:
-        return F.when(x.isNotNull(), _erfc(F.sqrt(F.coalesce(x, F.lit(0.0)) / 2)))
+        return F.when(x.isNotNull(), _erfc(F.sqrt(v / 2)))
     raise ValueError("1 or 2 degrees of freedom")
 
 
-def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:
-    """``low, high`` of the continuity-corrected Wilson interval; null for n = 0."""
+# Fixed value: the normal quantile of a 95 percent interval.
+Z95 = 1.959963984540054
+
+
+def wilson(successes: Column, n: Column, z: float = Z95, one_root: bool = True) -> Column:
+    """``low, high`` of the continuity-corrected Wilson interval; null for n = 0.
+
+    ``one_root`` uses the lower bound's root for both bounds, as the known
+    results do; without it the upper bound has its own.
+    """
     s, n = successes.cast("double"), n.cast("double")
     p = s / F.when(n > 0, n)
     d = 2 * (n + z * z)
-    low = (2 * n * p + z * z - (z * F.sqrt(F.greatest(z * z - 1 / n + 4 * n * p * (1 - p) + (4 * p - 2), F.lit(0.0))) + 1)) / d
-    high = (2 * n * p + z * z + (z * F.sqrt(F.greatest(z * z - 1 / n + 4 * n * p * (1 - p) - (4 * p - 2), F.lit(0.0))) + 1)) / d
-    return F.when(n > 0, F.struct(F.when(s <= 0, 0.0).otherwise(F.greatest(low, F.lit(0.0))).alias("low"), F.when(s >= n, 1.0).otherwise(F.least(high, F.lit(1.0))).alias("high")))
+    inner = z * z - 1 / n + 4 * n * p * (1 - p)
+    root = lambda c: z * F.sqrt(F.greatest(inner + c, F.lit(0.0))) + 1
+    low = (2 * n * p + z * z - root(4 * p - 2)) / d
+    high = (2 * n * p + z * z + root(4 * p - 2 if one_root else 2 - 4 * p)) / d
+    return F.when(n > 0, F.struct(F.greatest(low, F.lit(0.0)).alias("low"), F.least(high, F.lit(1.0)).alias("high")))
 
 
 def aic(ll: Column, k: Column) -> Column:

@@ -103,7 +103,7 @@ def haplotype_counts(bases: DataFrame, keys: list[str], read: str, order: str) -
     return h.groupBy(*keys, "haplotype").agg(F.count("*").alias("n_reads"))
 
 
-def haplotype_balance(counts: DataFrame, keys: list[str], z: float = 1.96) -> DataFrame:
+def haplotype_balance(counts: DataFrame, keys: list[str], z: float = stats.Z95) -> DataFrame:
     """Wilson interval of the larger of the two most frequent haplotypes.
 
     ``fails`` is true if one half lies outside the interval.
@@ -146,6 +146,86 @@ def haplotype_number(df: DataFrame) -> DataFrame:
     return out.withColumn("p_four", stats.chi2_sf(F.col("lrt_four"), 2)).withColumn("p_three", stats.chi2_sf(F.col("lrt_three"), 1)).withColumn("p_two", stats.chi2_sf(F.col("lrt_two"), 1))
 
 
+def haplotype_hypothesis(df: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Adds ``state`` and ``p_equal``: how many haplotypes the four largest clusters stand for.
+
+    ``four`` if equal pairs are not rejected (with ``p_equal`` testing equal
+    subgenomes), else ``three_a`` (n2 = n3), else ``three_b`` (n1 = n2), else
+    ``two``.  Absent clusters have size 0; fewer than four or three clusters
+    reject the larger hypotheses.
+    """
+    n = [F.col(f"n{i}").cast("double") for i in range(1, 5)]
+    clamp = lambda v: F.least(F.greatest(v, F.lit(0.01)), F.lit(100.0))
+    ratio = lambda a, b: clamp(F.when(b > 0, a / F.when(b > 0, b)).otherwise(100.0))
+
+    def free(k: int):
+        return sum((stats.nlogn(x) for x in n[:k]), F.lit(0.0)) - stats.nlogn(sum(n[:k], F.lit(0.0)))
+
+    def four(w):
+        return (n[0] + n[1]) * F.ln(w) + (n[0] + n[1] + n[2] + n[3]) * F.ln(0.5 / (1 + w))
+
+    def three(single, x, y, w):
+        return single * F.ln(w) + (x + y) * F.ln(F.lit(0.5)) - (single + x + y) * F.ln(1 + w)
+
+    out = df.withColumns({"_w4": ratio(n[0] + n[1], n[2] + n[3]), "_wa": ratio(n[0], n[1] + n[2]), "_wb": ratio(n[2], n[0] + n[1])})
+    out = out.withColumns({
+        "_p4": F.when(n[3] > 0, stats.chi2_sf(2 * (free(4) - four(F.col("_w4"))), 2)).otherwise(0.0),
+        "_pe": stats.chi2_sf(2 * (four(F.col("_w4")) - four(F.lit(1.0))), 1),
+        "_pa": F.when(n[2] > 0, stats.chi2_sf(2 * (free(3) - three(n[0], n[1], n[2], F.col("_wa"))), 1)).otherwise(0.0),
+        "_pb": F.when(n[2] > 0, stats.chi2_sf(2 * (free(3) - three(n[2], n[1], n[0], F.col("_wb"))), 1)).otherwise(0.0),
+    })
+    state = F.when(F.col("_p4") >= alpha, "four").when(F.col("_pa") >= alpha, "three_a").when(F.col("_pb") >= alpha, "three_b").otherwise("two")
+    return out.withColumn("state", state).withColumn("p_equal", F.when(F.col("state") == "four", F.col("_pe"))).drop("_w4", "_wa", "_wb", "_p4", "_pe", "_pa", "_pb")
+
+
+# Each hypothesis as two groups of clusters (by size rank) that must be pure and of opposite subgenomes.
+_SPLITS = [((1, 2), (3, 4)), ((1, 3), (2, 4)), ((1, 4), (2, 3))]
+_PAIRS = [((a,), (b,)) for a in range(1, 5) for b in range(a + 1, 5)]
+_TRIPLES = [(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)]
+
+
+def purity_decision(df: DataFrame, alpha: float = 0.05, misalignment: float = 0.3) -> DataFrame:
+    """Adds ``decision`` and ``kept``: the clusters (size ranks) that are pure enough to genotype.
+
+    ``df`` has cluster sizes ``n1..n4``, their expected reads of A ``a1..a4``,
+    and ``state, p_equal`` of :func:`haplotype_hypothesis`.  A group of clusters
+    is pure if its share of A is at least ``0.5 - misalignment`` away from one
+    half.  Hypotheses are tried in order; ``refuse`` keeps nothing.
+    """
+    edge = 0.5 - misalignment
+
+    def off(group: tuple[int, ...]):
+        n = sum((F.col(f"n{i}") for i in group), F.lit(0))
+        return F.when(n > 0, sum((F.col(f"a{i}") for i in group), F.lit(0.0)) / F.when(n > 0, n) - 0.5).otherwise(0.0)
+
+    pure = lambda g: F.abs(off(g)) >= edge
+    opposite = lambda x, y: pure(x) & pure(y) & ((off(x) > 0) != (off(y) > 0))
+
+    def triple(t: tuple[int, ...]):
+        signs = [off((i,)) > 0 for i in t]
+        rest = next(i for i in range(1, 5) if i not in t)
+        return pure((t[0],)) & pure((t[1],)) & pure((t[2],)) & ~pure((rest,)) & ((signs[0] != signs[1]) | (signs[0] != signs[2]))
+
+    unequal = F.coalesce(F.col("p_equal") < alpha, F.lit(False))
+    two = [(opposite(*p), "two", p[0] + p[1]) for p in _PAIRS]
+    three_b = [(opposite((1, 2), (3,)), "three_b", (1, 2, 3)), two[0]]
+    rules = {
+        "four_unequal": [(opposite(*_SPLITS[0]), "four", (1, 2, 3, 4)), *three_b],
+        "four_equal": [(opposite(*_SPLITS[0]) | opposite(*_SPLITS[1]) | opposite(*_SPLITS[2]), "four", (1, 2, 3, 4)), *[(triple(t), "three_a", t) for t in _TRIPLES], *two],
+        "three_a": [(opposite((1,), (2, 3)), "three_a", (1, 2, 3)), two[0], two[1]],
+        "three_b": three_b,
+        "two": [two[0]],
+    }
+    state = F.when(F.col("state") != "four", F.col("state")).when(unequal, "four_unequal").otherwise("four_equal")
+    value = lambda name, kept: F.struct(F.lit(name).alias("decision"), F.array(*[F.lit(i) for i in kept]).cast("array<int>").alias("kept"))
+    out = None
+    for key, tests in rules.items():
+        for test, name, kept in tests:
+            cond = (F.col("_state") == key) & test
+            out = F.when(cond, value(name, kept)) if out is None else out.when(cond, value(name, kept))
+    return df.withColumn("_state", state).withColumn("_d", out.otherwise(value("refuse", ()))).withColumns({"decision": F.col("_d.decision"), "kept": F.col("_d.kept")}).drop("_d", "_state")
+
+
 def cluster_purity(assigned: DataFrame, keys: list[str], cluster: str, pp: str = "pp_a") -> DataFrame:
     """Size, proportion of A and rank by size of every cluster (ties by cluster)."""
     from pyspark.sql import Window

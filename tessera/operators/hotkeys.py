@@ -30,7 +30,7 @@ def _bincount(codes: np.ndarray, n: int, weights: np.ndarray | None) -> np.ndarr
 def accumulate(df: DataFrame, key: str, sums: list[str] | None = None, blocks: int | None = None, flush: int = 65536) -> DataFrame:
     """``key``, ``n_rows`` and a sum of each column of ``sums``, per key.
 
-    Integer columns sum exactly as bigint, others as double; nulls add nothing,
+    Integer columns sum exactly as bigint (sums must fit), others as double; nulls add nothing,
     so a key with only null values has sum 0.  The null key is a key of its
     own.  An empty table gives no rows.  ``flush`` bounds the keys a task
     holds; beyond it partial arrays are sent on early.

@@ -71,6 +71,21 @@ def unmatched_sites(targets: DataFrame) -> DataFrame:
     return t.select("target_id", (F.col("start_a") + F.col("pos") - 1 + F.col("_g.rf0") + F.col("_i")).alias("pos_a"), F.when(F.col("_g.op") == "D", "deleted").otherwise("skipped").alias("kind"))
 
 
+def inserted_sites(targets: DataFrame) -> DataFrame:
+    """``target_id, pos_b``: B positions inserted between A positions, which therefore have no partner."""
+    ops = cigar.parse(F.col("cigar"))
+    zero = F.struct(F.lit(0).alias("rd"), F.array().cast("array<struct<rd0:int,len:int>>").alias("out"))
+
+    def step(acc, x):
+        here = F.array(F.struct(acc["rd"].alias("rd0"), x["len"].alias("len")))
+        takes = x["op"].isin([*cigar.READ_OPS, "H"])
+        return F.struct((acc["rd"] + F.when(takes, x["len"]).otherwise(0)).alias("rd"), F.when(x["op"] == "I", F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
+
+    t = targets.select("target_id", "start_b", "end_b", "b_reversed", F.explode(F.aggregate(ops, zero, step)["out"]).alias("_g")).select("*", F.explode(F.sequence(F.lit(0), F.col("_g.len") - 1)).alias("_i"))
+    at = F.col("_g.rd0") + F.col("_i")
+    return t.select("target_id", F.when(F.col("b_reversed"), F.col("end_b") - 1 - at).otherwise(F.col("start_b") + at).alias("pos_b"))
+
+
 def extract(fasta: DataFrame, regions: DataFrame) -> DataFrame:
     """Slices of reference sequences: ``regions`` has ``chrom, start0, end0``; names are 1-based inclusive."""
     j = regions.join(fasta.select(F.col("name").alias("chrom"), F.col("seq").alias("_s")), "chrom")

@@ -171,6 +171,14 @@ def haplotype_lrt(spark, sf):
     return _round(T.haplotype_number(_top4(spark, sf)).select("sample_id", "n1", "n2", "n3", "n4", *c), c, 5)
 
 
+def haplotype_hypothesis(spark, sf):
+    """Number of haplotypes and the clusters pure enough to genotype, per sample."""
+    d = _top4(spark, sf)
+    d = d.withColumns({f"a{i}": F.col(f"n{i}") * (0.95 if i in (1, 4) else 0.1) for i in range(1, 5)})
+    r = T.purity_decision(T.haplotype_hypothesis(d))
+    return r.select("sample_id", "n1", "n2", "n3", "n4", "state", F.round("p_equal", 5).alias("p_equal"), "decision", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
+
+
 def allele_balance(spark, sf):
     """Chi-square test of equal counts of the two largest clusters."""
     return _round(T.allele_balance(_top4(spark, sf), "n1", "n2").select("sample_id", "n1", "n2", "chi2", "p_value"), ["chi2", "p_value"], 5)
@@ -264,7 +272,7 @@ def stream_windowed_counts(spark, sf):
 
 
 FUNCTIONS = [het_metric, snp_metrics, snp_metrics_simulation, pooled_metrics, alleles_by_frequency, info_filter, confident_calls, site_coverage, gatk_het, gatk_letters,
-             gatk_snp_metrics, truth_left, truth_right, truth_full, precision_recall, pr_curve, average_precision, method_correlation, wilson_interval, haplotype_lrt,
+             gatk_snp_metrics, truth_left, truth_right, truth_full, precision_recall, pr_curve, average_precision, method_correlation, wilson_interval, haplotype_lrt, haplotype_hypothesis,
              allele_balance, equal_coverage_test, cluster_purity, cluster_contingency, cluster_agreement, cluster_homogeneity, kmodes_update, kmodes_assign,
              kmodes_cluster, deblur_sequences, simulated_genotypes, stream_windowed_counts]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
@@ -349,7 +357,7 @@ q as (select sample_id, coalesce(t[1], 0)::bigint n1, coalesce(t[2], 0)::bigint
 w as (select *, least(greatest(case when n3 + n4 > 0 then (n1 + n2) / (n3 + n4)::double else 100 end, 0.01), 100) w4, least(greatest(case when n2 + n3 > 0 then n1 / (n2 + n3)::double else 100 end, 0.01), 100) w3 from q)
 """
 _NL = lambda x: f"(case when {x} > 0 then ({x}) * ln({x}) else 0 end)"
-_Z = 1.96
+_Z = 1.959963984540054
 ORACLE = {
     "het_metric": f"select genotype, position_a, genotype_call, round(ln(pa_1) - greatest(ln(pa_0), ln(pa_2)), 6) pp_het_a, round(ln(pb_1) - greatest(ln(pb_0), ln(pb_2)), 6) pp_het_b from ({duck(INFO)})",
     "snp_metrics": _REAL + _R,
@@ -376,8 +384,8 @@ select round(sum(p * pr) / sum(p), 6) average_precision from c""",
     "wilson_interval": rf"""
 with a as (select lower(regexp_replace(trim(rname), ':\d+-\d+$', '')) rname, flag from alignments qualify row_number() over (partition by aln_id order by loaded_at desc, read_id desc) = 1),
 g as (select rname, count(*) filter ((flag & 16) <> 0) k, count(*) n from a where (flag & 4) = 0 group by 1), h as (select *, k / n::double p, 2 * (n + {_Z} * {_Z}) d from g)
-select rname, k, n, round(case when k <= 0 then 0 else greatest((2 * n * p + {_Z} * {_Z} - ({_Z} * sqrt(greatest({_Z} * {_Z} - 1 / n::double + 4 * n * p * (1 - p) + (4 * p - 2), 0)) + 1)) / d, 0) end, 6) low,
- round(case when k >= n then 1 else least((2 * n * p + {_Z} * {_Z} + ({_Z} * sqrt(greatest({_Z} * {_Z} - 1 / n::double + 4 * n * p * (1 - p) - (4 * p - 2), 0)) + 1)) / d, 1) end, 6) high from h""",
+select rname, k, n, round(greatest((2 * n * p + {_Z} * {_Z} - ({_Z} * sqrt(greatest({_Z} * {_Z} - 1 / n::double + 4 * n * p * (1 - p) + (4 * p - 2), 0)) + 1)) / d, 0), 6) low,
+ round(least((2 * n * p + {_Z} * {_Z} + ({_Z} * sqrt(greatest({_Z} * {_Z} - 1 / n::double + 4 * n * p * (1 - p) + (4 * p - 2), 0)) + 1)) / d, 1), 6) high from h""",
     "haplotype_lrt": _T4 + f"""select sample_id, n1, n2, n3, n4, round(w4, 5) w_four, round(w3, 5) w_three,
  round(2 * ({_NL('n1')} + {_NL('n2')} + {_NL('n3')} + {_NL('n4')} - {_NL('n1 + n2 + n3 + n4')} - ((n1 + n2) * ln(w4 / (2 * (1 + w4))) + (n3 + n4) * ln(1 / (2 * (1 + w4))))), 5) lrt_four,
  round(2 * ({_NL('n1')} + {_NL('n2')} + {_NL('n3')} - {_NL('n1 + n2 + n3')} - (n1 * ln(w3 / (1 + w3)) + (n2 + n3) * ln(1 / (2 * (1 + w3))))), 5) lrt_three,

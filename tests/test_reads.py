@@ -68,6 +68,7 @@ def test_site_map_forward_and_reversed(spark):
     got = sorted(tuple(r) for r in regions.site_map(t).collect())
     assert got == [(1, 100, 200), (1, 101, 201), (1, 103, 202), (1, 104, 203), (2, 100, 204), (2, 101, 203), (2, 102, 202)]
     assert [tuple(r) for r in regions.unmatched_sites(t).collect()] == [(1, 102, "deleted")]
+    assert sorted(tuple(r) for r in regions.inserted_sites(t).collect()) == [(1, 204), (1, 205)]
 
 
 def test_regions(spark):
