@@ -2,14 +2,15 @@
 
 A record is the set of its distinct k-letter pieces (tokens).  Tokens fall into
 classes by their frequency over the whole collection: a rare token is indexed
-alone, a normal one in pairs, a frequent one in triples, so no posting list of
-the index follows the most common tokens.
+alone, a normal one in pairs, a frequent one in triples and a hot one (such as
+an adapter a third of all reads carry) not at all, so no posting list of the
+index follows the most common tokens.
 
 Which combinations a record indexes is decided by extending its prefix just as
 far as the threshold needs.  Token hashes are leaves of a binary trie whose
 nodes are split in one fixed order; a record splits until its cost (one per
-cell of normal tokens, up to two per cell of frequent tokens) has reached the
-least overlap ``o - 1`` any partner needs.  Two records with ``o`` common
+cell of normal tokens, up to two per cell of frequent tokens, one per hot
+token) has reached the least overlap ``o - 1`` any partner needs.  Two records with ``o`` common
 tokens then share a rare token, two normal tokens of a cell or three frequent
 tokens of a cell, because more common tokens exist than the cells can hold
 apart.  Splitting in one fixed order makes the cells of any two records nested,
@@ -34,7 +35,7 @@ from tessera.storage import stage
 
 SLOTS = 1 << 18  # hashed token counts: a fixed size, whatever the collection
 BROADCAST_ROWS = 200_000
-RARE, FREQUENT = 0.02, 64.0  # class limits in mean counts of a slot
+RARE, FREQUENT, HOT = 0.02, 8.0, 64.0  # class limits in mean counts of a slot
 ROWS = 16_384  # records indexed at a time; row numbers take 16 bits
 SPARE = 3  # combinations similar records share beyond the first, for the count filter
 PER_BUCKET = 6_000_000  # combinations one bucket should hold
@@ -83,30 +84,54 @@ def _nodes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.int64(1) << depth) | (a.astype(np.int64) >> (32 - depth))
 
 
+def _joined(o: np.ndarray, near: np.ndarray, node: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Cell number of every token: a token opens a cell if its record splits the node before it."""
+    same = np.zeros(len(o), bool)
+    same[near + 1] = node >= limit[o[near]]
+    return np.cumsum(~same)
+
+
+def _subsets(x: np.ndarray, o: np.ndarray, cell: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Signatures of all pairs or triples of tokens within the cells."""
+    wide, live, d = x.astype(np.uint64), np.arange(len(x)), 1
+    while len(live):
+        live = live[live + d < len(x)]
+        live = live[cell[live + d] == cell[live]]
+        if size == 2:
+            yield _scramble((wide[live] << np.uint64(32)) | wide[live + d]), o[live]
+        else:
+            for m in range(1, d):
+                yield _scramble(_scramble((wide[live] << np.uint64(32)) | wide[live + m]) + wide[live + d]), o[live]
+        d += 1
+
+
 def combinations(h: np.ndarray, offs: np.ndarray, cls: np.ndarray, overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and their record numbers, for sorted token hashes ``h`` of classes 1, 2 and 3.
+    """Signatures and their record numbers, for sorted token hashes ``h`` of classes 1 to 4.
 
     ``overlap`` is the least number of common tokens a record needs with any
-    partner.  See the module text for the guarantee.
+    partner.  Hot tokens (class 4) index nothing and cost one each; a record
+    that has too many of them for that counts them as frequent, and then also
+    indexes its other tokens unsplit, as any partner might.  See the module
+    text for the guarantee.
     """
     rows = len(offs) - 1
     owner = np.repeat(np.arange(rows), np.diff(offs))
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def emit(sig: np.ndarray, who: np.ndarray) -> None:
-        if len(sig):
-            parts.append((sig, who))
-
+    count = [np.bincount(owner[cls == c], minlength=rows) for c in range(5)]
+    budget = overlap - 1
+    crowded = count[4] + np.minimum(count[2], 1) + np.minimum(count[3], 2) > budget
+    crowded &= count[4] > 0
+    eff = np.where((cls == 4) & crowded[owner], 3, cls)
+    budget = np.where(crowded, budget, budget - count[4])
     rare = cls == 1
-    emit(_scramble(h[rare].astype(np.uint64) + _MIX), owner[rare])
+    parts.append((_scramble(h[rare].astype(np.uint64) + _MIX), owner[rare]))
     cost = np.zeros(rows, np.int64)
     seps = []  # row, node, cost of splitting it
     groups = {}
     for c in (2, 3):
-        idx = np.flatnonzero(cls == c)
+        idx = np.flatnonzero(eff == c)
         o, x = owner[idx], h[idx]
-        count = np.bincount(o, minlength=rows)
-        cost += np.minimum(count, c - 1)
+        cost += np.minimum(np.bincount(o, minlength=rows), c - 1)
         near = np.flatnonzero(o[1:] == o[:-1])
         node = _nodes(x[near], x[near + 1])
         if c == 2:
@@ -118,7 +143,7 @@ def combinations(h: np.ndarray, offs: np.ndarray, cls: np.ndarray, overlap: np.n
             low = (o[near].astype(np.int64) << 32) + (node - (np.int64(1) << depth)) * width
             lo, mid, hi = (np.searchsorted(key, (low + step).astype(np.uint64)) for step in (0, width // 2, width))
             inc = np.minimum(mid - lo, 2) + np.minimum(hi - mid, 2) - np.minimum(hi - lo, 2)
-        groups[c] = (idx, o, x, near, node)
+        groups[c] = (x, o, near, node)
         seps.append((o[near], node, inc))
     row, node, inc = (np.concatenate(s) for s in zip(*seps))
     order = np.lexsort((node, row))
@@ -126,30 +151,19 @@ def combinations(h: np.ndarray, offs: np.ndarray, cls: np.ndarray, overlap: np.n
     cum = np.cumsum(inc)
     edge = np.searchsorted(row, np.arange(rows + 1))
     base = np.where(edge[:-1] > 0, cum[np.maximum(edge[:-1] - 1, 0)], 0) if len(cum) else np.zeros(rows, np.int64)
-    budget = overlap - 1
     over = cost[row] + cum - base[row] > budget[row] if len(row) else np.zeros(0, bool)
     limit = np.full(rows, np.iinfo(np.int64).max)  # the first node a record does not split
     np.minimum.at(limit, row[over], node[over])
     tiny = cost > budget  # too few tokens for combinations: every token alone as well
     lone = tiny[owner] & ~rare
-    emit(_scramble(h[lone].astype(np.uint64) + _MIX), owner[lone])
-    for c, (idx, o, x, near, node) in groups.items():
-        joined = np.zeros(len(idx), bool)  # same cell as the token before
-        joined[near + 1] = node >= limit[o[near]]
-        cell = np.cumsum(~joined)
-        wide = x.astype(np.uint64)
-        live, d = np.arange(len(idx)), 1
-        while c >= 2 and len(live):
-            live = live[live + d < len(idx)]
-            live = live[cell[live + d] == cell[live]]
-            if c == 2:
-                emit(_scramble((wide[live] << np.uint64(32)) | wide[live + d]), o[live])
-            elif d >= 2:
-                for m in range(1, d):
-                    emit(_scramble(_scramble((wide[live] << np.uint64(32)) | wide[live + m]) + wide[live + d]), o[live])
-            d += 1
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts.append((_scramble(h[lone].astype(np.uint64) + _MIX), owner[lone]))
+    x, o, near, node = groups[2]
+    parts.extend(_subsets(x, o, _joined(o, near, node, np.where(crowded, 0, limit)), 2))
+    x, o, near, node = groups[3]
+    parts.extend(_subsets(x, o, _joined(o, near, node, limit), 3))
+    if crowded.any():
+        own = (cls == 3) & crowded[owner]
+        parts.extend(_subsets(h[own], owner[own], owner[own], 3))
     return np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts])
 
 
@@ -211,6 +225,7 @@ def token_table(uniq: DataFrame, k: int) -> tuple[dict[int, np.ndarray], dict[in
         mean = max(n.sum() / SLOTS, 1e-9)
         cls = np.full(SLOTS, 2, np.uint8)
         cls[n > max(FREQUENT * mean, 64)] = 3
+        cls[n > max(HOT * mean, 512)] = 4
         cls[n <= max(RARE * mean, 2)] = 1
         classes[f], least[f], all_[f] = cls, min(r["least"] for r in mine), int(n.sum())
     return classes, least, all_

@@ -98,22 +98,21 @@ def _sequences(rng):
     return out + ["ACGTACGTACG", "ACGTACGTACGA", "AAAA", "", out[0], "N" * 60, "N" * 80]
 
 
-@pytest.mark.parametrize("rare,frequent", [(0.02, 64.0), (1.5, 64.0), (-1.0, 0.5), (0.9, 1.1)])
-def test_near_copies_equal_brute_force(spark, monkeypatch, rare, frequent):
+@pytest.mark.parametrize("shares", [None, [0.3, 0.6, 0.1, 0], [0.1, 0.4, 0.5, 0], [0, 0.5, 0.2, 0.3], [0, 0.2, 0.1, 0.7], [0, 0, 0, 1]])
+def test_near_copies_equal_brute_force(spark, monkeypatch, shares):
+    """Whatever class a token has (single, pair, triple, hot), no similar pair is missed."""
     rng = random.Random(11)
     seqs = _sequences(rng)
-    monkeypatch.setattr(nearcopies, "RARE", rare)
-    monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
     table = nearcopies.token_table
 
-    def strict(uniq, k):  # the floors for tiny collections would hide the classes
-        classes, least, total = table(uniq, k)
-        for f in classes:
+    def classes(uniq, k):
+        cls, least, total = table(uniq, k)
+        if shares is not None:
             r = np.random.default_rng(3)
-            classes[f] = r.choice([1, 2, 3], nearcopies.SLOTS, p=[0.1, 0.5, 0.4] if rare < 0 else [0.3, 0.6, 0.1]).astype(np.uint8) if rare != 0.02 else classes[f]
-        return classes, least, total
+            cls = {f: r.choice([1, 2, 3, 4], nearcopies.SLOTS, p=shares).astype(np.uint8) for f in cls}
+        return cls, least, total
 
-    monkeypatch.setattr(nearcopies, "token_table", strict)
+    monkeypatch.setattr(nearcopies, "token_table", classes)
     rows = [(i % 2, i // 2, s) for i, s in enumerate(seqs)] + [(0, 3, "ACGTACGTACGTTT"), (0, None, "A" * 30), (1, 4, None)]
     df = spark.createDataFrame(rows, "field int, id bigint, seq string").repartition(3)
     got = {tuple(r) for r in nearcopies.similar_ids(df).collect()}
@@ -129,6 +128,22 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, rare, frequent):
     assert all(cls[f, i] == cls[f, j] for f, i, j in want)
 
 
+def test_a_shared_adapter_is_no_candidate(spark):
+    """A third of all reads carry one adapter: it makes no candidates, true copies are still found."""
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    adapter = say(45)
+    rows = [(0, i, adapter + say(60) if i % 3 == 0 else say(105)) for i in range(6000)]
+    rows += [(0, 10_000 + i, rows[i][2][:70] + "A" + rows[i][2][71:]) for i in range(0, 60)]
+    df = spark.createDataFrame(rows, "field int, id bigint, seq string")
+    uniq = nearcopies.unique_sequences(df)
+    cls, _, _ = nearcopies.token_table(uniq.select("field", "uid", "seq"), 11)
+    assert (cls[0] == 4).sum() >= 30
+    assert nearcopies._candidates(uniq.select("field", "uid", "seq"), 11, 0.5).count() < 2000
+    got = {(r["id_low"], r["id_high"]) for r in nearcopies.similar_ids(df).collect()}
+    assert {(i, 10_000 + i) for i in range(60)} <= got and len(got) < 70
+
+
 def test_near_copies_empty(spark):
     df = spark.createDataFrame([], "field int, id bigint, seq string")
     assert nearcopies.similar_ids(df).count() == 0
