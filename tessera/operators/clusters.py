@@ -194,6 +194,7 @@ def haplotype_mixture(reads: DataFrame, k: int, key: str = "read_idx", max_iter:
     """
     from tessera.functions.seq import emit_logp
 
+    reads = reads.select(key, "site", "base", "q")
     seqs = reads.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "base"))), lambda v: v["base"]), "").alias("s"))
     top = seqs.groupBy("s").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(k).collect()
     haps = pd.DataFrame([(i, j, c) for i, r in enumerate(top) for j, c in enumerate(r["s"])], columns=["cluster", "site", "hap"])
