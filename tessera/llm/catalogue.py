@@ -135,6 +135,15 @@ p as (select a, b from c join n x on x.u = a join n y on y.u = b where c >= 0.5
 m as (select u, r.f, id from r join u on r.f = u.f and r.s = u.s),
 o as (select x.f, x.id i, y.id j from p join m x on x.u = a join m y on y.u = b union select x.f, x.id, y.id from m x join m y on x.u = y.u)
 """
+_P9 = r"""
+with t as (select doc_id, source, text, regexp_replace(text, '\s+$', '') u from documents),
+l as (select *, string_split(u, chr(10))[-1] z from t where length(u) > 0),
+m as (select doc_id, coalesce(regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g'), '') source, length(text) chars, octet_length(encode(text)) bytes, (
+  (regexp_matches(u, '[.?!]["''”’»)\]}]*$') and not regexp_matches(u, '(\.\s?\.\s?\.|…)["''”’»)\]}.]*$')
+     and not (regexp_matches(z, '^(finished in|exit (status|code))\b') and not regexp_matches(z, '^(exit (status|code) -?\d+|finished in \d+(\.\d+)? (ms|s|m|h|min))$')))
+  or regexp_matches(z, '^(-- \S.*|\|.*\||(Keywords|Files): *\S.*|exit (status|code) -?\d+|finished in \d+(\.\d+)? (ms|s|m|h|min))$')
+  or (regexp_matches(z, '^[ \t]*```$') and len(string_split_regex(u, '(?m)^[ \t]*```')) % 2 = 1)) closed from l)
+"""
 _P7 = """
 with i as (select item_id, suite, string_split_regex(trim(regexp_replace(lower(item_text), '[^a-z0-9]+', ' ', 'g')), ' ') w from eval_items),
 r as (select distinct item_id, suite, array_to_string(w[k:k + 11], ' ') g from (select item_id, suite, w, unnest(range(1, greatest(len(w) - 10, 1))) k from i)),
@@ -161,12 +170,11 @@ select source_name from j where m * n < share * (select sum(n) from j)""",
 with v as (select genotype, cova, covb from gatk_info qualify row_number() over (partition by info_id order by loaded_at desc) = 1),
 s as (select genotype, 'cova' coverage, cova v from v where cova >= 0 union all select genotype, 'covb', covb from v where covb >= 0)
 select genotype, coverage from s group by 1, 2 having quantile_disc(v, 0.9) > 4 * quantile_disc(v, 0.5)""",
-    "p9_found": r"""
-with t as (select doc_id, regexp_replace(text, '\s+$', '') u from documents),
-l as (select doc_id, u, string_split(u, chr(10))[-1] z from t where length(u) > 0)
-select distinct doc_id from l where not (
-  (regexp_matches(u, '[.?!]["''”’»)\]}]*$') and not regexp_matches(u, '(\.\s?\.\s?\.|…)["''”’»)\]}.]*$')
-     and not (regexp_matches(z, '^(finished in|exit (status|code))\b') and not regexp_matches(z, '^(exit (status|code) -?\d+|finished in \d+(\.\d+)? (ms|s|m|h|min))$')))
-  or regexp_matches(z, '^(-- \S.*|\|.*\||(Keywords|Files): *\S.*|exit (status|code) -?\d+|finished in \d+(\.\d+)? (ms|s|m|h|min))$')
-  or (regexp_matches(z, '^[ \t]*```$') and len(string_split_regex(u, '(?m)^[ \t]*```')) % 2 = 1))""",
+    "p9_found": _P9 + "select distinct doc_id from m where not closed",
+    "p9_rates": _P9 + """, h as (select source, 'chars' k, chars l, count(*) n from m group by 1, 2, 3 union all select source, 'bytes', bytes, count(*) from m group by 1, 2, 3),
+tp as (select source, k, max(l) mx, arg_max(n, l) n_at from h group by 1, 2),
+u as (select h.source, h.k, avg(n) mean from h join tp on h.source = tp.source and h.k = tp.k where l >= mx / 2.0 and l < mx group by 1, 2),
+s as (select tp.source, tp.k, mx from tp left join u on tp.source = u.source and tp.k = u.k where n_at >= 5 and n_at >= 8 * coalesce(mean, 0)),
+d as (select m.source, closed, c.mx lc, b.mx lb, coalesce(chars = c.mx, false) or coalesce(bytes = b.mx, false) hit from m left join s c on c.source = m.source and c.k = 'chars' left join s b on b.source = m.source and b.k = 'bytes')
+select source, count(*) n_docs, count(*) filter (not closed) n_cut, count(*) filter (not closed and hit) n_field_limit, round(count(*) filter (not closed) / count(*), 6) cut_share, max(lc)::int limit_chars, max(lb)::int limit_bytes from d group by 1""",
 }

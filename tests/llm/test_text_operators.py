@@ -250,3 +250,31 @@ def test_length_spikes(spark):
     r = {x["source"]: x for x in truncation.rates(found).collect()}
     assert r["s1"]["limit_chars"] == 200 and r["s2"]["limit_chars"] is None and r["s1"]["n_cut"] == 40
     assert truncation.truncated(df.where("false")).count() == 0
+
+
+CLASH = ["_id", "_x", "_uid", "uid", "peak", "density", "codes", "size", "weight", "copies", "rank", "chars", "closed", "cause", "a", "b", "low", "high", "n", "root", "field_name", "class_id", "n_links", "sketch", "n_values", "_source", "item_id", "bucket"]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    extra = [F.lit(None).cast("string").alias(c) for c in CLASH]
+    x = spark.createDataFrame([(1, [1, 2, 3, 1]), (2, [1, 2, 3, 1]), (None, [1, 2, 3, 1])], "k bigint, x array<int>").select("*", *extra)
+    assert {tuple(r) for r in similarity.labels(*similarity.density_peaks(x, "k", "x", 1)).collect()} == {(1, 1), (2, 1)}
+    v = spark.createDataFrame([("g", 1), ("g", 3), (None, None)], "g string, v int").select("*", *extra)
+    assert percentiles.sketch(v, ["g"], "v").first()["n_values"] == 2
+    q = spark.createDataFrame([(0, 1, "ACGTTGCAACGGT"), (0, 2, "ACGTTGCAACGGT"), (0, 3, None)], "field int, id bigint, seq string").select("*", *extra)
+    assert [tuple(r) for r in nearcopies.similar_ids(q).collect()] == [(0, 1, 2)]
+    assert {(r["id"], r["class_id"]) for r in nearcopies.classes(q).collect()} == {(1, 1), (2, 1)}
+    text = " ".join(f"w{i}" for i in range(14))
+    d = spark.createDataFrame([(1, text, "s"), (2, None, None), (3, "", "s")], "doc_id bigint, text string, source string").select("*", *extra)
+    it = spark.createDataFrame([(7, text)], "item_id bigint, item_text string").withColumn("doc_id", F.lit(1)).withColumn("text", F.lit("x"))
+    assert [tuple(r) for r in leakage.leaks(d, it).collect()] == [(1, 7)]
+    t = spark.createDataFrame([("s", 1.0, 1)], "source_name string, target_share double, max_repeats int").select("*", *extra)
+    rows, report = mixing.mix(d, t)
+    assert report.first()["actual_share"] == 1 and rows.count() >= 1
+    assert truncation.truncated(d).where("cause is not null").count() == 1
+
+
+def test_tokens_of_the_public_tokenizer(spark):
+    d = spark.createDataFrame([("Hello world",), ("",), (None,), ("<|endoftext|>",), ("x" * 5000,)], "t string")
+    n = [r[0] for r in d.select(mixing.token_count(F.col("t"))).collect()]
+    assert n[0] == 2 and n[1:3] == [0, 0] and n[3] > 1 and n[4] > 100
