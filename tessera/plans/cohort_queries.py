@@ -181,7 +181,7 @@ def haplotype_hypothesis(spark, sf):
 
 def allele_balance(spark, sf):
     """Chi-square test of equal counts of the two largest clusters."""
-    return _round(T.allele_balance(_top4(spark, sf), "n1", "n2").select("sample_id", "n1", "n2", "chi2", "p_value"), ["chi2", "p_value"], 5)
+    return _round(T.allele_balance(_top4(spark, sf), "n1", "n2").select("sample_id", "n1", "n2", "chi2"), ["chi2"], 5)
 
 
 def equal_coverage_test(spark, sf):
@@ -391,6 +391,7 @@ select rname, k, n, round(greatest((2 * n * p + {_Z} * {_Z} - ({_Z} * sqrt(great
  round(2 * ({_NL('n1')} + {_NL('n2')} + {_NL('n3')} - {_NL('n1 + n2 + n3')} - (n1 * ln(w3 / (1 + w3)) + (n2 + n3) * ln(1 / (2 * (1 + w3))))), 5) lrt_three,
  round(2 * ({_NL('n1')} + {_NL('n2')} - {_NL('n1 + n2')} - (n1 + n2) * ln(0.5)), 5) lrt_two,
  round(exp(-greatest(2 * ({_NL('n1')} + {_NL('n2')} + {_NL('n3')} + {_NL('n4')} - {_NL('n1 + n2 + n3 + n4')} - ((n1 + n2) * ln(w4 / (2 * (1 + w4))) + (n3 + n4) * ln(1 / (2 * (1 + w4))))), 0) / 2), 5) p_four from w""",
+    "allele_balance": _T4 + "select sample_id, n1, n2, round((n1 - n2) * (n1 - n2) / (n1 + n2)::double, 5) chi2 from q where n1 + n2 > 0",
     "cluster_contingency": "select cluster_id a, run_id b, count(*) n from kmodes_obs where cluster_id is not null and run_id is not null group by 1, 2",
     "cluster_homogeneity": "with c as (select cluster_id a, obs_id % 3 b, count(*) n from kmodes_obs where cluster_id is not null group by 1, 2), g as (select a, sum(n) n, sum(n * (n - 1)) s from c group by 1 having sum(n) > 1) select round(avg(s / (n * (n - 1))), 6) bhi, count(*) n_clusters from g",
     "cluster_agreement": """

@@ -159,4 +159,8 @@ ORACLE = {
     "genotype_marginals": _K + "select site, " + ", ".join(f"round(p{s}_{i}, 6) p{s}_{i}" for s in "ab" for i in range(3)) + " from called",
     "genotype_call": _K + "select site, nuc1, nuc2, g1::int g1, g2::int g2, genotype_call, round(pp_call, 6) pp_call, round(cov_a, 6) cov_a, round(cov_b, 6) cov_b from called",
     "vcf_rows": _K + _VCF + "select * from o",
+    "genotype_table": _K
+    + "select 'chrA' name_a, 'chrB' name_b, site + 1 pos_a, site + 1 pos_b, genotype_call, nuc1 major, nuc2 minor, round(pp_call, 6) pp_call, "
+    + ", ".join(f"round(pp_{x}, 6) pp_{x}" for x in ABS) + ", " + ", ".join(f"round(p{s}_{i}, 6) p{s}_{i}" for s in "ab" for i in range(3))
+    + ", round(cov_a, 6) cov_a, round(cov_b, 6) cov_b from called",
 }

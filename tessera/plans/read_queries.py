@@ -267,6 +267,10 @@ select aln_id target_id, (rf0 + k)::bigint pos_a, (case when (flag & 16) <> 0 th
     "iupac_masks": "select case upper(c) when 'A' then 1 when 'C' then 2 when 'T' then 4 when 'G' then 8 when 'N' then 15 else 0 end mask, count(*) n from (select unnest(string_split(hash_sequence, '')) c from hash_seqs) group by 1",
     "base_by_quality": _A + ", b as (select upper(unnest(string_split(seq, ''))) base, unnest(string_split(qual, '')) c from a where seq <> '*'), g as (select ascii(c) - 33 q, base, count(*) n from b where c is not null and base is not null group by 1, 2) select q, base, n, round(n / sum(n) over (partition by q), 6) share from g",
     "unique_sequences": _A + "select upper(seq) seq, count(*) n_reads, min(read_id) first_idx from a where seq is not null and seq <> '*' group by 1",
+    "trim_by_quality": _A + """, q as (select aln_id, length(qual) n, unnest(string_split(qual, '')) c, unnest(range(1, length(qual) + 1)) i from a where qual is not null and qual <> '*'),
+qe as (select aln_id, n, i, pow(10.0::double, -(ascii(c) - 33) / 10.0::double) e from q),
+qm as (select aln_id, n, i, sum(e) over (partition by aln_id order by i) / i f, sum(e) over (partition by aln_id order by i desc) / (n - i + 1) b from qe)
+select aln_id, coalesce(min(i) filter (f <= 0.01), max(n) + 1)::int "first", coalesce(max(i) filter (b <= 0.01), 0)::int "last" from qm group by 1""",
     "trim_tail": _A + "select aln_id, coalesce(list_position(list_transform(string_split(qual, ''), lambda c: ascii(c) - 33 < 12), true) - 1, length(qual))::int kept from a where qual is not null and qual <> '*'",
     "name_filter": _A + "select aln_id from a where not coalesce(contains(qname, ':16'), false) and not coalesce(contains(qname, ':9:'), false)",
     "kmer_counts": "select kmer, count(*) n_seqs from (select distinct seq_id, upper(hash_sequence)[k:k + 5] kmer from (select seq_id, hash_sequence, unnest(range(1, length(hash_sequence) - 4)) k from hash_seqs)) group by 1",

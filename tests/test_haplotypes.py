@@ -39,7 +39,7 @@ def test_lloyd_and_simulated_reads(spark):
     a, found, lls = H.haplotype_lloyd(r, seeds)
     got = found.sort_values(["cluster", "site"]).groupby("cluster")["hap"].apply("".join).tolist()
     assert got == seqs and lls[-1] > lls[0]
-    assert a.join(r.select("read_idx", F.col("hap").alias("true")).distinct(), "read_idx").where("cluster <> true").count() == 0
+    assert a.join(r.select("read_idx", F.col("hap").alias("origin")).distinct(), "read_idx").where("cluster <> origin").count() == 0
 
 
 def test_primer_offsets(spark):
