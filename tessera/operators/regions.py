@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions import cigar, seq
@@ -93,6 +96,27 @@ def extract(fasta: DataFrame, regions: DataFrame) -> DataFrame:
     return j.select(name.alias("name"), F.substring("_s", F.col("start0").cast("int") + 1, (F.col("end0") - F.col("start0")).cast("int")).alias("seq"))
 
 
-def reference_bases(fasta: DataFrame) -> DataFrame:
-    """``chrom, pos0, base``: one row per reference position, for equi-joins."""
-    return fasta.select(F.col("name").alias("chrom"), F.posexplode(seq.letters(F.upper("seq"))).alias("_p", "base")).select("chrom", F.col("_p").cast("bigint").alias("pos0"), "base")
+def reference_blocks(fasta: DataFrame, width: int = 10_000) -> DataFrame:
+    """``chrom, block, bases``: sequences cut into blocks, each in one pass however long the chromosome."""
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for name, s in zip(pdf["name"], pdf["seq"]):
+                for at in range(0, len(s or ""), 1000 * width):
+                    pieces = [s[i : i + width].upper() for i in range(at, min(at + 1000 * width, len(s)), width)]
+                    yield pd.DataFrame({"chrom": name, "block": range(at // width, at // width + len(pieces)), "bases": pieces})
+
+    return fasta.select("name", "seq").mapInPandas(cut, "chrom string, block bigint, bases string")
+
+
+def reference_bases(fasta: DataFrame, ranges: DataFrame | None = None, width: int = 10_000) -> DataFrame:
+    """``chrom, pos0, base``: one row per reference position, for equi-joins.
+
+    ``ranges`` (``chrom, start0, end0``) keeps only blocks they touch, before
+    any base is exploded.
+    """
+    b = reference_blocks(fasta, width)
+    if ranges is not None:
+        need = ranges.where("end0 > start0").select("chrom", F.explode(F.sequence(F.floor(F.col("start0") / width), F.floor((F.col("end0") - 1) / width))).alias("block")).distinct()
+        b = b.join(need, ["chrom", "block"], "left_semi")
+    return b.select("chrom", "block", F.posexplode(seq.letters(F.col("bases"))).alias("_p", "base")).select("chrom", (F.col("block") * width + F.col("_p")).alias("pos0"), "base")

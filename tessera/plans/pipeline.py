@@ -67,7 +67,9 @@ def pileup(alignments: DataFrame, targets: DataFrame, reference: DataFrame, o: O
     """
     pairs = stage(reads_in_targets(alignments, targets, o), "pairs")
     smap = stage(regions.site_map(targets), "sites")
-    refs = regions.reference_bases(reference)
+    margin = 10_000  # reads reach beyond their target
+    ranges = [targets.select(F.col(f"chrom_{s}").alias("chrom"), F.greatest(F.col(f"start_{s}") - margin, F.lit(0)).alias("start0"), (F.col(f"end_{s}") + margin).alias("end0")) for s in "ab"]
+    refs = stage(regions.reference_bases(reference, ranges[0].unionByName(ranges[1])), "reference")
     chroms = targets.select("target_id", "chrom_a", "chrom_b")
     one: dict[str, DataFrame] = {}
     lls = []

@@ -7,6 +7,9 @@ grouped step.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SAM_COLUMNS = "qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen int, seq string, qual string"
@@ -49,18 +52,81 @@ def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return r.select(F.regexp_extract(head, r"^(\S+)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S+\s*", "")).alias("description"), F.upper(body).alias("seq"))
 
 
+def _phase(lines: list[str]) -> int | None:
+    """Where the first whole record begins among the first lines of a block; None if they don't tell."""
+    for p in range(4):
+        at = lines[p:]
+        if len(at) < 4 or not at[0].startswith("@") or not at[2].startswith("+") or len(at[1]) != len(at[3]):
+            continue
+        if len(at) > 4 and not at[4].startswith("@"):
+            continue
+        return p
+    return None
+
+
+def _records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole records of every file block, and the lines at its ends that belong to neighbouring blocks."""
+    at, lines, started = None, [], False
+
+    def frame(h=(), s=(), q=(), rest=()) -> pd.DataFrame:
+        n = len(h)
+        d = pd.DataFrame({"file": [at[0]] * (n + len(rest)), "block": [at[1]] * (n + len(rest)), "no": [0] * n + [r[0] for r in rest], "line": [None] * n + [r[1] for r in rest]})
+        d["h"], d["s"], d["q"] = [*h, *[None] * len(rest)], [*s, *[None] * len(rest)], [*q, *[None] * len(rest)]
+        return d
+
+    def drain(last: bool) -> Iterator[pd.DataFrame]:
+        nonlocal lines, started
+        if not started and (len(lines) >= 12 or last):
+            p = _phase(lines[:12]) if len(lines) >= 4 else None
+            if p is None:  # too short to tell: its neighbours decide
+                if last:
+                    yield frame(rest=list(enumerate(lines)))
+                    lines = []
+                return
+            if p:
+                yield frame(rest=list(enumerate(lines[:p])))
+            lines, started = lines[p:], True
+        if started:
+            n = len(lines) // 4 * 4
+            if n:
+                yield frame(lines[0:n:4], lines[1:n:4], lines[3:n:4])
+            lines = lines[n:]
+            if last and lines:
+                yield frame(rest=[((1 << 20) + i, x) for i, x in enumerate(lines)])
+                lines = []
+
+    for pdf in parts:
+        cut = ((pdf["file"] != pdf["file"].shift()) | (pdf["block"] != pdf["block"].shift())).to_numpy().nonzero()[0].tolist()
+        for x, y in zip(cut, [*cut[1:], len(pdf)]):
+            key = (pdf["file"].iloc[x], int(pdf["block"].iloc[x]))
+            if key != at:
+                if at is not None:
+                    yield from drain(True)
+                at, lines, started = key, [], False
+            lines.extend(pdf["value"].iloc[x:y])
+            yield from drain(False)
+    if at is not None:
+        yield from drain(True)
+
+
+def _stitched(pdf: pd.DataFrame) -> pd.DataFrame:
+    lines = pdf.sort_values(["block", "no"])["line"].tolist()
+    n = len(lines) // 4 * 4
+    return pd.DataFrame({"h": lines[0:n:4], "s": lines[1:n:4], "q": lines[3:n:4]})
+
+
 def fastq(spark: SparkSession, path: str | list[str], drop_ambiguous: bool = False, min_length: int = 0, max_length: int | None = None) -> DataFrame:
     """``name, seq, qual`` of four-line FASTQ records, upper case.
 
-    Records are grouped by position within each file, so a file is read whole
-    by one task; many files run in parallel.
+    Files are read in blocks: a block finds its first whole record, and the few
+    lines before it join the lines left over by the block before.  Incomplete
+    last records are left out.
     """
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("l"))
-    rec = lines.select("l", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.size("l")) / 4).cast("int") - 1, F.lit(0)))).alias("i"))
-    at = lambda k: F.get("l", F.col("i") * 4 + k)
-    out = rec.select(at(0).alias("h"), F.upper(at(1)).alias("seq"), at(3).alias("qual")).where(F.col("h").startswith("@"))
-    out = out.select(F.regexp_extract("h", r"^@(\S+)", 1).alias("name"), "seq", "qual")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.rtrim("value").alias("value"))
+    cut = lines.mapInPandas(_records, "file string, block bigint, no int, line string, h string, s string, q string")
+    ends = cut.where("line is not null").select("file", "block", "no", "line").groupBy("file").applyInPandas(_stitched, "h string, s string, q string")
+    out = cut.where("h is not null").select("h", "s", "q").unionByName(ends).where("h like '@%'")
+    out = out.select(F.regexp_extract("h", r"^@(\S+)", 1).alias("name"), F.upper("s").alias("seq"), F.col("q").alias("qual"))
     if drop_ambiguous:
         out = out.where(~F.col("seq").rlike("[^ACGT]"))
     out = out.where(F.length("seq") >= min_length)

@@ -35,6 +35,39 @@ def test_fasta_fastq(spark, tmp_path):
     assert w == ">n\nACG\nTAC\nG"
 
 
+def test_fastq_blocks(spark, tmp_path):
+    """Records cut by file blocks come back whole, wherever the cuts fall and whatever the qualities."""
+    import random
+
+    rng = random.Random(6)
+    want = []
+    for f in range(3):
+        rec = [(f"f{f}r{i}", "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 30)))) for i in range(200)]
+        rec = [(n, s, "".join(rng.choice("@+FI#") for _ in s)) for n, s in rec]
+        want += rec
+        _put(tmp_path / f"{f}.fq", "".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in rec))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (997, 3001, 100_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 1)
+            got = sorted(map(tuple, readers.fastq(spark, str(tmp_path)).collect()))
+            assert got == sorted(want)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_reference_blocks(spark):
+    from tessera.operators import regions
+
+    fa = spark.createDataFrame([("c", "ACGTacgtAC"), ("d", ""), ("e", None)], "name string, seq string")
+    got = {(r["chrom"], r["pos0"]): r["base"] for r in regions.reference_bases(fa, width=3).collect()}
+    assert "".join(got["c", i] for i in range(10)) == "ACGTACGTAC" and len(got) == 10
+    some = regions.reference_bases(fa, spark.createDataFrame([("c", 4, 5)], "chrom string, start0 bigint, end0 bigint"), 3)
+    assert sorted(r["pos0"] for r in some.collect()) == [3, 4, 5]
+
+
 def test_tables(spark, tmp_path):
     e = readers.error_table(spark, _put(tmp_path / "e.txt", "q t p r pr\n64 C 1226 C 0.9977\n64 C 1226 C 0.5\n")).collect()
     assert len(e) == 2 and e[0]["prob"] == 0.9977
