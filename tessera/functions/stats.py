@@ -57,3 +57,9 @@ def bic(ll: Column, k: Column, n: Column) -> Column:
 def nlogn(n: Column) -> Column:
     """n log n with 0 log 0 = 0."""
     return F.when(n > 0, n * F.ln(n)).otherwise(0.0)
+
+
+def five_numbers(x: Column) -> Column:
+    """Aggregate: minimum, quartiles and maximum of the non-null values, exact (linear between ranks)."""
+    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    return F.struct(*[q[i].alias(n) for i, n in enumerate(["low", "q25", "median", "q75", "high"])])

@@ -120,3 +120,18 @@ def reference_bases(fasta: DataFrame, ranges: DataFrame | None = None, width: in
         need = ranges.where("end0 > start0").select("chrom", F.explode(F.sequence(F.floor(F.col("start0") / width), F.floor((F.col("end0") - 1) / width))).alias("block")).distinct()
         b = b.join(need, ["chrom", "block"], "left_semi")
     return b.select("chrom", "block", F.posexplode(seq.letters(F.col("bases"))).alias("_p", "base")).select("chrom", (F.col("block") * width + F.col("_p")).alias("pos0"), "base")
+
+
+def rename_chromosomes(df: DataFrame, names: DataFrame, column: str = "rname") -> DataFrame:
+    """Replace names by a table ``old, new``; unknown names stay."""
+    n = names.groupBy("old").agg(F.min("new").alias("_new"))
+    return df.join(n, df[column] == n["old"], "left").withColumn(column, F.coalesce("_new", column)).drop("old", "_new")
+
+
+def within_bed(reads: DataFrame, bed: DataFrame) -> DataFrame:
+    """Alignments that overlap any interval of ``chrom, start, end``, each once."""
+    from tessera.operators.reads import overlap_targets
+
+    iv = bed.select(F.lit(0).alias("target_id"), "chrom", F.col("start").alias("start0"), F.col("end").alias("end0")).distinct()
+    r = reads.withColumn("_row", F.struct(*reads.columns))
+    return overlap_targets(r, iv).select("_row").distinct().select("_row.*")

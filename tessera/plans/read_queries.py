@@ -209,6 +209,26 @@ def running_rows(spark, sf):
     return ordering.prefix_sums(d, [F.asc("seq_id")], ["n"]).select("seq_id", "cum_n")
 
 
+def five_number_summary(spark, sf):
+    """Minimum, quartiles and maximum of the mapping quality per subgenome."""
+    from tessera.functions import stats
+
+    g = table(spark, sf, "alignments").where("mapq is not null").groupBy("sg").agg(stats.five_numbers(F.col("mapq")).alias("v"))
+    return g.select("sg", "v.*")
+
+
+def bed_subset(spark, sf):
+    """Mapped alignments overlapping any target interval, each once."""
+    bed = target_windows(spark, sf).select("chrom", F.col("start0").alias("start"), F.col("end0").alias("end"))
+    return regions.within_bed(distinct_alignments(spark, sf).where("(flag & 4) = 0").select("aln_id", "rname", "pos", "cigar"), bed)
+
+
+def chromosome_rename(spark, sf):
+    """Reference names replaced by their numbers."""
+    names = table(spark, sf, "target_refs").select(F.lower("ref_name").alias("old"), F.col("which_ref").cast("string").alias("new"))
+    return regions.rename_chromosomes(distinct_alignments(spark, sf).select("aln_id", "rname"), names)
+
+
 def stratified_sample(spark, sf):
     """Five rows of every sample by hashed order."""
     return ordering.stratified_sample(table(spark, sf, "hash_seqs"), "sample_id", ["seq_id"], 5).select("sample_id", "seq_id")
@@ -217,7 +237,7 @@ def stratified_sample(spark, sf):
 FUNCTIONS = [sam_flag_filter, read_filter_report, expected_errors, cigar_lengths, cigar_explode, cigar_reverse, depth_by_position, region_overlap, strand_names,
              merge_subgenomes, in_both_once, pair_subgenomes, match_clips, alignment_extents, selected_fastq, region_parse, site_map, unmatched_sites, revcomp,
              ambiguous_sequences, iupac_masks, base_by_quality, unique_sequences, trim_by_quality, trim_tail, name_filter, kmer_counts, stratified_top,
-             abundance_top, first_delivery, running_rows, stratified_sample]
+             abundance_top, first_delivery, running_rows, five_number_summary, bed_subset, chromosome_rename, stratified_sample]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _A = rf"""
@@ -277,5 +297,8 @@ select aln_id, coalesce(min(i) filter (f <= 0.01), max(n) + 1)::int "first", coa
     "stratified_top": "select sample_id, seq_id, abundance from hash_seqs where abundance is not null qualify row_number() over (partition by sample_id order by abundance desc, seq_id) <= 3",
     "abundance_top": "select seq_id, abundance from hash_seqs where abundance is not null order by abundance desc, seq_id limit 20",
     "first_delivery": "select aln_id, epoch_us(loaded_at) loaded_us, pos from alignments qualify row_number() over (partition by aln_id order by loaded_at, pos) = 1",
+    "five_number_summary": "select sg, min(mapq)::double low, quantile_cont(mapq, 0.25) q25, quantile_cont(mapq, 0.5) median, quantile_cont(mapq, 0.75) q75, max(mapq)::double high from alignments where mapq is not null group by 1",
+    "bed_subset": _A + "select distinct aln_id, e.rname, pos, cigar from e join w on e.rname = w.chrom and e.start0 < w.end0 and e.end0 > w.start0 where (flag & 4) = 0 and e.end0 > e.start0",
+    "chromosome_rename": _A + "select aln_id, coalesce(which::varchar, rname) rname from a left join (select lower(ref_name) old, min(which_ref) which from target_refs group by 1) n on n.old = rname",
     "running_rows": "select seq_id, sum(coalesce(abundance, 0)) over (order by seq_id)::bigint cum_n from hash_seqs",
 }

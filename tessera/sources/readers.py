@@ -252,3 +252,17 @@ def gvcf_info(a: DataFrame, b: DataFrame, genotype: str) -> DataFrame:
 
     j = side(a, "a").join(side(b, "b"), "pos")
     return j.select(F.lit(genotype).alias("genotype"), "chroma", "chromb", F.col("pos").alias("positiona"), F.col("pos").alias("positionb"), F.concat_ws("/", "gt_a", "gt_b").alias("genotype_call"), *[f"{k}_{s}_allele" for s in "ab" for k in ("ref", "alt")], *[f"pl{s}_{i}" for s in "ab" for i in range(3)], "cova", "covb")
+
+
+def call_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, line_no, kind, first, second`` of a genotyper's text log, for interoperation.
+
+    ``kind`` is ``genotype`` (calls of A and B), ``counts_a`` or ``counts_b``
+    (expected counts in order A, C, T, G, as one string in ``first``).
+    """
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
+    g = F.regexp_extract("value", r"Genotype\b.*?([ACGT]{2})/([ACGT]{2})", 1)
+    h = F.regexp_extract("value", r"Genotype\b.*?([ACGT]{2})/([ACGT]{2})", 2)
+    side = F.regexp_extract("value", r"Expected counts genome ([AB]):\s*(.*)$", 1)
+    kind = F.when(g != "", "genotype").when(side == "A", "counts_a").when(side == "B", "counts_b")
+    return t.select("file", "line_no", kind.alias("kind"), F.when(g != "", g).otherwise(F.trim(F.regexp_extract("value", r"Expected counts genome ([AB]):\s*(.*)$", 2))).alias("first"), F.when(g != "", h).alias("second")).where("kind is not null")

@@ -82,6 +82,12 @@ def test_tables(spark, tmp_path):
     assert readers.union_all([t, t.drop("cova")]).count() == 2
 
 
+def test_call_log(spark, tmp_path):
+    p = _put(tmp_path / "x.log", "noise\nExpected counts genome A:  0 0 0 11\nExpected counts genome B: 0 0 0 12\nGenotype (0,0): GG/GT\n")
+    got = [(r["kind"], r["first"], r["second"]) for r in readers.call_log(spark, p).orderBy("line_no").collect()]
+    assert got == [("counts_a", "0 0 0 11", None), ("counts_b", "0 0 0 12", None), ("genotype", "GG", "GT")]
+
+
 def test_vcf_shapes(spark, tmp_path):
     head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n"
     a = readers.vcf(spark, _put(tmp_path / "a.vcf", head + "A\t5\t.\tG\tC,<NON_REF>\t.\t.\tDP=9;MQ=1\tGT:AD:DP:GQ:PL:SB\t0/1:4,5:9:99:50,0,60:1\nA\t6\t.\tG\t<NON_REF>\t.\t.\t.\tGT:DP\t0/0:7\n"))
