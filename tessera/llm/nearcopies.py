@@ -28,7 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.operators.rejects import text_buffer
 from tessera.storage import stage
@@ -208,20 +208,20 @@ def token_table(uniq: DataFrame, k: int) -> tuple[dict[int, np.ndarray], dict[in
                 if len(some):
                     least[f] = min(least.get(f, 1 << 60), int(some.min()))
         for f, a in held.items():
-            cells = [a[i : i + width].astype(np.int64).tobytes() for i in range(0, SLOTS, width)]
+            cells = [zlib.compress(a[i : i + width].astype(np.int64).tobytes(), 1) for i in range(0, SLOTS, width)]
             m = len(cells)
             yield pa.RecordBatch.from_arrays([pa.array([int(f)] * m, pa.int32()), pa.array(range(m), pa.int32()), pa.array(cells, pa.binary()), pa.array([least.get(f, 1 << 60)] * m, pa.int64())], names=["field", "block", "cells", "least"])
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = reduce(np.add, (np.frombuffer(c, np.int64) for c in pdf["cells"]))
-        return pd.DataFrame({"field": pdf["field"][:1], "block": pdf["block"][:1], "cells": [cells.tobytes()], "least": [pdf["least"].min()]})
+        cells = reduce(np.add, (np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["cells"]))
+        return pd.DataFrame({"field": pdf["field"][:1], "block": pdf["block"][:1], "cells": [zlib.compress(cells.tobytes(), 1)], "least": [pdf["least"].min()]})
 
     schema = "field int, block int, cells binary, least bigint"
     got = uniq.mapInArrow(count, schema).groupBy("field", "block").applyInPandas(total, schema).collect()  # 64 rows a field
     classes, least, all_ = {}, {}, {}
     for f in {r["field"] for r in got}:
         mine = sorted((r for r in got if r["field"] == f), key=lambda r: r["block"])
-        n = np.concatenate([np.frombuffer(r["cells"], np.int64) for r in mine])
+        n = np.concatenate([np.frombuffer(zlib.decompress(r["cells"]), np.int64) for r in mine])
         mean = max(n.sum() / SLOTS, 1e-9)
         cls = np.full(SLOTS, 2, np.uint8)
         cls[n > max(FREQUENT * mean, 64)] = 3
@@ -356,10 +356,32 @@ def _verify(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
+# Letters a half-byte can stand for, and their hexadecimal digits.
+LETTERS, DIGITS = "ACGTNRYKMSWBDHV", "123456789ABCDEF"
+
+
+def pack(seq: Column) -> Column:
+    """A sequence in half-bytes, or after a zero byte as it is if it has other letters; reversible."""
+    half = F.unhex(F.translate(seq, LETTERS, DIGITS))
+    whole = F.concat(F.unhex(F.lit("00")), F.encode(seq, "UTF-8"))
+    return F.when(seq.rlike(f"^[{LETTERS}]+$"), half).otherwise(whole)
+
+
+def unpack(key: Column) -> Column:
+    plain = F.hex(key)
+    half = F.translate(F.regexp_replace(plain, "^0", ""), DIGITS, LETTERS)
+    return F.when(plain.startswith("00"), F.decode(F.unhex(F.substring(plain, F.lit(3), F.length(plain))), "UTF-8")).otherwise(half)
+
+
 def unique_sequences(df: DataFrame) -> DataFrame:
-    """``field, uid, seq, low, high``: one row per distinct sequence, with its least and greatest id."""
-    g = df.groupBy("field", "seq").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    return stage(g.select("field", F.monotonically_increasing_id().alias("uid"), "seq", "low", "high"), "near-unique")
+    """``field, uid, key, low, high``: one row per distinct sequence (packed), with its least and greatest id."""
+    g = df.groupBy("field", pack(F.col("seq")).alias("key")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return stage(g.select("field", F.monotonically_increasing_id().alias("uid"), "key", "low", "high"), "near-unique")
+
+
+def spelled(uniq: DataFrame) -> DataFrame:
+    """``field, uid, seq`` of packed sequences."""
+    return uniq.select("field", "uid", unpack(F.col("key")).alias("seq"))
 
 
 def similar_sequences(df: DataFrame, k: int = 11, threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -374,14 +396,15 @@ def similar_sequences(df: DataFrame, k: int = 11, threshold: float = 0.5) -> tup
     """
     df = df.where(F.col("id").isNotNull() & (F.length("seq") >= k))
     uniq = unique_sequences(df)
-    cand = stage(_candidates(uniq.select("field", "uid", "seq"), k, threshold), "near-candidates")
+    cand = stage(_candidates(spelled(uniq), k, threshold), "near-candidates")
     need = cand.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
     few = cand.count() <= BROADCAST_ROWS
-    texts = stage(uniq.select("field", "uid", "seq").join(F.broadcast(need) if few else need, "uid", "left_semi"), "near-texts")
-    left = texts.select(F.col("uid").alias("a"), F.col("seq").alias("sa"))
-    right = texts.select(F.col("uid").alias("b"), F.col("seq").alias("sb"))
-    pairs = stage(_verify(cand.join(left, "a").join(right, "b"), k, threshold), "near-pairs")
-    many = stage(uniq.where("low < high").select("field", "uid", "seq"), "near-many")
+    texts = stage(uniq.select("uid", "key").join(F.broadcast(need) if few else need, "uid", "left_semi"), "near-texts")
+    left = texts.select(F.col("uid").alias("a"), F.col("key").alias("ka"))
+    right = texts.select(F.col("uid").alias("b"), F.col("key").alias("kb"))
+    both = cand.join(left, "a").join(right, "b").select("a", "b", unpack(F.col("ka")).alias("sa"), unpack(F.col("kb")).alias("sb"))
+    pairs = stage(_verify(both, k, threshold), "near-pairs")
+    many = stage(spelled(uniq.where("low < high")), "near-many")
     few = many.count() <= BROADCAST_ROWS // 10
     copies = stage(df.select("field", "id", "seq").join(F.broadcast(many) if few else many, ["field", "seq"]).select("field", "uid", "id").distinct(), "near-copies")
     one = uniq.where("low = high").select("field", "uid", F.col("low").alias("id"))

@@ -137,13 +137,20 @@ def test_a_shared_adapter_is_no_candidate(spark):
     rows += [(0, 10_000 + i, rows[i][2][:70] + "A" + rows[i][2][71:]) for i in range(0, 60)]
     df = spark.createDataFrame(rows, "field int, id bigint, seq string")
     uniq = nearcopies.unique_sequences(df)
-    cls, _, _ = nearcopies.token_table(uniq.select("field", "uid", "seq"), 11)
+    cls, _, _ = nearcopies.token_table(nearcopies.spelled(uniq), 11)
     assert (cls[0] == 4).sum() >= 30
-    assert nearcopies._candidates(uniq.select("field", "uid", "seq"), 11, 0.5).count() < 2000
+    assert nearcopies._candidates(nearcopies.spelled(uniq), 11, 0.5).count() < 2000
     got = {(r["id_low"], r["id_high"]) for r in nearcopies.similar_ids(df).collect()}
     assert {(i, 10_000 + i) for i in range(60)} <= got and len(got) < 70
 
 
+def test_packing_is_reversible(spark):
+    s = ["A", "AC", "ACG", "ACGTNRYKMSWBDHV", "AC-GT", "0", "00", "é", "", "acgt", "V" * 999]
+    d = spark.createDataFrame([(x,) for x in s], "s string").select("s", nearcopies.unpack(nearcopies.pack(F.col("s"))).alias("t"), nearcopies.pack(F.col("s")).alias("k"))
+    rows = d.collect()
+    assert all(r["s"] == r["t"] for r in rows) and len({bytes(r["k"]) for r in rows}) == len(s)
+
+
 def test_near_copies_empty(spark):
     df = spark.createDataFrame([], "field int, id bigint, seq string")
     assert nearcopies.similar_ids(df).count() == 0
