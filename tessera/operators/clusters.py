@@ -7,10 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.functions.seq import hamming
 from tessera.operators.ordering import sample_rows
-from tessera.storage import stage
+from tessera.storage import small, stage
 
 MAX_MODES = 10_000
 
@@ -18,15 +19,47 @@ MAX_MODES = 10_000
 def assign_modes(df: DataFrame, modes: DataFrame, key: str, codes: str) -> DataFrame:
     """``key, cluster, distance``: nearest mode of each row by Hamming distance, ties to the lesser cluster.
 
-    The modes (``cluster, mode``) are broadcast after a check of their number;
-    rows never move.
+    A null differs from any code, not from null.  The modes (``cluster, mode``)
+    go to all tasks after a check of their number; rows never move.  A row
+    without codes has a null distance, and without modes there is no cluster.
     """
-    if modes.limit(MAX_MODES + 1).count() > MAX_MODES:
+    rows = small(modes.select("cluster", "mode").where("mode is not null"), MAX_MODES)
+    if rows is None:
         raise ValueError("too many modes to broadcast")
-    all_ = modes.agg(F.array_sort(F.collect_list(F.struct("cluster", "mode"))).alias("_m"))
-    j = df.select(key, F.col(codes).alias("_x")).crossJoin(F.broadcast(all_))  # one row holding all modes
-    best = F.array_min(F.transform("_m", lambda m: F.struct(hamming(F.col("_x"), m["mode"]).alias("d"), m["cluster"].alias("c"))))
-    return j.select(key, best["c"].alias("cluster"), best["d"].alias("distance"))
+    rows.sort(key=lambda r: r["cluster"])
+    labels, known = [r["cluster"] for r in rows], list(dict.fromkeys(c for r in rows for c in r["mode"] if c is not None))
+    place = {c: i for i, c in enumerate([*known, None])}
+    width = max((len(r["mode"]) for r in rows), default=0)
+    m = np.array([[place[c] for c in r["mode"]] + [len(known)] * (width - len(r["mode"])) for r in rows], np.int32).reshape(len(rows), width)
+    out = StructType([df.schema[key], StructField("cluster", modes.schema["cluster"].dataType), StructField("distance", IntegerType())])
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            n, lists = b.num_rows, b.column(1)
+            none = np.asarray(lists.is_null().to_numpy(zero_copy_only=False), bool)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            w = max(width, int(size.max(initial=0)))
+            x = np.full((n, w), len(known), np.int32)
+            x[np.arange(w) < size[:, None]] = pc.fill_null(pc.index_in(flat, value_set=pa.array([*known, None], flat.type)), -1).to_numpy(zero_copy_only=False)
+            best, far = np.zeros(n, np.int64), np.zeros(n, np.int32)
+            step = max(1, 200_000 // max(len(m), 1))
+            for i in range(0, n if len(m) else 0, step):
+                y = x[i : i + step]
+                d = np.zeros((len(y), len(m)), np.int32)
+                for j in range(w):
+                    d += y[:, j, None] != (m[:, j] if j < width else len(known))
+                best[i : i + step] = d.argmin(1)
+                far[i : i + step] = d.min(1)
+            gone = none | (len(m) == 0)
+            cluster = pa.array(labels, pa_out[1]).take(pa.array(best)) if labels else pa.nulls(n, pa_out[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), cluster, pa.array(far, pa.int32(), mask=gone)], names=[key, "cluster", "distance"])
+
+    pa_out = [f.type for f in to_arrow_schema(out)]
+    return df.select(key, F.col(codes).alias("_x")).mapInArrow(run, out)
 
 
 def update_modes(df: DataFrame, assigned: DataFrame, key: str, codes: str) -> DataFrame:

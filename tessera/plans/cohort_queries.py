@@ -220,7 +220,7 @@ def cluster_homogeneity(spark, sf):
 
 def _modes(spark, sf):
     """Modes of the earlier run's clusters."""
-    o = table(spark, sf, "kmodes_obs").where("cluster_id is not null and cluster_id < 25")
+    o = table(spark, sf, "kmodes_obs").where("cluster_id is not null")
     return clusters.update_modes(o, o.select("obs_id", F.col("cluster_id").alias("cluster")), "obs_id", "dmat")
 
 
