@@ -72,11 +72,13 @@ def update_modes(df: DataFrame, assigned: DataFrame, key: str, codes: str) -> Da
     return per.select("cluster", F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))), lambda i: F.try_element_at("_m", i)).alias("mode"))
 
 
-def kmodes(df: DataFrame, k: int, key: str, codes: str, seeds: DataFrame | None = None, max_iter: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame, list[int]]:
+def kmodes(df: DataFrame, k: int, key: str, codes: str, seeds: DataFrame | None = None, max_iter: int | None = 20, seed: int = 1) -> tuple[DataFrame, DataFrame, list[int]]:
     """Lloyd's k-modes: assignment, modes and the cost after each round.
 
     Seeds default to ``k`` rows drawn by key hash.  Rounds end when the cost
-    no longer falls.  Every round is one map over the rows and one grouped count.
+    no longer falls; if ``max_iter`` (None: no limit) comes first, this raises
+    instead of returning.  Every round is one map over the rows and one grouped
+    count.
     """
     df = df.where(F.col(codes).isNotNull())
     if seeds is None:
@@ -86,8 +88,10 @@ def kmodes(df: DataFrame, k: int, key: str, codes: str, seeds: DataFrame | None
     while True:
         a = stage(assign_modes(df, modes, key, codes), "assigned")
         costs.append(int(a.agg(F.sum("distance")).first()[0] or 0))
-        if len(costs) > max_iter or (len(costs) > 1 and costs[-1] >= costs[-2]):
+        if len(costs) > 1 and costs[-1] >= costs[-2]:
             return a, modes, costs
+        if max_iter is not None and len(costs) > max_iter:
+            raise RuntimeError(f"k-modes: the cost still falls after {max_iter} rounds: {costs}")
         modes = stage(update_modes(df, a, key, codes), "modes")
 
 
@@ -123,7 +127,7 @@ def estimate_k(df: DataFrame, ks: list[int], key: str, codes: str, seed: int = 1
     n = df.count()
     rows, last = [], 0.0
     for k in ks:
-        cost = kmodes(df, k, key, codes, seed=seed)[2][-1]
+        cost = kmodes(df, k, key, codes, max_iter=None, seed=seed)[2][-1]
         d = (max(cost, 1) / (n * p)) ** (-p / 2) if cost else math.inf
         rows.append((k, cost, d - last))
         last = d

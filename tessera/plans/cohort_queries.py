@@ -236,8 +236,8 @@ def kmodes_assign(spark, sf):
 
 
 def kmodes_cluster(spark, sf):
-    """Lloyd's k-modes with 20 clusters."""
-    a, _, _ = clusters.kmodes(table(spark, sf, "kmodes_obs"), 20, "obs_id", "dmat", max_iter=4)
+    """Lloyd's k-modes with 20 clusters, run until the cost no longer falls."""
+    a, _, _ = clusters.kmodes(table(spark, sf, "kmodes_obs"), 20, "obs_id", "dmat", max_iter=None)
     return a
 
 

@@ -1,6 +1,7 @@
 """Cohort queries over small tables: nothing of the tables is left out."""
 
 import numpy as np
+import pytest
 
 from tessera.operators import clusters
 from tessera.plans import cohort_queries as Q
@@ -40,3 +41,17 @@ def test_nearest_mode_of_ragged_and_missing_codes(spark):
     assert got == {"1": (7, 0), "2": (2, 0), "3": (2, 2), "4": (2, None), "5": (2, 2), "6": (2, 2)}
     none = clusters.assign_modes(d, modes.limit(0), "k", "x").collect()
     assert len(none) == 6 and all(r["cluster"] is None and r["distance"] is None for r in none)
+
+
+def test_kmodes_runs_until_the_cost_stops_falling(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(v) for v in x]) for i, x in enumerate(rng.integers(0, 4, (1500, 16)))]
+    sf = _save(spark, tmp_path, "kmodes_obs", rows, "obs_id bigint, dmat array<int>")
+    got = {r["obs_id"]: (r["cluster"], r["distance"]) for r in Q.kmodes_cluster(spark, sf).collect()}
+    x, label = np.array([v for _, v in rows]), np.array([got[i][0] for i, _ in rows])
+    counts = {c: np.array([(x[label == c] == v).sum(0) for v in range(4)]) for c in set(label)}
+    modes = np.array([n.argmax(0) for n in counts.values()])
+    again = (x[:, None] != modes).sum(2).min(1).sum()  # one more round by plain counting
+    assert len(got) == 1500 and again >= sum(d for _, d in got.values())
+    with pytest.raises(RuntimeError, match="still falls"):
+        clusters.kmodes(spark.read.parquet(f"{sf}/kmodes_obs.parquet"), 20, "obs_id", "dmat", max_iter=1)
