@@ -55,3 +55,13 @@ def test_kmodes_runs_until_the_cost_stops_falling(spark, tmp_path):
     assert len(got) == 1500 and again >= sum(d for _, d in got.values())
     with pytest.raises(RuntimeError, match="still falls"):
         clusters.kmodes(spark.read.parquet(f"{sf}/kmodes_obs.parquet"), 20, "obs_id", "dmat", max_iter=1)
+
+
+def test_clusters_of_a_sample_are_whole_sequences(spark, tmp_path):
+    rows = [("s", "ACGTA", 50), ("s", "acgta", 10), ("s", "ACGTC", 40), ("s", "ACTTC", 30), ("s", "ACTTG", 20), ("s", "ACAAA", 5), ("s", "TTTTT", None), ("u", "ACGTA", 8), ("u", "ACGTT", 2)]
+    sf = _save(spark, tmp_path, "hash_seqs", rows, "sample_id string, hash_sequence string, abundance int")
+    for query in (Q.haplotype_lrt, Q.haplotype_hypothesis):
+        got = {r["sample_id"]: [r[f"n{i}"] for i in range(1, 5)] for r in query(spark, sf).collect()}
+        assert got == {"s": [60, 40, 30, 20], "u": [8, 2, 0, 0]}
+    got = {r["sample_id"]: (r["n1"], r["n2"], r["chi2"]) for r in Q.allele_balance(spark, sf).collect()}
+    assert got == {"s": (60, 40, 4.0), "u": (8, 2, 3.6)}
