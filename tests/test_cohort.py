@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import clusters
+from tessera.operators import clusters, truth
 from tessera.plans import cohort_queries as Q
 
 
@@ -65,3 +65,17 @@ def test_clusters_of_a_sample_are_whole_sequences(spark, tmp_path):
         assert got == {"s": [60, 40, 30, 20], "u": [8, 2, 0, 0]}
     got = {r["sample_id"]: (r["n1"], r["n2"], r["chi2"]) for r in Q.allele_balance(spark, sf).collect()}
     assert got == {"s": (60, 40, 4.0), "u": (8, 2, 3.6)}
+
+
+def test_truth_names_every_customer_and_joins_keep_unmatched_rows(spark, tmp_path):
+    sf = _save(spark, tmp_path, "customer", [(i,) for i in range(1, 8)], "c_custkey bigint")
+    t = Q._truth(spark, sf)
+    assert sorted(map(tuple, t.collect())) == [(i, i % 2) for i in range(1, 8)]
+    s = spark.createDataFrame([(2, -1.0), (3, -2.0), (9, -3.0)], "position_a bigint, score double")
+    on = ["position_a"]
+    rows = lambda d: sorted(map(tuple, d.select("position_a", "score", "truth").collect()))
+    assert rows(truth.truth_left(s, t, on, ["truth"])) == [(2, -1.0, 0), (3, -2.0, 1), (9, -3.0, 0)]
+    scores = {2: -1.0, 3: -2.0}
+    assert rows(truth.truth_right(t, s, on, ["score"])) == [(i, scores.get(i), i % 2) for i in range(1, 8)]
+    assert rows(truth.truth_full(s, t, on, ["score"])) == [(i, scores.get(i, 0.0), i % 2) for i in range(1, 8)] + [(9, -3.0, 0)]
+    assert truth.precision_recall(truth.truth_left(s, t, on, ["truth"]), "score", "truth", -2.5).first()["tp"] == 1
