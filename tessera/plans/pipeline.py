@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.functions import cigar, seq
 from tessera.operators import coverage_tests, genotype as G, regions, vcf
 from tessera.operators.likelihood import log_likelihood, read_posteriors, with_emission
-from tessera.operators.reads import ReadFilter, filter_reads, match_clips, overlap_targets, pair_subgenomes, strand_name
+from tessera.operators.reads import ReadFilter, extents, filter_reads, match_clips, overlap_targets, pair_subgenomes, strand_name
 from tessera.storage import stage
 
 
@@ -60,6 +60,13 @@ def bases_of(pairs: DataFrame, side: str) -> DataFrame:
     return b.where("rd_idx >= clip_start and rd_idx < _n - clip_end").drop("clip_start", "clip_end", "_n")
 
 
+def reference_extent(pairs: DataFrame, targets: DataFrame, side: str) -> DataFrame:
+    """``chrom, start0, end0`` of every target on one side: the exact extent of its paired reads, widened to the target."""
+    e = extents(pairs.select("target_id", F.col(f"pos_{side}").alias("pos"), F.col(f"cigar_{side}").alias("cigar")), ["target_id"])
+    j = targets.select("target_id", F.col(f"chrom_{side}").alias("chrom"), F.col(f"start_{side}").alias("_s"), F.col(f"end_{side}").alias("_e")).join(e, "target_id", "left")
+    return j.select("chrom", F.greatest(F.least("start0", "_s"), F.lit(0)).alias("start0"), F.greatest("end0", "_e").alias("end0"))
+
+
 def pileup(alignments: DataFrame, targets: DataFrame, reference: DataFrame, o: Options = Options()) -> DataFrame:
     """Joint pileup rows: bases aligned to both positions of a homoeologous pair, with read likelihoods.
 
@@ -67,8 +74,7 @@ def pileup(alignments: DataFrame, targets: DataFrame, reference: DataFrame, o: O
     """
     pairs = stage(reads_in_targets(alignments, targets, o), "pairs")
     smap = stage(regions.site_map(targets), "sites")
-    margin = 10_000  # reads reach beyond their target
-    ranges = [targets.select(F.col(f"chrom_{s}").alias("chrom"), F.greatest(F.col(f"start_{s}") - margin, F.lit(0)).alias("start0"), (F.col(f"end_{s}") + margin).alias("end0")) for s in "ab"]
+    ranges = [reference_extent(pairs, targets, s) for s in "ab"]
     refs = stage(regions.reference_bases(reference, ranges[0].unionByName(ranges[1])), "reference")
     chroms = targets.select("target_id", "chrom_a", "chrom_b")
     one: dict[str, DataFrame] = {}
