@@ -3,8 +3,8 @@
 Every input split is dictionary-encoded on its own and reduced with numpy
 ``bincount`` into dense accumulator arrays (one slot per local key), so a
 task's cost follows its rows, not how they spread over keys.  The arrays
-travel in blocks chosen by key hash and are summed block by block; a split
-sends each key once, whatever its number of rows.  No global dictionary is
+leave a split as rows of key and partial count, which are summed by a grouped
+sum; a split sends each key once per flush, whatever its number of rows.  No global dictionary is
 built or broadcast, so the number of keys is unbounded.
 """
 
@@ -72,7 +72,7 @@ def accumulate(df: DataFrame, key: str, sums: list[str] | None = None, blocks: i
             yield out()
 
     partial = src.mapInArrow(splits, schema)
-    # one array block per split and hash bucket; blocks are summed in the JVM, with map-side combine
+    # one row per split (and flush) and key; summed in the JVM, with map-side combine
     total = partial.groupBy("_key").agg(*[F.sum(n).alias(n) for n in names])
     if blocks:
         total = total.repartition(blocks, "_key")
