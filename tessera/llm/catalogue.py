@@ -18,13 +18,13 @@ def _observations(spark: SparkSession, sf: str):
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every observation with the least observation of its cluster."""
-    found = similarity.labels(*_observations(spark, sf)).where("id <> first_id")
+    found = similarity.labels(_observations(spark, sf)).where("id <> first_id")
     return found.select(F.col("first_id").alias("first_obs_id"), F.col("id").alias("obs_id"))
 
 
 def p2_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters with their size and most typical members."""
-    return similarity.describe(*_observations(spark, sf)).select(F.col("first_id").alias("first_obs_id"), F.col("n").alias("n_obs"), "typical")
+    return similarity.describe(_observations(spark, sf)).select(F.col("first_id").alias("first_obs_id"), F.col("n").alias("n_obs"), "typical")
 
 
 def _coverages(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,12 +151,20 @@ d as (select doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-z0
 x as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') g from (select doc_id, w, unnest(range(1, greatest(len(w) - 10, 1))) k from d)),
 f as (select distinct doc_id, item_id, suite from x join r using (g))
 """
-ORACLE = {
-    # clusters are cliques in this data, so the least similar observation names them
-    "p2_found": """
+_P2 = """
 with s as (select obs_id, list_transform(dmat, lambda x: coalesce(x, -1)) d from kmodes_obs),
 t as (select a.obs_id, min(b.obs_id) f from s a join s b on b.obs_id < a.obs_id and list_sum(list_transform(list_zip(a.d, b.d), lambda p: (p[1] >= 0 and p[2] >= 0 and p[1] <> p[2])::int)) <= 10 group by 1)
-select f first_obs_id, obs_id from t""",
+"""
+ORACLE = {
+    # clusters are cliques in this data, so the least similar observation names them
+    "p2_found": _P2 + "select f first_obs_id, obs_id from t",
+    # density: others that agree in a wholly known fifth of the sites, over the five fifths
+    "p2_clusters": _P2 + """, w as (select obs_id, k, d[16 * k + 1:16 * k + 16] v from s, range(5) r(k)),
+c as (select obs_id, k, v, count(*) over (partition by k, v) - 1 n from w),
+y as (select obs_id, sum(case when list_contains(v, -1) then 0 else n end) density from c group by 1),
+m as (select y.obs_id, density, coalesce(f, y.obs_id) f from y left join t on y.obs_id = t.obs_id),
+o as (select *, row_number() over (partition by f order by density desc, obs_id) r from m)
+select f first_obs_id, count(*) n_obs, list(obs_id order by r) filter (r <= 3) typical from o group by 1""",
     "p4_found": _P4 + "select distinct f field_name, least(i, j) id_low, greatest(i, j) id_high from o where i <> j",
     "p7_found": _P7 + "select doc_id, item_id from f",
     "p7_items": _P7 + "select item_id, suite, count(*) n_docs from f group by 1, 2",

@@ -45,21 +45,21 @@ def test_density_peaks_split_hot_buckets(spark, monkeypatch, chunk):
     rng = random.Random(5)
     rows = _observations(rng, [60, 20, 5, 2, 1, 1, 1])
     df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)] + [(900, None), (901, [None] * 40)], "k bigint, x array<int>").repartition(3)
-    members, peaks = similarity.density_peaks(df, "k", "x", 6)
-    got = {r["id"]: r["first_id"] for r in similarity.labels(members, peaks).collect()}
+    members = similarity.density_peaks(df, "k", "x", 6)
+    got = {r["id"]: r["first_id"] for r in similarity.labels(members).collect()}
     far = lambda a, b: sum(p != q for p, q in zip(a, b) if p is not None and q is not None)
     want = _components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if far(rows[i], rows[j]) <= 6])
     assert got == dict(enumerate(want))
-    top = {r["first_id"]: r for r in similarity.describe(members, peaks).collect()}
+    top = {r["first_id"]: r for r in similarity.describe(members).collect()}
     assert sorted(r["n"] for r in top.values()) == [1, 1, 1, 2, 5, 20, 60]
     assert all(want[t] == f for f, r in top.items() for t in r["typical"])
 
 
 def test_density_peaks_edge_cases(spark):
     none = spark.createDataFrame([], "k bigint, x array<int>")
-    assert similarity.labels(*similarity.density_peaks(none, "k", "x", 2)).count() == 0
+    assert similarity.labels(similarity.density_peaks(none, "k", "x", 2)).count() == 0
     wide = spark.createDataFrame([(1, [1000, -5, 7, 8]), (2, [1000, -5, 7, 8]), (3, [1000, -5, 7]), (3, [1000, -5, 7]), (4, [1, 2, 3, 4])], "k bigint, x array<int>")
-    got = {r["id"]: r["first_id"] for r in similarity.labels(*similarity.density_peaks(wide, "k", "x", 1)).collect()}
+    got = {r["id"]: r["first_id"] for r in similarity.labels(similarity.density_peaks(wide, "k", "x", 1)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
@@ -265,7 +265,7 @@ CLASH = ["_id", "_x", "_uid", "uid", "peak", "density", "codes", "size", "weight
 def test_extra_columns_with_clashing_names(spark):
     extra = [F.lit(None).cast("string").alias(c) for c in CLASH]
     x = spark.createDataFrame([(1, [1, 2, 3, 1]), (2, [1, 2, 3, 1]), (None, [1, 2, 3, 1])], "k bigint, x array<int>").select("*", *extra)
-    assert {tuple(r) for r in similarity.labels(*similarity.density_peaks(x, "k", "x", 1)).collect()} == {(1, 1), (2, 1)}
+    assert {tuple(r) for r in similarity.labels(similarity.density_peaks(x, "k", "x", 1)).collect()} == {(1, 1), (2, 1)}
     v = spark.createDataFrame([("g", 1), ("g", 3), (None, None)], "g string, v int").select("*", *extra)
     assert percentiles.sketch(v, ["g"], "v").first()["n_values"] == 2
     q = spark.createDataFrame([(0, 1, "ACGTTGCAACGGT"), (0, 2, "ACGTTGCAACGGT"), (0, 3, None)], "field int, id bigint, seq string").select("*", *extra)
@@ -285,3 +285,81 @@ def test_tokens_of_the_public_tokenizer(spark):
     d = spark.createDataFrame([("Hello world",), ("",), (None,), ("<|endoftext|>",), ("x" * 5000,)], "t string")
     n = [r[0] for r in d.select(mixing.token_count(F.col("t"))).collect()]
     assert n[0] == 2 and n[1:3] == [0, 0] and n[3] > 1 and n[4] > 100
+
+
+def _peaks_by_hand(rows, radius, windows=5):
+    """Labels by brute force: density by windows, nearest denser neighbour; order of equal densities by the operator's own hash."""
+    sites = max(map(len, rows.values()))
+    edges = np.linspace(0, sites, windows + 1).astype(int)
+    density = dict.fromkeys(rows, 0)
+    for i, x in rows.items():
+        for lo, hi in zip(edges, edges[1:]):
+            if None not in x[lo:hi]:
+                density[i] += sum(y[lo:hi] == x[lo:hi] for j, y in rows.items() if j != i)
+    return density
+
+
+def _gap(x, y, radius):
+    both = [(p, q) for p, q in zip(x, y) if p is not None and q is not None]
+    return sum(p != q for p, q in both) if len(both) > radius else radius + 1
+
+
+def _chains(rng, sites=40):
+    """Clusters that are chains, not cliques: every step edits a few more sites."""
+    rows = []
+    for length in (30, 12, 3):
+        x = [rng.randrange(4) for _ in range(sites)]
+        for _ in range(length):
+            x = list(x)
+            for i in rng.sample(range(sites), 4):
+                x[i] = rng.randrange(4)
+            rows += [list(x)] * rng.randint(1, 3)
+            y = list(x)
+            for i in rng.sample(range(sites), rng.randint(0, 9)):
+                y[i] = None
+            rows.append(y)
+    return rows
+
+
+@pytest.mark.parametrize("chunk,cohort", [(8192, 128), (5, 3)])
+def test_peaks_of_chains_do_not_depend_on_the_layout(spark, monkeypatch, tmp_path, chunk, cohort):
+    """Peaks are exactly the records without a denser neighbour; files, batches and parts change nothing."""
+    rows = dict(enumerate(_chains(random.Random(9))))
+    df = spark.createDataFrame(list(rows.items()), "k bigint, x array<int>")
+    want = _peaks_by_hand(rows, 6)
+    monkeypatch.setattr(similarity, "COHORT", cohort)
+    seen = []
+    for n, size in ((1, 8192), (3, chunk), (7, chunk)):
+        monkeypatch.setattr(similarity, "CHUNK", size)
+        path = str(tmp_path / f"{n}")
+        df.orderBy(F.xxhash64("k", F.lit(n))).repartition(n).write.parquet(path)
+        m = similarity.density_peaks(spark.read.parquet(path), "k", "x", 6)
+        got = m.collect()
+        assert {r["id"]: r["density"] for r in got} == want
+        name = {r["uid"]: r["id"] for r in got}
+        seen.append({r["id"]: name[r["root"]] for r in got})
+    assert seen[0] == seen[1] == seen[2]
+    root = seen[0]
+    for i, x in rows.items():
+        near = [j for j in rows if j != i and _gap(x, rows[j], 6) <= 6]
+        if root[i] == i:
+            assert all(want[j] <= want[i] for j in near)
+        else:
+            assert any(want[j] >= want[i] for j in near)  # so only peaks are their own roots
+            assert any(root[j] == root[i] for j in near)
+    linked = _components(len(rows), [(i, j) for i in rows for j in range(i) if _gap(rows[i], rows[j], 6) <= 6])
+    assert all(linked[i] == linked[root[i]] for i in rows)
+
+
+def test_records_with_many_unknown_sites_stand_apart(spark, monkeypatch):
+    """Records whose unknown sites break the blocks are compared with all others, in parts."""
+    monkeypatch.setattr(similarity, "APART", 3)
+    rng = random.Random(3)
+    centre = [[rng.randrange(1000) for _ in range(12)] for _ in range(2)]
+    rows = [list(centre[i % 2]) for i in range(20)]
+    for i, x in enumerate(rows):
+        for k in rng.sample(range(12), i % 7):
+            x[k] = None
+    df = spark.createDataFrame(list(enumerate(rows)), "k bigint, x array<int>")
+    got = {r["id"]: r["first_id"] for r in similarity.labels(similarity.density_peaks(df, "k", "x", 3)).collect()}
+    assert got == {i: i % 2 for i in range(20)}
