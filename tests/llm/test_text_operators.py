@@ -329,8 +329,10 @@ def test_peaks_of_chains_do_not_depend_on_the_layout(spark, monkeypatch, tmp_pat
     want = _peaks_by_hand(rows, 6)
     monkeypatch.setattr(similarity, "COHORT", cohort)
     seen = []
+    sent = similarity.BROADCAST_BYTES
     for n, size in ((1, 8192), (3, chunk), (7, chunk)):
         monkeypatch.setattr(similarity, "CHUNK", size)
+        monkeypatch.setattr(similarity, "BROADCAST_BYTES", sent if n == 1 else 0)
         path = str(tmp_path / f"{n}")
         df.orderBy(F.xxhash64("k", F.lit(n))).repartition(n).write.parquet(path)
         m = similarity.density_peaks(spark.read.parquet(path), "k", "x", 6)
