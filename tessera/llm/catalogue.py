@@ -180,9 +180,10 @@ s as (select genotype, 'cova' coverage, cova v from v where cova >= 0 union all
 select genotype, coverage from s group by 1, 2 having quantile_disc(v, 0.9) > 4 * quantile_disc(v, 0.5)""",
     "p9_found": _P9 + "select distinct doc_id from m where not closed",
     "p9_rates": _P9 + """, h as (select source, 'chars' k, chars l, count(*) n from m group by 1, 2, 3 union all select source, 'bytes', bytes, count(*) from m group by 1, 2, 3),
-tp as (select source, k, max(l) mx, arg_max(n, l) n_at from h group by 1, 2),
-u as (select h.source, h.k, avg(n) mean from h join tp on h.source = tp.source and h.k = tp.k where l >= mx / 2.0 and l < mx group by 1, 2),
-s as (select tp.source, tp.k, mx from tp left join u on tp.source = u.source and tp.k = u.k where n_at >= 5 and n_at >= 8 * coalesce(mean, 0)),
-d as (select m.source, closed, c.mx lc, b.mx lb, coalesce(chars = c.mx, false) or coalesce(bytes = b.mx, false) hit from m left join s c on c.source = m.source and c.k = 'chars' left join s b on b.source = m.source and b.k = 'bytes')
-select source, count(*) n_docs, count(*) filter (not closed) n_cut, count(*) filter (not closed and hit) n_field_limit, round(count(*) filter (not closed) / count(*), 6) cut_share, max(lc)::int limit_chars, max(lb)::int limit_bytes from d group by 1""",
+g as (select *, length(bin(l)) o from h),
+e as (select a.source, a.k, a.l, a.n, sum(b.n) - a.n tn, count(*) - 1 tk from g a join g b on a.source = b.source and a.k = b.k and abs(a.o - b.o) <= 1 where a.n >= 5 group by 1, 2, 3, 4),
+s as (select source, k, l from e where n >= 8 * case when tk > 0 then tn / tk else 0 end),
+d as (select m.*, exists (select 1 from s where s.source = m.source and ((k = 'chars' and l = chars) or (k = 'bytes' and l = bytes))) hit from m),
+q as (select source, coalesce(string_agg(l::varchar, ',' order by l) filter (k = 'chars'), '') lc, coalesce(string_agg(l::varchar, ',' order by l) filter (k = 'bytes'), '') lb from s group by 1)
+select d.source, 'text' field, count(*) n_docs, count(*) filter (not closed) n_cut, count(*) filter (not closed and hit) n_field_limit, round(count(*) filter (not closed) / count(*), 6) cut_share, coalesce(any_value(lc), '') limits_chars, coalesce(any_value(lb), '') limits_bytes from d left join q using (source) group by 1""",
 }

@@ -238,8 +238,8 @@ def test_mix_reaches_targets_within_caps(spark):
 
 
 def test_endings(spark):
-    whole = ["It ends.", "Does it?", "Yes!”", "(It ends.)", "x\n-- jo (night shift)", "a | b\n| c | 1 |", "t.\nKeywords: a, b", "t.\nFiles: a/b.tsv", "l\nexit status 1", "l\nfinished in 6.5 s", "t\n```\ncode\n```", "It ends.  \n "]
-    cut = ["It en", "It ends...", "It ends…", "It ends… ", "bu�", "t\n```\ncode", "t\n```", "l\nfinished in 64.", "l\nexit status", "| a | 1", "see (it"]
+    whole = ["It ends.", "Does it?", "Yes!”", "(It ends.)", "x\n-- jo (night shift)", "a | b\n| c | 1 |", "t.\nKeywords: a, b", "t.\nFiles: a/b.tsv", "l\nexit status 1", "l\nfinished in 6.5 s", "t\n```\ncode\n```", "It ends.  \n ", "It ends.\t\r\n", "It. ends.\"\n"]
+    cut = ["It en", "It ends...", "It ends…", "It ends… ", "bu�", "t\n```\ncode", "t\n```", "l\nfinished in 64.", "l\nexit status", "| a | 1", "see (it", "it is .\n.\n.", "so .. .\")"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*whole, *cut, None, "", "  "])], "i int, t string")
     got = {r["i"]: r["c"] for r in df.select("i", truncation.closes(F.col("t")).alias("c")).collect()}
     assert [got[i] for i in range(len(got))] == [True] * len(whole) + [False] * len(cut) + [None] * 3
@@ -255,7 +255,12 @@ def test_length_spikes(spark):
     by = {r["cause"]: r["n"] for r in found.groupBy("cause").agg(F.count("*").alias("n")).collect()}
     assert by["field_limit"] == 40 and by["transfer"] == 1
     r = {x["source"]: x for x in truncation.rates(found).collect()}
-    assert r["s1"]["limit_chars"] == 200 and r["s2"]["limit_chars"] is None and r["s1"]["n_cut"] == 40
+    assert r["s1"]["limits_chars"] == "200" and r["s2"]["limits_chars"] == "" and r["s1"]["n_cut"] == 40
+    stray = df.unionByName(spark.createDataFrame([(4000, "s1", "word " * 80 + ".")], df.schema))  # a longer value hides no limit
+    assert {x["source"]: x["limits_chars"] for x in truncation.rates(truncation.truncated(stray)).collect()}["s1"] == "200"
+    two = df.withColumn("note", F.when(F.col("doc_id") < 60, F.repeat(F.lit("n"), F.lit(50))).when(F.col("doc_id") < 300, F.concat(F.repeat(F.lit("n"), (F.col("doc_id") % 97 + 1).cast("int")), F.lit("."))))
+    r = {(x["source"], x["field"]): x for x in truncation.rates(truncation.truncated(two, text=["text", "note"])).collect()}
+    assert r["s1", "note"]["limits_chars"] == "50" and r["s1", "note"]["n_field_limit"] == 60 and r["s1", "text"]["limits_chars"] == "200"
     assert truncation.truncated(df.where("false")).count() == 0
 
 
