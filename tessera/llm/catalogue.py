@@ -85,6 +85,11 @@ def p7_items(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "eval_items").select("item_id", "suite").join(found, "item_id").select("item_id", "suite", "n_docs")
 
 
+def p7_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Every leak with the words of the item's question that the document holds too."""
+    return leakage.question_overlap(p7_found(spark, sf), _table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
+
+
 def _mix(spark: SparkSession, sf: str):
     return mixing.mix(_table(spark, sf, "documents"), _table(spark, sf, "mix_targets"), weight="sqrt(size)")
 
@@ -119,7 +124,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_clusters": p2_clusters,
     "p3_found": p3_found, "p3_percentiles": p3_percentiles,
     "p4_found": p4_found, "p4_classes": p4_classes,
-    "p7_found": p7_found, "p7_items": p7_items,
+    "p7_found": p7_found, "p7_items": p7_items, "p7_overlap": p7_overlap,
     "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix,
     "p9_found": p9_found, "p9_rates": p9_rates,
 }
@@ -168,6 +173,8 @@ select f first_obs_id, count(*) n_obs, list(obs_id order by r) filter (r <= 3) t
     "p4_found": _P4 + "select distinct f field_name, least(i, j) id_low, greatest(i, j) id_high from o where i <> j",
     "p7_found": _P7 + "select doc_id, item_id from f",
     "p7_items": _P7 + "select item_id, suite, count(*) n_docs from f group by 1, 2",
+    "p7_overlap": _P7 + """, q as (select item_id, list_filter(list_distinct(string_split_regex(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x: x <> '') q from eval_items)
+select f.doc_id, f.item_id, len(q)::int question_words, len(list_intersect(q, d.w))::int question_shared from f join q using (item_id) join d using (doc_id)""",
     # any measure of size gives the same sources; here characters stand for tokens
     "p8_found": r"""
 with t as (select min(source_name) source_name, regexp_replace(lower(trim(source_name)), '[ _-]+', '_', 'g') s, sum(target_share) share, min(max_repeats) m from mix_targets group by 2),

@@ -5,22 +5,29 @@ blocks that know their greatest score.  Every training passage is a query, and
 block-max WAND retrieves all items whose score reaches the item's threshold.
 That threshold is the least score any run of ``min_words`` words of the item
 can have, so a passage holding such a run is always retrieved; retrieved pairs
-are then verified word by word.
+are then verified word by word, and the overlap with the item's question is
+reported beside each leak.
+
+Items beyond :data:`MAX_ITEMS` are divided into shards.  The corpus is still
+read once: a fixed-size bitmap of all items' n-grams keeps the passages that
+can hold a run of any item, and only those are searched shard by shard.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.storage import small
+from tessera.storage import small, stage
 
 WORD = re.compile(r"[a-z0-9]+")
 MAX_ITEMS = 20_000  # items of one index shard; more items make more shards
+BITS = 1 << 27  # bitmap of all items' n-grams where there are several shards: a fixed size
 
 
 def words(text: str | None) -> list[str]:
@@ -28,6 +35,15 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def hashed_grams(ids: np.ndarray, n: int) -> np.ndarray:
+    """63-bit keys of the runs of ``n`` ids, whatever the number of ids; colliding keys only add candidates."""
+    key = np.zeros(max(len(ids) - n + 1, 0), np.uint64)
+    for j in range(n if len(key) else 0):
+        key = (key ^ ids[j : len(ids) - n + 1 + j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return (key >> np.uint64(1)).astype(np.int64)
+
+
 class ItemIndex:
     """BM25 inverted index of test items with block maxima; scores are divided by each item's threshold."""
 
@@ -38,7 +54,6 @@ class ItemIndex:
         self.ids = np.array([i for i, _ in kept], np.int64)
         self.vocab: dict[str, int] = {}
         docs = [np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64) for _, w in kept]
-        self.base = len(self.vocab) + 1
         grams = [self.grams(d) for d in docs]
         self.keys = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
         terms = [np.searchsorted(self.keys, g) for g in grams]
@@ -64,15 +79,9 @@ class ItemIndex:
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Keys of the word n-grams; 0 ids (unknown words) make a key that no item has."""
-        if len(ids) < self.n:
-            return np.zeros(0, np.int64)
-        base, key = np.int64(self.base), np.zeros(len(ids) - self.n + 1, np.int64)
-        dead = np.zeros(len(key), bool)
-        for j in range(self.n):
-            part = ids[j : len(ids) - self.n + 1 + j]
-            key = key * base + part
-            dead |= part == 0
-        key[dead] = -1
+        key = hashed_grams(ids, self.n)
+        for j in range(self.n if len(key) else 0):
+            key[ids[j : len(ids) - self.n + 1 + j] == 0] = -1
         return key
 
     def retrieve(self, terms: list[int], floor: float = 1 - 1e-9) -> list[int]:
@@ -174,6 +183,60 @@ def search(index: ItemIndex, texts: list[str | None], passage: int = 48) -> list
     return sorted(found)
 
 
+def _word_ids(text: str | None, seen: dict[str, int]) -> np.ndarray:
+    out = []
+    for x in words(text):
+        if x not in seen:
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen[x] = zlib.crc32(x.encode())
+        out.append(seen[x])
+    return np.array(out, np.uint64)
+
+
+def _promising(src: DataFrame, items: DataFrame, min_words: int, n: int, passage: int) -> DataFrame:
+    """Passages of ``src`` (key, text) in which every n-gram of some run of ``min_words`` words occurs in the items."""
+    width, span = BITS // 256 // 8, min_words - n + 1
+    key, text = src.columns
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = np.zeros(BITS, bool), {}
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                bits[hashed_grams(_word_ids(t, seen), n) & (BITS - 1)] = True
+        packed = np.packbits(bits).reshape(256, width)
+        at = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([zlib.compress(packed[i].tobytes(), 1) for i in at], pa.binary())], names=["block", "bits"])
+
+    def join(t: pa.Table) -> pa.Table:
+        bits = np.zeros(width, np.uint8)
+        for x in t.column("bits").to_pylist():
+            bits |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.Table.from_arrays([t.column("block").slice(0, 1), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+    got = items.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(join, "block int, bits binary").collect()  # 256 rows of fixed size
+    table = np.zeros((256, width), np.uint8)
+    for r in got:
+        table[r["block"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    shared = src.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value, {}
+        for b in batches:
+            row, out = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                w = words(t)
+                k = hashed_grams(_word_ids(t, seen), n) & (BITS - 1)
+                held = np.concatenate([[0], np.cumsum((bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1)])
+                start = np.flatnonzero(held[span:] - held[:-span] == span) if len(held) > span else []
+                for p in np.unique(np.asarray(start, np.int64) // (passage - min_words + 1)):
+                    lo = p * (passage - min_words + 1)
+                    row.append(i), out.append(" ".join(w[lo : lo + passage]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(out, pa.string())], names=[key, text])
+
+    return stage(src.mapInArrow(keep, src.schema), "leak-passages")
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
           item_text: str = "item_text", min_words: int = 12, n: int = 3, passage: int = 48) -> DataFrame:
     """``key, item_key`` of every document holding ``min_words`` consecutive words of an item.
@@ -182,7 +245,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     cannot leak; items sharing a passage are all reported; repeated documents
     give one row per key and item.  Documents are processed whole.  The items
     must be few enough for a shard (:data:`MAX_ITEMS`, checked); beyond that
-    they are divided by hash into shards, each searched in turn.
+    they are divided by hash into shards, each searched in turn in the passages
+    one pass over the corpus has kept.
     """
     spark = docs.sparkSession
     picked = items.select(F.col(f"`{item_key}`"), F.col(f"`{item_text}`")).distinct()
@@ -192,6 +256,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     src = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
     if len(src.columns) < 2:
         raise ValueError("key and text must differ")
+    if shards > 1:
+        src = _promising(src, picked.select(F.col(f"`{item_text}`")), min_words, n, passage)
     schema = f"`{key}` {src.schema[0].dataType.simpleString()}, `{item_key}` {picked.schema[0].dataType.simpleString()}"
     out = None
     for s in range(shards):
@@ -213,3 +279,20 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         found = src.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out.distinct()
+
+
+def question_overlap(found: DataFrame, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", question: str = "question") -> DataFrame:
+    """``key, item_key, question_words, question_shared`` of every leak: distinct words of the item's question, and those in the document.
+
+    A null or empty question has no words; of repeated documents or items the
+    greatest overlap counts.
+    """
+
+    def distinct(c: str):
+        return F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", " "), " ")), "")
+
+    d = docs.select(F.col(f"`{key}`").alias("_d"), F.col(f"`{text}`").alias("_t")).join(found.select(F.col(f"`{key}`").alias("_d")).distinct(), "_d", "left_semi")
+    i = items.select(F.col(f"`{item_key}`").alias("_i"), distinct(f"`{question}`").alias("_q"))
+    j = found.select(F.col(f"`{key}`").alias("_d"), F.col(f"`{item_key}`").alias("_i")).join(i, "_i").join(d.select("_d", distinct("_t").alias("_w")), "_d")
+    g = j.groupBy("_d", "_i").agg(F.max(F.struct(F.size(F.array_intersect("_q", "_w")).alias("s"), F.size("_q").alias("n"))).alias("v"))
+    return g.select(F.col("_d").alias(key), F.col("_i").alias(item_key), F.col("v.n").alias("question_words"), F.col("v.s").alias("question_shared"))

@@ -205,7 +205,12 @@ def test_leaks_in_shards(spark, monkeypatch):
     text = [" ".join(f"a{i}x{j}" for j in range(15)) for i in range(8)]
     it = spark.createDataFrame(list(enumerate(text)), "item_id bigint, item_text string")
     df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id bigint, text string")
-    assert {tuple(r) for r in leakage.leaks(df, it).collect()} == {(i, i) for i in range(8)}
+    far = spark.createDataFrame([(100, " ".join(f"z{j}" for j in range(900)) + " " + text[2][20:] + " and " + text[6]), (101, None), (102, text[1][:40])], df.schema)
+    got = leakage.leaks(df.unionByName(far), it)
+    assert {tuple(r) for r in got.collect()} == {(i, i) for i in range(8)} | {(100, 6)}
+    asked = it.withColumn("question", F.when(F.col("item_id") < 7, F.concat(F.lit("Which A"), F.col("item_id").cast("string"), F.lit("X1, a6x2?"))))
+    over = {(r["doc_id"], r["item_id"]): (r["question_words"], r["question_shared"]) for r in leakage.question_overlap(got, df.unionByName(far), asked).collect()}
+    assert over[0, 0] == (3, 1) and over[6, 6] == (3, 2) and over[7, 7] == (0, 0) and over[100, 6] == (3, 2)
 
 
 def test_pareto_sample_is_fixed_size_and_unequal(spark):
