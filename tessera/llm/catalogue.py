@@ -51,6 +51,21 @@ def p3_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     return percentiles.percentiles(whole, ["genotype", "coverage"], {"p25": 0.25, "p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
+def p3_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the combined sketches of the loads meet the rank-error bound, from exact ranks of all values."""
+    fractions = {"p25": 0.25, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+    v = _coverages(spark, sf)
+    p = p3_percentiles(spark, sf)
+    counts = [F.count_if(F.col("value") < F.col(c)).alias(f"lo_{c}") for c in fractions] + [F.count_if(F.col("value") <= F.col(c)).alias(f"hi_{c}") for c in fractions]
+    p = p.select(F.col("genotype").alias("_g"), F.col("coverage").alias("_c"), *fractions)
+    g = v.join(p, F.col("genotype").eqNullSafe(F.col("_g")) & (F.col("coverage") == F.col("_c"))).groupBy("genotype", "coverage").agg(F.count("*").alias("n_values"), *counts)
+    e = percentiles.rank_error()
+    ok = F.lit(True)
+    for c, q in fractions.items():  # the ranks of a value are those of all its ties
+        ok = ok & (F.col(f"lo_{c}") <= (q + e) * F.col("n_values")) & (F.col(f"hi_{c}") >= (q - e) * F.col("n_values"))
+    return g.select("genotype", "coverage", "n_values", ok.alias("within_bound"))
+
+
 FIELDS = ["read", "sequence"]
 
 
@@ -104,6 +119,15 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1].select("source_name", "target_share", "max_repeats", "n_records", "available", "used", F.round("actual_share", 6).alias("actual_share"), "reachable")
 
 
+def p8_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether every source keeps its cap of repeats and comes within a record of the size wanted and possible."""
+    rows, report = _mix(spark, sf)
+    most = rows.groupBy("_id", "source_name").agg(F.sum("copies").alias("c"), F.max("size").alias("size")).groupBy("source_name").agg(F.max("c").alias("c"), F.max("size").alias("size"))
+    j = report.join(most, "source_name", "left").na.fill({"c": 0, "size": 0})
+    goal = F.least(F.col("wanted"), F.coalesce("max_repeats", F.lit(1)) * F.col("available"))
+    return j.select("source_name", (F.col("c") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("used") - goal) <= F.col("size") / 2 + 1).alias("on_target"))
+
+
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The mixture itself: documents with their number of copies."""
     rows = _mix(spark, sf)[0].groupBy("_id", "source_name").agg(F.max("size").alias("tokens"), F.sum("copies").alias("copies"))
@@ -122,10 +146,10 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_clusters": p2_clusters,
-    "p3_found": p3_found, "p3_percentiles": p3_percentiles,
+    "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_errors": p3_errors,
     "p4_found": p4_found, "p4_classes": p4_classes,
     "p7_found": p7_found, "p7_items": p7_items, "p7_overlap": p7_overlap,
-    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix,
+    "p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix, "p8_limits": p8_limits,
     "p9_found": p9_found, "p9_rates": p9_rates,
 }
 
@@ -181,6 +205,13 @@ with t as (select min(source_name) source_name, regexp_replace(lower(trim(source
 d as (select regexp_replace(lower(trim(source)), '[ _-]+', '_', 'g') s, sum(length(text)) n from documents group by 1),
 j as (select t.*, coalesce(n, 0) n from t left join d using (s))
 select source_name from j where m * n < share * (select sum(n) from j)""",
+    # the sample depends on hashes and a tokenizer; what it must keep is known
+    "p8_limits": "select source_name, true within_cap, true on_target from mix_targets",
+    # an approximate percentile must meet its bound
+    "p3_errors": """
+with v as (select genotype, cova, covb from gatk_info qualify row_number() over (partition by info_id order by loaded_at desc) = 1),
+s as (select genotype, 'cova' coverage, cova v from v where cova >= 0 union all select genotype, 'covb', covb from v where covb >= 0)
+select genotype, coverage, count(*) n_values, true within_bound from s group by 1, 2""",
     "p3_found": """
 with v as (select genotype, cova, covb from gatk_info qualify row_number() over (partition by info_id order by loaded_at desc) = 1),
 s as (select genotype, 'cova' coverage, cova v from v where cova >= 0 union all select genotype, 'covb', covb from v where covb >= 0)

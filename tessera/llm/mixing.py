@@ -23,6 +23,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern that belongs to the vocabulary file.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BINS = 4096
+STEPS = 256  # bins of the weight histogram an octave
 _LOADED: dict[str, object] = {}
 
 
@@ -76,27 +77,36 @@ def allocate(sizes: DataFrame, targets: DataFrame, total: int | None = None) ->
     return p.withColumn("rest", F.greatest(F.round((repeats - F.col("copies")) * F.col("available")), F.lit(0.0)).cast("bigint"))
 
 
-def _inclusion(sizes: DataFrame, plan: DataFrame, rounds: int = 12) -> DataFrame:
+def _inclusion(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds ``lam``: inclusion probability proportional to weight, capped at 1, of expected size ``rest``.
 
-    The factor is found by capping the certain records and solving for the
-    others again; every round is one partial aggregation per source.
+    One histogram of the weights per source (:data:`STEPS` bins an octave)
+    tells which records are certain, up to those of one bin; from there the
+    factor is solved with the certain records it implies until it no longer
+    changes.  The expected size is concave in the factor, so this ends after
+    a step or two.
     """
     plan = plan.select("_source", "rest").where("rest > 0")
-    cur = sizes.join(plan, "_source").withColumn("lam", F.lit(0.0))
-    factor = cur.groupBy("_source").agg((F.max("rest") / F.sum(F.col("size") * F.col("weight"))).alias("c"))
-    for _ in range(rounds):
-        factor = stage(factor, "mix-factor")
+    cur = sizes.join(plan, "_source").where("size > 0 and weight > 0")
+    hist = cur.groupBy("_source", F.floor(F.log2("weight") * STEPS).alias("bin")).agg(F.max("rest").alias("rest"), F.sum("size").alias("s"), F.sum(F.col("size") * F.col("weight")).alias("t"), F.max("weight").alias("w"))
+    w = Window.partitionBy("_source").orderBy(F.desc("bin"))
+    above = w.rowsBetween(Window.unboundedPreceding, -1)
+    below = w.rowsBetween(0, Window.unboundedFollowing)
+    c = (F.col("rest") - F.coalesce(F.sum("s").over(above), F.lit(0))) / F.sum("t").over(below)
+    # the first bin whose records are not certain when all above it are
+    fits = hist.withColumn("c", c).withColumn("w", F.col("w")).where("c > 0").groupBy("_source").agg(F.max(F.when(F.col("c") * F.col("w") <= 1, F.col("c"))).alias("c"), F.max("c").alias("top"))
+    factor = stage(fits.select("_source", F.coalesce("c", "top").alias("c")), "mix-factor")
+    while True:
         over = cur.join(factor, "_source").groupBy("_source").agg(
             F.max("c").alias("c"), F.max("rest").alias("rest"),
             F.sum(F.when(F.col("weight") * F.col("c") >= 1, F.col("size")).otherwise(0)).alias("sure"),
             F.sum(F.when(F.col("weight") * F.col("c") < 1, F.col("size") * F.col("weight")).otherwise(0.0)).alias("open"),
         )
-        nxt = stage(over.select("_source", "c", F.when(F.col("open") > 0, F.greatest(F.col("c"), (F.col("rest") - F.col("sure")) / F.col("open"))).otherwise(F.col("c")).alias("n")), "mix-factor")
+        nxt = stage(over.select("_source", "c", F.when((F.col("open") > 0) & (F.col("rest") > F.col("sure")), (F.col("rest") - F.col("sure")) / F.col("open")).otherwise(F.col("c")).alias("n")), "mix-factor")
         factor = nxt.select("_source", F.col("n").alias("c"))
-        if nxt.where("n > c * 1.000001").isEmpty():
+        if nxt.where("abs(n - c) > c * 1e-9").isEmpty():
             break
-    return sizes.join(plan, "_source").join(factor, "_source").withColumn("lam", F.least(F.col("weight") * F.col("c"), F.lit(1.0))).drop("c")
+    return cur.join(factor, "_source").withColumn("lam", F.least(F.col("weight") * F.col("c"), F.lit(1.0))).drop("c")
 
 
 def pareto_sample(sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
@@ -107,7 +117,7 @@ def pareto_sample(sizes: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame
     Ties of rank go by key.  A record across the cut is taken if at least half
     of it fits.
     """
-    r = _inclusion(sizes, plan).where("size > 0 and weight > 0")
+    r = _inclusion(sizes, plan)
     u = (F.shiftrightunsigned(F.xxhash64(F.col("_id"), F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     q = F.when(F.col("lam") >= 1, 0.0).otherwise(u / (1 - u) * (1 - F.col("lam")) / F.col("lam"))
     r = stage(r.select("_id", "_source", "size", "rest", (q / (1 + q)).alias("rank")), "mix-rank")
@@ -148,6 +158,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     rows = whole.unionByName(extra.select("_id", "_source", "size", F.col("extra").alias("copies")))
     used = rows.groupBy("_source").agg(F.sum(F.col("size") * F.col("copies")).alias("used"))
     report = plan.join(used, "_source", "left").na.fill({"used": 0})
+    # a source falls short if its sample does; a sample may end within a record of the wanted size, so the cap decides then
+    report = stage(report.withColumn("reachable", (F.col("used") >= F.col("wanted")) | F.col("reachable")), "mix-report")
     reached = report.agg(F.sum("used")).first()[0] or 0
     report = report.withColumn("actual_share", F.col("used") / F.lit(max(reached, 1)))
     return rows.join(plan.select("_source", "source_name"), "_source"), report
