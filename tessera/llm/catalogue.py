@@ -195,6 +195,12 @@ m as (select y.obs_id, density, coalesce(f, y.obs_id) f from y left join t on y.
 o as (select *, row_number() over (partition by f order by density desc, obs_id) r from m)
 select f first_obs_id, count(*) n_obs, list(obs_id order by r) filter (r <= 3) typical from o group by 1""",
     "p4_found": _P4 + "select distinct f field_name, least(i, j) id_low, greatest(i, j) id_high from o where i <> j",
+    # links of every id: the different sequences similar to its own; classes: the components
+    "p4_classes": _P4.replace("with r as", "with recursive r as", 1) + """, l as (select u, count(*) n from (select a u from p union all select b from p) group by 1),
+e as (select distinct x.f, x.id a, y.id b from (select a, b from p union all select b, a from p) z join m x on x.u = z.a join m y on y.u = z.b union select x.f, x.id, y.id from m x join m y on x.u = y.u),
+w(f, a, b) as (select f, a, b from e union select w.f, w.a, e.b from w join e on w.f = e.f and w.b = e.a),
+k as (select f, a id, min(b) class_id from w group by 1, 2)
+select k.f field_name, k.id, k.class_id, (select coalesce(sum(l.n), 0) from m left join l using (u) where m.f = k.f and m.id = k.id)::bigint n_links from k""",
     "p7_found": _P7 + "select doc_id, item_id from f",
     "p7_items": _P7 + "select item_id, suite, count(*) n_docs from f group by 1, 2",
     "p7_overlap": _P7 + """, q as (select item_id, list_filter(list_distinct(string_split_regex(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda x: x <> '') q from eval_items)

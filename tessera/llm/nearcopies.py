@@ -30,15 +30,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.operators.rejects import text_buffer
 from tessera.storage import stage
 
 SLOTS = 1 << 18  # hashed token counts: a fixed size, whatever the collection
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20  # most bytes of a side sent to all tasks
 RARE, FREQUENT, HOT = 0.02, 8.0, 64.0  # class limits in mean counts of a slot
 ROWS = 16_384  # records indexed at a time; row numbers take 16 bits
 SPARE = 3  # combinations similar records share beyond the first, for the count filter
 PER_BUCKET = 6_000_000  # combinations one bucket should hold
+SIZED_BY = 64  # one record in so many is indexed beforehand to size the buckets
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,7 +199,7 @@ def token_table(uniq: DataFrame, k: int) -> tuple[dict[int, np.ndarray], dict[in
         least: dict[int, int] = {}
         for b in batches:
             field = b.column(0).to_numpy(zero_copy_only=False)
-            h, offs = tokens(*text_buffer(b.column(2)), k, field)
+            h, offs = tokens(*packed_buffer(b.column(2)), k, field)
             n = np.diff(offs)
             owner = np.repeat(field, n)
             for f in np.unique(field):
@@ -257,30 +257,41 @@ def _candidates(uniq: DataFrame, k: int, threshold: float) -> DataFrame:
     the finer one's cells; the pair's own least overlap less that cost is
     therefore a lower bound that discards partly overlapping pairs unseen.
     """
-    classes, least, totals = token_table(uniq, k)
-    buckets = max(8, -(-sum(totals.values()) // PER_BUCKET))
-    high_bits = max(4, min(16, int(np.log2(ROWS * 64 / buckets))))
+    classes, least, _ = token_table(uniq, k)
     shared = uniq.sparkSession.sparkContext.broadcast((classes, least))
     share = threshold / (1 + threshold)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def combined(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         classes, least = shared.value
+        field = b.column(0).to_numpy(zero_copy_only=False)
+        h, offs = tokens(*packed_buffer(b.column(2)), k, field)
+        n = np.diff(offs)
+        cls = np.zeros(len(h), np.uint8)
+        owner = np.repeat(field, n)
+        short = np.zeros(len(n), np.int64)
+        for f in np.unique(field):
+            cls[owner == f] = classes[f][h[owner == f] >> np.uint32(14)]
+            short[field == f] = least[f]
+        budget = np.maximum(least_overlap(n, short, threshold) - 1 - SPARE, 0)
+        sig, who = combinations(h, offs, cls, budget + 1)
+        sig ^= np.uint64(0x5851F42D4C957F2D) * field[who].astype(np.uint64)
+        return sig, who, n, budget
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(len(combined(b)[0]) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    # the size of the index decides the number of buckets and nothing else, so one record in SIZED_BY tells it well enough
+    some = uniq.where(F.pmod(F.xxhash64("uid"), F.lit(SIZED_BY)) == 0).mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+    buckets = max(8, -(-some * SIZED_BY // PER_BUCKET))
+    high_bits = max(4, min(16, int(np.log2(ROWS * 64 / buckets))))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 b = whole.slice(at, ROWS)
-                field = b.column(0).to_numpy(zero_copy_only=False)
                 uid = b.column(1).to_numpy(zero_copy_only=False)
-                h, offs = tokens(*text_buffer(b.column(2)), k, field)
-                n = np.diff(offs)
-                cls = np.zeros(len(h), np.uint8)
-                owner = np.repeat(field, n)
-                short = np.zeros(len(n), np.int64)
-                for f in np.unique(field):
-                    cls[owner == f] = classes[f][h[owner == f] >> np.uint32(14)]
-                    short[field == f] = least[f]
-                budget = np.maximum(least_overlap(n, short, threshold) - 1 - SPARE, 0)
-                sig, who = combinations(h, offs, cls, budget + 1)
-                sig ^= np.uint64(0x5851F42D4C957F2D) * field[who].astype(np.uint64)
+                sig, who, n, budget = combined(b)
                 bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
                 low = (bucket << np.uint64(32)) | ((sig & np.uint64(0xFFFFFFFF)) >> np.uint64(16 - high_bits))
                 order = np.argsort(low)
@@ -335,25 +346,53 @@ def _candidates(uniq: DataFrame, k: int, threshold: float) -> DataFrame:
         return pd.DataFrame({"a": names[x], "b": names[y], "s": times.astype(np.int32), "need": np.maximum(need, 1).astype(np.int32)})[fits]
 
     blobs = uniq.mapInArrow(index, "bucket int, blob binary, runs binary, sizes binary")
-    found = blobs.groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint, s int, need int")
+    found = blobs.repartition(max(buckets // 4, 8), "bucket").groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint, s int, need int")
     return found.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("need").alias("need")).where("s >= need").select("a", "b")
 
 
+def _pieces(buf: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray | None:
+    """Sorted distinct ``row << 44 | piece`` of every record, exactly; None where letters or ``k`` need more bits."""
+    code = _CODE[buf]
+    if 4 * k > 44 or len(offs) > 1 << 20 or (code == 0).any():
+        return None
+    n = np.maximum(np.diff(offs) - k + 1, 0)
+    key = np.zeros(max(len(buf) - k + 1, 0), np.uint64)
+    for j in range(k):
+        key = (key << np.uint64(4)) | code[j : len(key) + j].astype(np.uint64)
+    at = np.repeat(offs[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(44)) | key[at])
+
+
+def similarities(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
+    """Shared pieces over pieces in either, of every pair of packed sequences."""
+    left, right = packed_buffer(a), packed_buffer(b)
+    p, q = _pieces(*left, k), _pieces(*right, k)
+    rows = len(a)
+    if p is not None and q is not None:
+        n, m = (np.bincount((v >> np.uint64(44)).astype(np.int64), minlength=rows) for v in (p, q))
+        both = np.sort(np.concatenate([p, q]))
+        both = both[1:][both[1:] == both[:-1]]
+        c = np.bincount((both >> np.uint64(44)).astype(np.int64), minlength=rows)
+        return c / np.maximum(n + m - c, 1)
+    sim = np.zeros(rows)
+    for i in range(rows):  # other letters: pair by pair
+        x, y = (v[0][v[1][i] : v[1][i + 1]].tobytes().decode() for v in (left, right))
+        x, y = {x[j : j + k] for j in range(len(x) - k + 1)}, {y[j : j + k] for j in range(len(y) - k + 1)}
+        sim[i] = len(x & y) / max(len(x | y), 1)
+    return sim
+
+
 def _verify(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """``a, b, similarity`` of candidate pairs carrying their sequences ``sa`` and ``sb``."""
+    """``a, b, similarity`` of candidate pairs carrying their packed sequences ``ka`` and ``kb``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sim = np.zeros(b.num_rows)
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                p, q = {x[j : j + k] for j in range(len(x) - k + 1)}, {y[j : j + k] for j in range(len(y) - k + 1)}
-                both = len(p & q)
-                sim[i] = both / (len(p) + len(q) - both)
+            sim = similarities(b.column(2), b.column(3), k)
             ok = np.flatnonzero(sim >= threshold)
             take = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(sim[ok])], names=["a", "b", "similarity"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, similarity double")
+    return pairs.select("a", "b", "ka", "kb").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
 # Letters a half-byte can stand for, and their hexadecimal digits.
@@ -373,6 +412,43 @@ def unpack(key: Column) -> Column:
     return F.when(plain.startswith("00"), F.decode(F.unhex(F.substring(plain, F.lit(3), F.length(plain))), "UTF-8")).otherwise(half)
 
 
+_LETTER = np.zeros(16, np.uint8)
+_LETTER[1:] = np.frombuffer(LETTERS.encode(), np.uint8)
+
+
+_CODE = np.zeros(256, np.uint8)
+_CODE[_LETTER[1:]] = np.arange(1, 16)
+
+
+def packed_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and row offsets of packed sequences, as :func:`text_buffer` of the sequences themselves."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    col = col.cast(pa.large_binary())
+    offs = np.frombuffer(col.buffers()[1], np.int64, count=len(col) + col.offset + 1)[col.offset :]
+    data = col.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and len(col) else np.zeros(0, np.uint8)
+    offs = offs - offs[0]
+    full = np.flatnonzero(np.diff(offs) > 0)
+    plain = full[raw[offs[full]] == 0]  # kept as it was
+    if len(plain):
+        kind = np.zeros(len(col), bool)
+        kind[plain] = True
+        words = [raw[a + 1 : z] if p else _spell(raw[a:z]) for p, a, z in zip(kind, offs, offs[1:])]
+        return (np.concatenate(words) if words else raw), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    half = np.empty((len(raw), 2), np.uint8)
+    half[:, 0], half[:, 1] = raw >> 4, raw & 15
+    half = half.reshape(-1)
+    keep = half > 0  # only the first half-byte of an odd sequence is 0
+    before = np.concatenate([[0], np.cumsum(keep)])
+    return _LETTER[half[keep]], before[2 * offs]
+
+
+def _spell(raw: np.ndarray) -> np.ndarray:
+    half = np.stack([raw >> 4, raw & 15], axis=1).reshape(-1)
+    return _LETTER[half[half > 0]]
+
+
 def unique_sequences(df: DataFrame) -> DataFrame:
     """``field, uid, key, low, high``: one row per distinct sequence (packed), with its least and greatest id."""
     g = df.groupBy("field", pack(F.col("seq")).alias("key")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
@@ -384,6 +460,11 @@ def spelled(uniq: DataFrame) -> DataFrame:
     return uniq.select("field", "uid", unpack(F.col("key")).alias("seq"))
 
 
+def fits(df: DataFrame, width: str) -> bool:
+    """Whether a table of ``width`` bytes a row (an expression) is small enough to send to all tasks."""
+    return (df.agg(F.sum(F.expr(width))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def similar_sequences(df: DataFrame, k: int = 11, threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Similar pairs of distinct sequences, and the ids behind each sequence.
 
@@ -396,17 +477,15 @@ def similar_sequences(df: DataFrame, k: int = 11, threshold: float = 0.5) -> tup
     """
     df = df.where(F.col("id").isNotNull() & (F.length("seq") >= k))
     uniq = unique_sequences(df)
-    cand = stage(_candidates(spelled(uniq), k, threshold), "near-candidates")
+    cand = stage(_candidates(uniq.select("field", "uid", "key"), k, threshold), "near-candidates")
     need = cand.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    few = cand.count() <= BROADCAST_ROWS
+    few = fits(cand, "32")
     texts = stage(uniq.select("uid", "key").join(F.broadcast(need) if few else need, "uid", "left_semi"), "near-texts")
-    left = texts.select(F.col("uid").alias("a"), F.col("key").alias("ka"))
-    right = texts.select(F.col("uid").alias("b"), F.col("key").alias("kb"))
-    both = cand.join(left, "a").join(right, "b").select("a", "b", unpack(F.col("ka")).alias("sa"), unpack(F.col("kb")).alias("sb"))
+    both = cand.join(texts.select(F.col("uid").alias("a"), F.col("key").alias("ka")), "a").join(texts.select(F.col("uid").alias("b"), F.col("key").alias("kb")), "b")
     pairs = stage(_verify(both, k, threshold), "near-pairs")
-    many = stage(spelled(uniq.where("low < high")), "near-many")
-    few = many.count() <= BROADCAST_ROWS // 10
-    copies = stage(df.select("field", "id", "seq").join(F.broadcast(many) if few else many, ["field", "seq"]).select("field", "uid", "id").distinct(), "near-copies")
+    many = stage(uniq.where("low < high").select("field", "uid", "key"), "near-many")
+    mine = df.select("field", "id", pack(F.col("seq")).alias("key"))
+    copies = stage(mine.join(F.broadcast(many) if fits(many, "length(key) + 16") else many, ["field", "key"]).select("field", "uid", "id").distinct(), "near-copies")
     one = uniq.where("low = high").select("field", "uid", F.col("low").alias("id"))
     return pairs, one.unionByName(copies), copies
 
@@ -414,26 +493,25 @@ def similar_sequences(df: DataFrame, k: int = 11, threshold: float = 0.5) -> tup
 def similar_ids(df: DataFrame, k: int = 11, threshold: float = 0.5) -> DataFrame:
     """``field, id_low, id_high`` of all pairs of different ids with similar sequences."""
     pairs, members, copies = similar_sequences(df, k, threshold)
-    few = pairs.count() <= BROADCAST_ROWS
-    p = F.broadcast(pairs) if few else pairs
+    p = F.broadcast(pairs) if fits(pairs, "24") else pairs
     held = members.join(p.select(F.col("a").alias("uid"), "b"), "uid").select("field", F.col("id").alias("x"), "b")
     held = stage(held, "near-held")
-    both = members.select(F.col("uid").alias("b"), F.col("id").alias("y")).join(F.broadcast(held) if held.count() <= BROADCAST_ROWS else held, "b").select("field", "x", "y")
+    both = members.select(F.col("uid").alias("b"), F.col("id").alias("y")).join(F.broadcast(held) if fits(held, "40") else held, "b").select("field", "x", "y")
     same = copies.select("field", "uid", F.col("id").alias("x")).join(copies.select("uid", F.col("id").alias("y")), "uid").where("x < y").select("field", "x", "y")
     out = both.unionByName(same).where("x <> y")
     return out.select("field", F.least("x", "y").alias("id_low"), F.greatest("x", "y").alias("id_high")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` (the least node of its component) for all nodes of ``a, b`` edges.
 
     Every round hooks each root to the least root next to it and halves the
-    pointer paths; rounds grow with the logarithm of the longest path.
+    pointer paths, until none moves; rounds grow with the logarithm of the longest path.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stage(both.distinct(), "near-edges")
     label = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "near-labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, label["node"] == near["a"]).select("node", F.least("root", "m").alias("new"), "root")
         hook = step.groupBy("root").agg(F.min("new").alias("to"))

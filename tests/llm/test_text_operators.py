@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,9 +138,9 @@ def test_a_shared_adapter_is_no_candidate(spark):
     rows += [(0, 10_000 + i, rows[i][2][:70] + "A" + rows[i][2][71:]) for i in range(0, 60)]
     df = spark.createDataFrame(rows, "field int, id bigint, seq string")
     uniq = nearcopies.unique_sequences(df)
-    cls, _, _ = nearcopies.token_table(nearcopies.spelled(uniq), 11)
+    cls, _, _ = nearcopies.token_table(uniq.select("field", "uid", "key"), 11)
     assert (cls[0] == 4).sum() >= 30
-    assert nearcopies._candidates(nearcopies.spelled(uniq), 11, 0.5).count() < 2000
+    assert nearcopies._candidates(uniq.select("field", "uid", "key"), 11, 0.5).count() < 2000
     got = {(r["id_low"], r["id_high"]) for r in nearcopies.similar_ids(df).collect()}
     assert {(i, 10_000 + i) for i in range(60)} <= got and len(got) < 70
 
@@ -149,6 +150,22 @@ def test_packing_is_reversible(spark):
     d = spark.createDataFrame([(x,) for x in s], "s string").select("s", nearcopies.unpack(nearcopies.pack(F.col("s"))).alias("t"), nearcopies.pack(F.col("s")).alias("k"))
     rows = d.collect()
     assert all(r["s"] == r["t"] for r in rows) and len({bytes(r["k"]) for r in rows}) == len(s)
+    for some in (rows, [r for r in rows if r["k"] and r["k"][0]]):
+        buf, offs = nearcopies.packed_buffer(pa.array([bytes(r["k"]) for r in some], pa.binary()))
+        assert [buf[x:y].tobytes().decode() for x, y in zip(offs, offs[1:])] == [r["s"] for r in some]
+
+
+def test_similarities_are_exact():
+    rng = random.Random(6)
+    half = {c: i + 1 for i, c in enumerate(nearcopies.LETTERS)}
+    put = lambda s: bytes.fromhex(("0" if len(s) % 2 else "") + "".join(f"{half[c]:x}" for c in s)) if set(s) <= set(half) else b"\0" + s.encode()
+    for letters in ("ACGT", "ACGTNRYKMSWBDHV", "ACGT0-"):
+        a = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 60))) for _ in range(50)]
+        b = [x[rng.randint(0, 3) :] + x[:9] if rng.random() < 0.7 else x[::-1] for x in a]
+        got = nearcopies.similarities(pa.array([put(x) for x in a]), pa.array([put(x) for x in b]), 5)
+        for x, y, s in zip(a, b, got):
+            p, q = {x[j : j + 5] for j in range(len(x) - 4)}, {y[j : j + 5] for j in range(len(y) - 4)}
+            assert s == len(p & q) / max(len(p | q), 1)
 
 
 def test_near_copies_empty(spark):
