@@ -164,7 +164,8 @@ def search(index: ItemIndex, texts: list[str | None], passage: int = 48) -> list
         ok = (p >= 0) & (local + index.n <= p * stride + passage)
         parts_p.append(first[text[ok]] + p[ok])
         parts_t.append(term[ok])
-    code = np.unique(np.concatenate(parts_p) * np.int64(len(index.keys)) + np.concatenate(parts_t))
+    code = np.sort(np.concatenate(parts_p) * np.int64(len(index.keys)) + np.concatenate(parts_t))
+    code = code[np.concatenate([[True], code[1:] != code[:-1]])[: len(code)]]
     pas, term = code // len(index.keys), code % len(index.keys)
     edge = np.flatnonzero(np.diff(pas, prepend=-1))
     if not len(edge):

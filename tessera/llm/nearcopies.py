@@ -360,7 +360,8 @@ def _pieces(buf: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray | None:
     for j in range(k):
         key = (key << np.uint64(4)) | code[j : len(key) + j].astype(np.uint64)
     at = np.repeat(offs[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(44)) | key[at])
+    out = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(44)) | key[at])
+    return out[np.concatenate([[True], out[1:] != out[:-1]])[: len(out)]]  # far faster than a hashed unique
 
 
 def similarities(a: pa.Array, b: pa.Array, k: int) -> np.ndarray:
