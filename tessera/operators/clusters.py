@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,18 @@ def assign_modes(df: DataFrame, modes: DataFrame, key: str, codes: str) -> DataF
     """``key, cluster, distance``: nearest mode of each row by Hamming distance, ties to the lesser cluster.
 
     A null differs from any code, not from null.  The modes (``cluster, mode``)
-    go to all tasks after a check of their number; rows never move.  A row
-    without codes has a null distance, and without modes there is no cluster.
+    go to all tasks after a check of their number, and rows never move; more
+    than :data:`MAX_MODES` go in blocks, and each key's best block counts (keys
+    are then one row each).  A row without codes has a null distance, and
+    without modes there is no cluster.
     """
     rows = small(modes.select("cluster", "mode").where("mode is not null"), MAX_MODES)
     if rows is None:
-        raise ValueError("too many modes to broadcast")
+        m = stage(modes.select("cluster", "mode").where("mode is not null"), "modes")
+        n = -(-m.count() * 5 // (4 * MAX_MODES))
+        parts = [assign_modes(df, m.where(F.pmod(F.xxhash64("cluster"), F.lit(n)) == i), key, codes) for i in range(n)]
+        best = F.min(F.struct(F.col("distance").isNull().alias("none"), "distance", "cluster")).alias("_b")
+        return reduce(DataFrame.unionByName, parts).where("cluster is not null").groupBy(key).agg(best).select(key, "_b.cluster", "_b.distance")
     rows.sort(key=lambda r: r["cluster"])
     labels, known = [r["cluster"] for r in rows], list(dict.fromkeys(c for r in rows for c in r["mode"] if c is not None))
     place = {c: i for i, c in enumerate([*known, None])}
@@ -182,32 +189,36 @@ def abundance_ranks(df: DataFrame, cluster: str) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), cluster)))  # one row per cluster
 
 
-# Expected error share by Hamming distance, up to 11 places.
-DEBLUR_ERRORS = [1, 0.06, 0.02, 0.02, 0.01, 0.005, 0.005, 0.005, 0.001, 0.001, 0.001, 0.0005]
+# Upper bound of the error share by Hamming distance, up to 11 places.
+DEBLUR_ERRORS = [0, 0.06, 0.02, 0.02, 0.01, 0.005, 0.005, 0.005, 0.001, 0.001, 0.001, 0.0005]
 
 
-def deblur(pdf: pd.DataFrame, errors: list[float] | None = None, least: float = 1.0) -> pd.DataFrame:
+def deblur(pdf: pd.DataFrame, errors: list[float] | None = None, error_rate: float = 0.005, adjust: float = 1.0, most: int | None = None) -> pd.DataFrame:
     """Sequential denoising of one sample's unique sequences of equal length.
 
-    In order of abundance each sequence subtracts its expected errors from all
-    later ones within the error table's distance; those left at ``least`` or
-    more are kept.
+    In order of observed abundance each sequence still above 0 subtracts its
+    expected errors from all later ones within the error table's distance.
+    Its own reads are scaled up by those it lost to errors: with ``error_rate``
+    a place, a share ``(1 - error_rate) ** length`` stays free of errors.
+    Sequences above 0 are kept, at most ``most`` of them by observed abundance.
     """
     beta = np.array(errors or DEBLUR_ERRORS)
     d = pdf.sort_values(["n_reads", "seq"], ascending=[False, True]).reset_index(drop=True)
     x = np.array([np.frombuffer(s.encode(), np.uint8) for s in d["seq"]])
     n = d["n_reads"].to_numpy(float).copy()
+    clean = (1 - error_rate) ** (x.shape[1] if len(d) else 0)
     for i in range(len(d)):
-        if n[i] < least:
+        if n[i] <= 0:
             continue
         far = (x[i + 1 :] != x[i]).sum(1)
         near = far < len(beta)
-        n[i + 1 :][near] -= n[i] * beta[far[near]]
+        n[i + 1 :][near] -= np.floor(n[i]) / clean * beta[far[near]] * adjust
     d["abundance"] = n
-    return d[n >= least]
+    kept = d[n > 0]
+    return kept if most is None else kept.head(most)
 
 
-def deblur_samples(uniq: DataFrame, sample: str) -> DataFrame:
+def deblur_samples(uniq: DataFrame, sample: str, error_rate: float = 0.005, adjust: float = 1.0, most: int | None = None) -> DataFrame:
     """``sample, seq, abundance`` after denoising each sample and length on its own.
 
     The method is sequential within a sample, so one group is one task; samples
@@ -217,7 +228,7 @@ def deblur_samples(uniq: DataFrame, sample: str) -> DataFrame:
     u = uniq.select(sample, "seq", "n_reads", F.length("seq").alias("_len")).where("seq is not null")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return deblur(pdf)[[sample, "seq", "abundance"]]
+        return deblur(pdf, None, error_rate, adjust, most)[[sample, "seq", "abundance"]]
 
     return u.groupBy(sample, "_len").applyInPandas(run, f"`{sample}` {kind}, seq string, abundance double")
 

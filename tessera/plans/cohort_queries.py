@@ -246,16 +246,42 @@ def kmodes_cluster(spark, sf):
     return a
 
 
+def kmodes_converged(spark, sf):
+    """Whether every observation has a cluster and no round of k-modes cost more than the one before."""
+    o = table(spark, sf, "kmodes_obs")
+    a, _, costs = clusters.kmodes(o, 20, "obs_id", "dmat", max_iter=None)
+    falls = all(x >= y for x, y in zip(costs, costs[1:]))
+    return a.agg(F.count("*").alias("n_rows"), F.count_if(F.col("cluster").isNull()).alias("n_open"), (F.sum("distance") <= F.lit(costs[0])).alias("cheaper")).withColumn("falls", F.lit(falls))
+
+
+def stratified_counts(spark, sf):
+    """Rows a stratified sample of 50 takes from every run."""
+    from tessera.operators import ordering
+
+    return ordering.stratified_sample(table(spark, sf, "kmodes_obs").where("run_id is not null"), "run_id", ["obs_id"], 50).groupBy("run_id").agg(F.count("*").alias("n_rows"))
+
+
 def deblur_sequences(spark, sf):
     """Denoised sequences of every sample."""
     d = table(spark, sf, "hash_seqs").where("abundance is not null").groupBy("sample_id", F.upper("hash_sequence").alias("seq")).agg(F.sum("abundance").alias("n_reads"))
     return clusters.deblur_samples(d, "sample_id").withColumn("abundance", F.round("abundance", 4))
 
 
+def _simulated(spark, sf):
+    """Five individuals of a genome with one site per order."""
+    return simulate.individuals(simulate.genomes(spark, table(spark, sf, "orders").count(), 0.01, 0.01), 5)
+
+
+def simulated_shape(spark, sf):
+    """What a simulation must keep: sites per individual, letters, and alleles only beside the true bases."""
+    h = _simulated(spark, sf)
+    letters = F.concat("a1", "a2", "b1", "b2").rlike("^[ACGT]{4}$")
+    return h.groupBy("genotype").agg(F.count("*").alias("n_sites"), F.countDistinct("position").alias("n_positions"), F.every(letters).alias("letters"))
+
+
 def simulated_genotypes(spark, sf):
     """Simulated individuals: heterozygotes per site kind."""
-    g = simulate.genomes(spark, 20_000, 0.01, 0.01)
-    t, _ = truth.truth_tables(simulate.individuals(g, 5))
+    t, _ = truth.truth_tables(_simulated(spark, sf))
     return t.groupBy("genotype").agg(F.sum("truth_het_a").alias("het_a"), F.sum("truth_het_b").alias("het_b"), F.sum("truth_homeo").alias("homeo"))
 
 
@@ -270,16 +296,16 @@ def stream_windowed_counts(spark, sf):
     out = f"{shared_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     c = ingest.windowed_counts(stream, "ts", ["event_type"])
-    name = f"w{uuid.uuid4().hex}"
-    q = c.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", out).trigger(availableNow=True).start()
+    q = c.writeStream.outputMode("update").option("checkpointLocation", f"{out}/log").foreachBatch(lambda d, i: d.write.mode("append").parquet(f"{out}/rows")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n_rows")
+    rows = spark.read.schema(c.schema).parquet(f"{out}/rows").groupBy("window_start", "event_type").agg(F.max("n_rows").alias("n_rows"))  # the last update of a window has its greatest count
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n_rows")
 
 
 FUNCTIONS = [het_metric, snp_metrics, snp_metrics_simulation, pooled_metrics, alleles_by_frequency, info_filter, confident_calls, site_coverage, gatk_het, gatk_letters,
              gatk_snp_metrics, truth_left, truth_right, truth_full, precision_recall, pr_curve, average_precision, method_correlation, wilson_interval, haplotype_lrt, haplotype_hypothesis,
              allele_balance, equal_coverage_test, cluster_purity, cluster_contingency, cluster_agreement, cluster_homogeneity, kmodes_update, kmodes_assign,
-             kmodes_cluster, deblur_sequences, simulated_genotypes, stream_windowed_counts]
+             kmodes_cluster, kmodes_converged, stratified_counts, deblur_sequences, simulated_genotypes, simulated_shape, stream_windowed_counts]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _PP = [f"pp_{a}{b}" for a in range(3) for b in range(3)]
@@ -308,7 +334,7 @@ mt as (select position_a, {flag} biallelic, greatest({homeo('n1', 'n2')}, {homeo
 _REAL = _site("n desc, c", {s: _mn(s)[0] for s in "ab"}, "max(n_alleles)::int")
 _SIM = _site("f, c", {s: f"(case when major = @ then ln(p{s}_2) else ln(p{s}_0) end)" for s in "ab"}, "max(n_alleles) = 2")
 _R = "select position_a, biallelic, " + ", ".join(f"round({c}, 6) + 0.0 {c}" for c in METRICS) + " from mt"
-_TR = """, s as (select position_a, round(pp_homeo, 6) score from mt), t as (select c_custkey position_a, (c_custkey % 2)::int truth from customer where c_custkey % 3 <> 0),
+_TR = """, s as (select position_a, round(pp_homeo, 6) score from mt), t as (select c_custkey position_a, (c_custkey % 2)::int truth from customer),
 j as (select s.position_a, score, coalesce(truth, 0) truth from s left join t using (position_a))"""
 _LATEST = "with g as (select * from gatk_info qualify row_number() over (partition by info_id order by loaded_at desc) = 1)"
 _LET = _LATEST + """, h as (select *, string_split(trim(replace(genotype_call, '|', '/')), '/') d from g),
@@ -356,7 +382,7 @@ select position_a, {v('g_n', 'h')} pp_homeo, {v('a_n', 'a')} pp_homo_a, {v('b_n'
 
 
 _T4 = """
-with n as (select sample_id, upper(hash_sequence)[1:2] c, sum(abundance) n from hash_seqs where abundance is not null group by 1, 2),
+with n as (select sample_id, upper(hash_sequence) c, sum(abundance) n from hash_seqs where abundance is not null group by 1, 2),
 g as (select sample_id, list(n order by n desc) t from n group by 1),
 q as (select sample_id, coalesce(t[1], 0)::bigint n1, coalesce(t[2], 0)::bigint n2, coalesce(t[3], 0)::bigint n3, coalesce(t[4], 0)::bigint n4 from g),
 w as (select *, least(greatest(case when n3 + n4 > 0 then (n1 + n2) / (n3 + n4)::double else 100 end, 0.01), 100) w4, least(greatest(case when n2 + n3 > 0 then n1 / (n2 + n3)::double else 100 end, 0.01), 100) w3 from q)
@@ -407,15 +433,18 @@ v as (select *, ln(t) - la / t ha, ln(t) - lb / t hb, ln(t) - h / t hj, t * (t -
 select t::bigint n, round(mi, 5) mi, round(mi / least(ha, hb), 5) nmi_min, round(mi / sqrt(ha * hb), 5) nmi_geo, round(2 * mi / (ha + hb), 5) nmi_mean, round(mi / greatest(ha, hb), 5) nmi_max, round(mi / hj, 5) nmi_joint,
  round(ha + hb - 2 * mi, 5) vi, round(1 - mi / hj, 5) nvi, round((p + 2 * s - sa - sb) / p, 5) rand, round((s - ex) / ((sa + sb) / 2 - ex), 5) ari from m""",
     "kmodes_update": """
-with e as (select cluster_id, unnest(dmat) code, unnest(range(len(dmat))) site from kmodes_obs where cluster_id < 25),
+with e as (select cluster_id, unnest(dmat) code, unnest(range(len(dmat))) site from kmodes_obs where cluster_id is not null),
 n as (select cluster_id, site, code, count(*) n from e where code is not null group by 1, 2, 3)
 select cluster_id as cluster, site::int site, code from n qualify row_number() over (partition by cluster_id, site order by n desc, code) = 1""",
     "kmodes_assign": """
-with e as (select cluster_id, unnest(dmat) code, unnest(range(len(dmat))) site from kmodes_obs where cluster_id < 25),
+with e as (select cluster_id, unnest(dmat) code, unnest(range(len(dmat))) site from kmodes_obs where cluster_id is not null),
 n as (select cluster_id, site, code, count(*) n from e where code is not null group by 1, 2, 3),
 m as (select cluster_id c, list(code order by site) md from (select * from n qualify row_number() over (partition by cluster_id, site order by n desc, code) = 1) group by 1),
 d as (select obs_id, c, list_sum(list_transform(list_zip(dmat, md), lambda p: (p[1] is distinct from p[2])::int)) d from kmodes_obs cross join m)
 select obs_id, c as cluster, d::int distance from d qualify row_number() over (partition by obs_id order by d, c) = 1""",
+    "kmodes_converged": "select count(*) n_rows, 0::bigint n_open, true cheaper, true falls from kmodes_obs",
+    "stratified_counts": "select run_id, least(count(*), 50)::bigint n_rows from kmodes_obs where run_id is not null group by 1",
+    "simulated_shape": "select 'ind' || i genotype, n n_sites, n n_positions, true letters from range(5) r(i), (select count(*) n from orders)",
     "stream_windowed_counts": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') window_start, event_type, count(*) n_rows from events group by 1, 2",
     "cluster_purity": f"""
 with p as (select *, read_no % 5 as cluster, case when ll_a > ll_b then 1.0 else 0.0 end pp from ({duck(PILEUP)})),

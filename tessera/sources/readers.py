@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tessera.operators.ordering import row_index
+from tessera.storage import stage
 
 SAM_COLUMNS = "qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen int, seq string, qual string"
 
@@ -45,8 +48,11 @@ def sam_references(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``name, description, seq`` (upper case) of single- or multi-line FASTA; records are split by Spark."""
-    r = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
+    """``name, description, seq`` (upper case) of single- or multi-line FASTA; records are split by Spark.
+
+    A record begins with ``>`` at the start of a line; elsewhere it is a letter of the description.
+    """
+    r = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where("trim(value) <> ''")
     head = F.substring_index("value", "\n", 1)
     body = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s+", "")
     return r.select(F.regexp_extract(head, r"^(\S+)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S+\s*", "")).alias("description"), F.upper(body).alias("seq"))
@@ -64,13 +70,18 @@ def _phase(lines: list[str]) -> int | None:
     return None
 
 
+_HEAD, _TAIL = 1 << 10, 1 << 60  # numbers of a block's lines: those before its first record, its records, those after
+
+
 def _records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole records of every file block, and the lines at its ends that belong to neighbouring blocks."""
-    at, lines, started = None, [], False
+    at, lines, started, count = None, [], False, _HEAD
 
     def frame(h=(), s=(), q=(), rest=()) -> pd.DataFrame:
         n = len(h)
-        d = pd.DataFrame({"file": [at[0]] * (n + len(rest)), "block": [at[1]] * (n + len(rest)), "no": [0] * n + [r[0] for r in rest], "line": [None] * n + [r[1] for r in rest]})
+        nonlocal count
+        d = pd.DataFrame({"file": [at[0]] * (n + len(rest)), "block": [at[1]] * (n + len(rest)), "no": [*range(count, count + n), *[r[0] for r in rest]], "line": [None] * n + [r[1] for r in rest]})
+        count += n
         d["h"], d["s"], d["q"] = [*h, *[None] * len(rest)], [*s, *[None] * len(rest)], [*q, *[None] * len(rest)]
         return d
 
@@ -92,7 +103,7 @@ def _records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield frame(lines[0:n:4], lines[1:n:4], lines[3:n:4])
             lines = lines[n:]
             if last and lines:
-                yield frame(rest=[((1 << 20) + i, x) for i, x in enumerate(lines)])
+                yield frame(rest=[(_TAIL + i, x) for i, x in enumerate(lines)])
                 lines = []
 
     for pdf in parts:
@@ -102,7 +113,7 @@ def _records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if key != at:
                 if at is not None:
                     yield from drain(True)
-                at, lines, started = key, [], False
+                at, lines, started, count = key, [], False, _HEAD
             lines.extend(pdf["value"].iloc[x:y])
             yield from drain(False)
     if at is not None:
@@ -110,23 +121,31 @@ def _records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _stitched(pdf: pd.DataFrame) -> pd.DataFrame:
-    lines = pdf.sort_values(["block", "no"])["line"].tolist()
+    pdf = pdf.sort_values(["block", "no"])
+    lines = pdf["line"].tolist()
     n = len(lines) // 4 * 4
-    return pd.DataFrame({"h": lines[0:n:4], "s": lines[1:n:4], "q": lines[3:n:4]})
+    d = pdf.iloc[0:n:4][["file", "block", "no"]].reset_index(drop=True)
+    return d.assign(h=lines[0:n:4], s=lines[1:n:4], q=lines[3:n:4])
+
 
+def fastq(spark: SparkSession, path: str | list[str], drop_ambiguous: bool = False, min_length: int = 0, max_length: int | None = None, index: bool = False) -> DataFrame:
+    """``name, seq, qual`` of four-line FASTQ records, upper case; with ``index`` also ``read_idx``, from 0 in the order of files and records.
 
-def fastq(spark: SparkSession, path: str | list[str], drop_ambiguous: bool = False, min_length: int = 0, max_length: int | None = None) -> DataFrame:
-    """``name, seq, qual`` of four-line FASTQ records, upper case.
+    The index counts all records, before any is dropped, so it joins partition
+    files and denoiser results.
 
     Files are read in blocks: a block finds its first whole record, and the few
     lines before it join the lines left over by the block before.  Incomplete
     last records are left out.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.rtrim("value").alias("value"))
-    cut = lines.mapInPandas(_records, "file string, block bigint, no int, line string, h string, s string, q string")
-    ends = cut.where("line is not null").select("file", "block", "no", "line").groupBy("file").applyInPandas(_stitched, "h string, s string, q string")
-    out = cut.where("h is not null").select("h", "s", "q").unionByName(ends).where("h like '@%'")
-    out = out.select(F.regexp_extract("h", r"^@(\S+)", 1).alias("name"), F.upper("s").alias("seq"), F.col("q").alias("qual"))
+    cut = stage(lines.mapInPandas(_records, "file string, block bigint, no bigint, line string, h string, s string, q string"), "fastq")
+    place = "file string, block bigint, no bigint"
+    ends = cut.where("line is not null").select("file", "block", "no", "line").groupBy("file").applyInPandas(_stitched, f"{place}, h string, s string, q string")
+    out = cut.where("h is not null").select("file", "block", "no", "h", "s", "q").unionByName(ends).where("h like '@%'")
+    if index:
+        out = row_index(out, ["file", "block", "no"], "read_idx")
+    out = out.select(*(["read_idx"] if index else []), F.regexp_extract("h", r"^@(\S+)", 1).alias("name"), F.upper("s").alias("seq"), F.col("q").alias("qual"))
     if drop_ambiguous:
         out = out.where(~F.col("seq").rlike("[^ACGT]"))
     out = out.where(F.length("seq") >= min_length)
@@ -192,19 +211,31 @@ def cluster_result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     part = lambda key: F.split(F.trim(F.regexp_replace("value", f"^{key}:", "")), r"\s+")
     a = t.where("value like 'assignments:%'").select(F.posexplode(part("assignments")).alias("read_idx", "c")).select("read_idx", F.col("c").try_cast("int").alias("cluster"))
     s = t.where("value like 'sizes:%'").select(F.posexplode(part("sizes")).alias("cluster", "n")).select("cluster", F.col("n").try_cast("bigint").alias("n"))
-    return a, s
+    # one line of sizes: as many rows as clusters
+    return a, s.withColumn("size_rank", F.row_number().over(Window.orderBy(F.desc("n"), "cluster"))).orderBy("size_rank")
+
+
+def cluster_number(spark: SparkSession, path: str) -> DataFrame:
+    """``k`` of a denoiser's text result."""
+    return spark.read.text(path).where("value like 'K:%'").select(F.trim(F.regexp_replace("value", "^K:", "")).try_cast("int").alias("k"))
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """``_line, value`` of the lines that hold anything, numbered so that they sort in file order."""
+    t = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n")).alias("_line"), "value")
+    return t.where("trim(value) <> ''")
 
 
 def partition_file(spark: SparkSession, path: str) -> DataFrame:
-    """``read_idx, cluster`` of one label per read in file order; NA becomes -1."""
-    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("read_idx", "c"))
-    return t.select("read_idx", F.coalesce(F.col("c").try_cast("int"), F.lit(-1)).alias("cluster"))
+    """``read_idx, cluster`` of one label per read in file order, on one line or many; NA becomes -1."""
+    t = _numbered(spark, path).select("_line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("_at", "c"))
+    return row_index(t, ["_line", "_at"], "read_idx").select("read_idx", F.coalesce(F.col("c").try_cast("int"), F.lit(-1)).alias("cluster"))
 
 
 def categorical_matrix(spark: SparkSession, path: str, truth_column: int | None = None, shift: int = 0) -> DataFrame:
-    """``obs, codes[, truth]`` of blank-separated whole numbers, one row per line; ``shift`` is subtracted."""
+    """``obs, codes[, truth]`` of blank-separated whole numbers, one row per line, ``obs`` its number from 0; ``shift`` is subtracted."""
     f = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.try_cast("int"))
-    r = spark.read.text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("obs"), f.alias("v"))
+    r = row_index(_numbered(spark, path), ["_line"], "obs").select("obs", f.alias("v"))
     if truth_column is None:
         return r.select("obs", F.transform("v", lambda x: x - shift).alias("codes"))
     keep = F.filter("v", lambda x, i: i != truth_column)
@@ -236,8 +267,12 @@ def vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return r.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("bigint").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"), F.col("f")[6].alias("filter"), F.when(F.size("f") >= 10, fields).alias("fields"), info.alias("info"))
 
 
-def gvcf_info(a: DataFrame, b: DataFrame, genotype: str) -> DataFrame:
-    """Rows of the two subgenomes' gVCF records joined on position (not by line number).
+def gvcf_info(a: DataFrame, b: DataFrame, genotype: str, chroms: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """Rows of the two subgenomes' gVCF records joined on chromosome and position (not by line number).
+
+    ``chroms`` pairs the chromosomes (``chrom_a, chrom_b``), whose positions
+    are then equal as in a simulation; ``sites`` (``chrom_a, pos_a, chrom_b,
+    pos_b``, 1-based) pairs single positions instead.
 
     ``<NON_REF>`` is no allele; likelihoods and depth come from the FORMAT map,
     whatever its shape; absent ones are null.
@@ -250,8 +285,13 @@ def gvcf_info(a: DataFrame, b: DataFrame, genotype: str) -> DataFrame:
         gt = F.when(F.col("fields")["GT"].contains("."), ".").otherwise(dosage.cast("string"))
         return v.select(F.col("chrom").alias(f"chrom{s}"), "pos", F.col("ref").alias(f"ref_{s}_allele"), F.get(alt, F.lit(0)).alias(f"alt_{s}_allele"), *[F.get(pl, F.lit(i)).try_cast("int").alias(f"pl{s}_{i}") for i in range(3)], F.col("fields")["DP"].try_cast("int").alias(f"cov{s}"), gt.alias(f"gt_{s}"))
 
-    j = side(a, "a").join(side(b, "b"), "pos")
-    return j.select(F.lit(genotype).alias("genotype"), "chroma", "chromb", F.col("pos").alias("positiona"), F.col("pos").alias("positionb"), F.concat_ws("/", "gt_a", "gt_b").alias("genotype_call"), *[f"{k}_{s}_allele" for s in "ab" for k in ("ref", "alt")], *[f"pl{s}_{i}" for s in "ab" for i in range(3)], "cova", "covb")
+    left, right = side(a, "a").withColumnRenamed("pos", "positiona"), side(b, "b").withColumnRenamed("pos", "positionb")
+    if sites is not None:
+        pairs = sites.select(F.col("chrom_a").alias("chroma"), F.col("pos_a").alias("positiona"), F.col("chrom_b").alias("chromb"), F.col("pos_b").alias("positionb"))
+        j = left.join(pairs, ["chroma", "positiona"]).join(right, ["chromb", "positionb"])
+    else:
+        j = left.join(chroms.select(F.col("chrom_a").alias("chroma"), F.col("chrom_b").alias("chromb")).distinct(), "chroma").withColumn("positionb", F.col("positiona")).join(right, ["chromb", "positionb"])
+    return j.select(F.lit(genotype).alias("genotype"), "chroma", "chromb", "positiona", "positionb", F.concat_ws("/", "gt_a", "gt_b").alias("genotype_call"), *[f"{k}_{s}_allele" for s in "ab" for k in ("ref", "alt")], *[f"pl{s}_{i}" for s in "ab" for i in range(3)], "cova", "covb")
 
 
 def call_log(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -29,15 +29,22 @@ def sam_header(references: DataFrame) -> list[str]:
 
 
 def write_text(df: DataFrame, path: str, header: list[str] | None = None, order: list | None = None, single: bool = False) -> None:
-    """Write the ``value`` column; rows sorted by ``order`` across files, the header in a file that sorts first."""
-    d = df.orderBy(*order) if order else df
+    """Write the ``value`` column; rows sorted by ``order`` across files, the header as the first lines of the first file.
+
+    With a header and no order the rows follow in any order.
+    """
+    keys = [F.col(k).alias(f"_o{i}") if isinstance(k, str) else k.alias(f"_o{i}") for i, k in enumerate(order or [])]
+    d = df.select("value", F.lit(1).alias("_part"), F.lit(0).alias("_no"), *keys)
+    names = [c for c in d.columns if c.startswith("_o")]
+    if header:
+        head = df.sparkSession.createDataFrame(list(enumerate(header)), "_no int, value string").withColumn("_part", F.lit(0))
+        d = head.select("value", "_part", "_no", *[F.lit(None).cast(d.schema[c].dataType).alias(c) for c in names]).unionByName(d)
+    if header or order:
+        d = d.orderBy("_part", "_no", *names)
     d = d.select("value")
     if single:
         d = d.coalesce(1)
     d.write.mode("overwrite").text(path)
-    if header:
-        head = df.sparkSession.createDataFrame([("\n".join(header),)], "value string")
-        head.coalesce(1).write.mode("append").text(path + "/header")
 
 
 def write_vcf(lines: DataFrame, path: str, header: list[str]) -> None:

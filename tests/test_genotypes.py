@@ -172,6 +172,19 @@ def test_clusterings(spark):
 
     den = clusters.deblur(pd.DataFrame({"seq": ["AAAA", "AAAT", "CCCC"], "n_reads": [1000, 30, 200]}))
     assert set(den["seq"]) == {"AAAA", "CCCC"}
+    loss = (1 - 0.005) ** 4  # by hand: AAAT is one place off, CCCC four
+    deep = clusters.deblur(pd.DataFrame({"seq": ["AAAA", "AAAT", "CCCC"], "n_reads": [1000, 100, 20]}))
+    t = 100 - 1000 / loss * 0.06
+    assert deep["abundance"].round(6).tolist() == [1000, round(t, 6), round(20 - 1000 / loss * 0.01 - int(t) / loss * 0.01, 6)]
+    assert clusters.deblur(pd.DataFrame({"seq": ["AAAA", "AAAT"], "n_reads": [1000, 100]}), most=1)["seq"].tolist() == ["AAAA"]
+    m = spark.createDataFrame([(i, [i % 3, i // 3, 7]) for i in range(9)], "cluster int, mode array<int>")
+    r = spark.createDataFrame([(1, [1, 2, 7]), (2, [9, 9, 9]), (3, [2, 2, None])], "k int, x array<int>")
+    want = sorted(map(tuple, clusters.assign_modes(r, m, "k", "x").collect()))
+    old, clusters.MAX_MODES = clusters.MAX_MODES, 2
+    try:
+        assert sorted(map(tuple, clusters.assign_modes(r, m, "k", "x").collect())) == want
+    finally:
+        clusters.MAX_MODES = old
 
 
 def test_mixture_recovers_haplotypes(spark):

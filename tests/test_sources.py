@@ -24,7 +24,7 @@ def test_sam_round_trip(spark, tmp_path):
 
 
 def test_fasta_fastq(spark, tmp_path):
-    fa = _put(tmp_path / "x.fa", ">c1 first\nACG\nta\n>c2\nGG\n")
+    fa = _put(tmp_path / "x.fa", ">c1 first > second\nACG\nta\n>c2\nGG\n")
     assert {r["name"]: r["seq"] for r in readers.fasta(spark, fa).collect()} == {"c1": "ACGTA", "c2": "GG"}
     fq = _put(tmp_path / "x.fq", "@r1 x\nacgn\n+\nFFFF\n@r2\nAC\n+\n@F\n")
     assert {r["name"]: (r["seq"], r["qual"]) for r in readers.fastx(spark, fq).collect()} == {"r1": ("ACGN", "FFFF"), "r2": ("AC", "@F")}
@@ -53,6 +53,9 @@ def test_fastq_blocks(spark, tmp_path):
             spark.conf.set("spark.sql.files.openCostInBytes", 1)
             got = sorted(map(tuple, readers.fastq(spark, str(tmp_path)).collect()))
             assert got == sorted(want)
+            rows = readers.fastq(spark, str(tmp_path), index=True, min_length=2).orderBy("read_idx").collect()
+            assert [tuple(r)[1:] for r in rows] == [w for w in want if len(w[1]) > 1]
+            assert all(want[r["read_idx"]][0] == r["name"] for r in rows)
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
@@ -73,6 +76,7 @@ def test_tables(spark, tmp_path):
     assert len(e) == 2 and e[0]["prob"] == 0.9977
     a, s = readers.cluster_result(spark, _put(tmp_path / "k.txt", "K: 2\nassignments: 0 1 NA 0\nsizes: 2 1\n"))
     assert [r["cluster"] for r in a.orderBy("read_idx").collect()] == [0, 1, None, 0] and s.count() == 2
+    assert readers.cluster_number(spark, str(tmp_path / "k.txt")).first()["k"] == 2 and [r["cluster"] for r in s.collect()] == [0, 1]
     m = readers.categorical_matrix(spark, _put(tmp_path / "m.txt", "1 2 3\n2 2 1\n"), 0, 1).orderBy("obs").collect()
     assert [r["codes"] for r in m] == [[1, 2], [1, 0]] and [r["truth"] for r in m] == [1, 2]
     prof = readers.error_profile(spark, _put(tmp_path / "d.csv", ",".join(["1000", "0"] * 16)))
@@ -92,7 +96,12 @@ def test_vcf_shapes(spark, tmp_path):
     head = "##x\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n"
     a = readers.vcf(spark, _put(tmp_path / "a.vcf", head + "A\t5\t.\tG\tC,<NON_REF>\t.\t.\tDP=9;MQ=1\tGT:AD:DP:GQ:PL:SB\t0/1:4,5:9:99:50,0,60:1\nA\t6\t.\tG\t<NON_REF>\t.\t.\t.\tGT:DP\t0/0:7\n"))
     b = readers.vcf(spark, _put(tmp_path / "b.vcf", head + "B\t5\t.\tT\t<NON_REF>\t.\t.\t.\tGT:DP:PL\t0|0:3:0,5,9\nB\t7\t.\tT\t.\t.\t.\t.\tGT\t./.\n"))
-    r = readers.gvcf_info(a, b, "ind").collect()
+    chroms = spark.createDataFrame([("A", "B"), ("A2", "B2")], "chrom_a string, chrom_b string")
+    other = readers.vcf(spark, _put(tmp_path / "c.vcf", head + "B2\t5\t.\tC\t.\t.\t.\t.\tGT\t0/0\n"))
+    r = readers.gvcf_info(a, b.unionByName(other), "ind", chroms).collect()
+    sites = spark.createDataFrame([("A", 6, "B2", 5)], "chrom_a string, pos_a bigint, chrom_b string, pos_b bigint")
+    s = readers.gvcf_info(a, b.unionByName(other), "ind", chroms, sites).first()
+    assert (s["positiona"], s["positionb"], s["chromb"], s["ref_b_allele"]) == (6, 5, "B2", "C")
     assert len(r) == 1 and r[0]["genotype_call"] == "1/0" and r[0]["alt_a_allele"] == "C" and r[0]["alt_b_allele"] is None and r[0]["pla_0"] == 50 and r[0]["covb"] == 3
     assert a.first()["info"] == {"DP": "9", "MQ": "1"}
 
@@ -104,3 +113,10 @@ def test_stream_batches_replace_themselves(spark, tmp_path):
     for _ in range(2):
         ingest.ingest_filtered(ingest.stream_lines(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).where(F.col("qname").isNotNull()).count() == 1
+
+
+def test_vcf_file_begins_with_its_header(spark, tmp_path):
+    rows = spark.createDataFrame([("B", 9, "B\t9\t."), ("A", 10, "A\t10\t."), ("A", 2, "A\t2\t.")], "chrom string, pos bigint, line string")
+    writers.write_vcf(rows.repartition(3), str(tmp_path / "v"), ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID"])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "v").glob("part-*")))
+    assert text.split("\n")[:-1] == ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID", "A\t2\t.", "A\t10\t.", "B\t9\t."]
