@@ -3,13 +3,16 @@
 Every input split is dictionary-encoded on its own and reduced with numpy
 ``bincount`` into dense accumulator arrays (one slot per local key), so a
 task's cost follows its rows, not how they spread over keys.  The arrays
-leave a split as rows of key and partial count, which are summed by a grouped
-sum; a split sends each key once per flush, whatever its number of rows.  No global dictionary is
-built or broadcast, so the number of keys is unbounded.
+leave a split in blocks chosen by key hash: a block is one row holding an array
+of keys and one array per accumulator.  Blocks of equal number meet and are
+summed as arrays, by encoding their keys and a scatter-add; a split sends each
+key once per flush, whatever its number of rows.  No global dictionary is built
+or broadcast, so the number of keys is unbounded.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +30,14 @@ def _bincount(codes: np.ndarray, n: int, weights: np.ndarray | None) -> np.ndarr
     return np.bincount(codes, weights=weights, minlength=n)
 
 
-def accumulate(df: DataFrame, key: str, sums: list[str] | None = None, blocks: int | None = None, flush: int = 65536) -> DataFrame:
+def accumulate(df: DataFrame, key: str, sums: list[str] | None = None, blocks: int = 4096, flush: int = 65536) -> DataFrame:
     """``key``, ``n_rows`` and a sum of each column of ``sums``, per key.
 
     Integer columns sum exactly as bigint (sums must fit), others as double; nulls add nothing,
     so a key with only null values has sum 0.  The null key is a key of its
     own.  An empty table gives no rows.  ``flush`` bounds the keys a task
-    holds; beyond it partial arrays are sent on early.
+    holds; beyond it partial arrays are sent on early.  ``blocks`` is the
+    number of hash blocks of keys; a block's arrays meet in one task.
     """
     sums = sums or []
     kinds = {c: ("bigint" if df.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "double") for c in sums}
@@ -42,6 +46,7 @@ def accumulate(df: DataFrame, key: str, sums: list[str] | None = None, blocks: i
     names = ["_n", *[f"_s{i}" for i in range(len(sums))]]
     types = ["bigint", *[kinds[c] for c in sums]]
     schema = f"_key {key_type}, " + ", ".join(f"{n} {t}" for n, t in zip(names, types))
+    arrays_of = f"block int, _key array<{key_type}>, " + ", ".join(f"{n} array<{t}>" for n, t in zip(names, types))
 
     def splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -49,8 +54,13 @@ def accumulate(df: DataFrame, key: str, sums: list[str] | None = None, blocks: i
         kind = None
 
         def out() -> pa.RecordBatch:
-            keys = pa.array(list(held), kind)
-            return pa.RecordBatch.from_arrays([keys, *[pa.array(a[: len(held)]) for a in arrays]], names=["_key", *names])
+            block = np.fromiter((zlib.crc32(repr(k).encode()) % blocks for k in held), np.int32, len(held))
+            order = pa.array(np.argsort(block, kind="stable"))
+            block = np.sort(block)
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            offs = pa.array(np.append(first, len(block)).astype(np.int32))
+            cols = [pa.array(list(held), kind), *[pa.array(a[: len(held)]) for a in arrays]]
+            return pa.RecordBatch.from_arrays([pa.array(block[first]), *[pa.ListArray.from_arrays(offs, c.take(order)) for c in cols]], names=["block", "_key", *names])
 
         for b in batches:
             if not b.num_rows:
@@ -71,9 +81,12 @@ def accumulate(df: DataFrame, key: str, sums: list[str] | None = None, blocks: i
         if held:
             yield out()
 
-    partial = src.mapInArrow(splits, schema)
-    # one row per split (and flush) and key; summed in the JVM, with map-side combine
-    total = partial.groupBy("_key").agg(*[F.sum(n).alias(n) for n in names])
-    if blocks:
-        total = total.repartition(blocks, "_key")
+    def total_of(t: pa.Table) -> pa.Table:
+        cols = [t.column(c).combine_chunks().flatten() for c in ("_key", *names)]
+        enc = cols[0].dictionary_encode(null_encoding="encode")
+        codes, m = enc.indices.to_numpy(zero_copy_only=False), len(enc.dictionary)
+        return pa.Table.from_arrays([enc.dictionary, *[pa.array(_bincount(codes, m, c.to_numpy(zero_copy_only=False))) for c in cols[1:]]], names=["_key", *names])
+
+    # one row per split (and flush) and block, summed array by array
+    total = src.mapInArrow(splits, arrays_of).groupBy("block").applyInArrow(total_of, schema)
     return total.select(F.col("_key").alias(key), F.col("_n").alias("n_rows"), *[F.col(f"_s{i}").alias(f"sum_{c}") for i, c in enumerate(sums)])

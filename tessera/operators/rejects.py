@@ -58,9 +58,10 @@ class Fields:
         self.buf, self.offs = buf, offs
         self.n = len(offs) - 1
         mask = buf == delimiter
-        self.quotes, inside = quote_parity(buf, offs)
+        self.quote = buf == QUOTE
+        _, self.inside = quote_parity(buf, offs)
         if quoted_delimiters:
-            mask &= ~inside
+            mask &= ~self.inside
         self.at = np.flatnonzero(mask)
         self.first = np.searchsorted(self.at, offs)
         self.count = np.diff(self.first) + 1
@@ -135,14 +136,18 @@ def check_sam(col: pa.Array) -> tuple[np.ndarray, Fields, list[tuple[np.ndarray,
         bad[trow[~good]] = True
         fail(bad, "columns")
 
-    # quoting: fields 1 to 9 hold no quote, or exactly one pair around the field
+    # quoting: fields 1 to 9 hold no quote, or one that opens at their start and one that closes at their end
     spans = [f.span(k) for k in range(len(SAM_FIELDS))]
     bad = np.zeros(n, bool)
+    even, odd = _prefix(f.quote & ~f.inside), _prefix(f.quote & f.inside)  # quotes by the parity of those before them
     for k in range(9):
         s, e = spans[k]
-        q = f.quotes[e] - f.quotes[s]
-        wrapped = (q == 2) & (e - s >= 2) & (_take(buf, s) == QUOTE) & (_take(buf, np.maximum(e - 1, 0)) == QUOTE)
-        bad |= (q > 0) & ~wrapped
+        flip = _take(f.inside, s)  # a stray quote in an earlier field turns the parity
+        x, y = even[e] - even[s], odd[e] - odd[s]
+        opens, shuts = np.where(flip, y, x), np.where(flip, x, y)
+        last = np.maximum(e - 1, 0)
+        wrapped = (opens == 1) & (shuts == 1) & _take(f.quote, s) & _take(f.quote, last) & (_take(f.inside, last) != flip)
+        bad |= (opens + shuts > 0) & ~wrapped
         spans[k] = (np.where(wrapped, s + 1, s), np.where(wrapped, e - 1, e))
     fail(bad, "quoting")
 
@@ -200,6 +205,14 @@ def _cigar_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, use: np.ndarray)
     return ok, want
 
 
+def _texts(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
+    """Spans of the buffer as a string column, gathered at once."""
+    lens = e - s
+    offs = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+    flat = buf[np.repeat(s - offs[:-1], lens) + np.arange(offs[-1])]
+    return pa.LargeStringArray.from_buffers(len(s), pa.py_buffer(offs.tobytes()), pa.py_buffer(flat.tobytes())).cast(pa.string())
+
+
 def reject_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``reason`` of every line that cannot be loaded.
 
@@ -240,12 +253,11 @@ def load_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 continue
             reason, f, spans = check_sam(b.column(len(keep)))
             rows = np.flatnonzero(reason == "")
-            body = f.buf.tobytes()
             cols = [b.column(i).take(pa.array(rows)) for i in range(len(keep))]
-            for s, e in spans:
-                cols.append(pa.array([body[x:y].decode("utf-8", "replace") for x, y in zip(s[rows], e[rows])], pa.string()))
-            ends = spans[10][1][rows]
-            cols.append(pa.array([body[x + 1 : y].decode("utf-8", "replace") or None for x, y in zip(ends, f.offs[rows + 1])], pa.string()))
+            cols += [_texts(f.buf, s[rows], e[rows]) for s, e in spans]
+            ends, stop = spans[10][1][rows], f.offs[rows + 1]
+            tags = _texts(f.buf, np.minimum(ends + 1, stop), stop)
+            cols.append(pc.if_else(pc.equal(pc.binary_length(tags), 0), pa.scalar(None, pa.string()), tags))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *SAM_FIELDS, "tags"])
 
     out = src.mapInArrow(run, f"{head}, {raw}" if keep else raw)
