@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.operators.ordering import sample_rows
+from tessera.operators.ordering import row_index, sample_rows
 from tessera.storage import small, stage
 
 MAX_MODES = 10_000
@@ -186,7 +186,7 @@ def homogeneity(df: DataFrame, cluster: str, truth: str) -> DataFrame:
 def abundance_ranks(df: DataFrame, cluster: str) -> DataFrame:
     """Clusters by size, largest first (ties by label)."""
     g = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"))
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), cluster)))  # one row per cluster
+    return row_index(g, [F.desc("n"), cluster], "_no").withColumn("rank", (F.col("_no") + 1).cast("int")).drop("_no")
 
 
 # Upper bound of the error share by Hamming distance, up to 11 places.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import seq
@@ -89,16 +91,18 @@ def kmers(df: DataFrame, key: list[str], column: str, k: int) -> DataFrame:
     return df.where(n >= 1).select(*key, F.explode(F.array_distinct(pieces)).alias("kmer"))
 
 
-def nearest_other(df: DataFrame, against: DataFrame, key: str, column: str, partition: Column | None = None) -> DataFrame:
+def nearest_other(df: DataFrame, against: DataFrame, key: str, column: str, block: int = 10_000) -> DataFrame:
     """Least Hamming distance of each row of ``df`` (a stated query set) to rows of ``against`` of equal length.
 
-    The comparison set is cut into blocks that stay where they are; the query
-    set is sent to the blocks only if it is of checked size, else both sides
-    meet by length.
+    The comparison set stays where it is: the query set visits it in blocks of
+    about ``block`` rows, each sent to all tasks, so no key gathers the rows of
+    one length.  Ties go to the lesser key.
     """
     q = df.select(F.col(key).alias("_q"), F.col(column).alias("_a"), F.length(column).alias("_n"))
     a = against.select(F.col(key).alias("_k"), F.col(column).alias("_b"), F.length(column).alias("_n"))
-    j = a.join(F.broadcast(q) if q.count() <= 10_000 else q, "_n").where("_q <> _k")
+    parts = -(-q.count() // block) or 1
+    joined = [a.join(F.broadcast(q.where(F.pmod(F.xxhash64("_q"), F.lit(parts)) == i)), "_n").where("_q <> _k") for i in range(parts)]
+    j = reduce(DataFrame.unionByName, joined)
     d = F.length("_a") - F.length(F.array_join(F.zip_with(seq.letters(F.col("_a")), seq.letters(F.col("_b")), lambda x, y: F.when(x == y, F.lit("x")).otherwise(F.lit(""))), ""))
     g = j.groupBy("_q").agg(F.min(F.struct(d.alias("d"), F.col("_k").alias("k"))).alias("m"))
     return g.select(F.col("_q").alias(key), F.col("m.d").alias("distance"), F.col("m.k").alias("nearest"))

@@ -77,9 +77,14 @@ def biallelic(sites: DataFrame, fraction: float = 0.5, coverage: str = "min_cov"
     return sites.withColumn("third_allele", F.col("num3") > fraction * F.col(coverage) / 2)
 
 
+def low_coverage(least: float = 0.9) -> Column:
+    """Whether a subgenome's coverage of the site is below a share of its expected coverage of the region."""
+    return (F.col("cov_a") < least * F.col("region_cov_a")) | (F.col("cov_b") < least * F.col("region_cov_b"))
+
+
 def coverage_screen(sites: DataFrame, least: float = 0.9) -> DataFrame:
-    """Sites whose local coverage is at least a share of the region's expected coverage."""
-    return sites.where((F.col("cov_a") + F.col("cov_b")) >= least * F.col("region_cov"))
+    """Sites whose coverage is at least a share of the region's expected coverage, in both subgenomes."""
+    return sites.where(~low_coverage(least))
 
 
 def covered(sites: DataFrame) -> DataFrame:

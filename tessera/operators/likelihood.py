@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import seq
 
@@ -58,14 +58,31 @@ def expected_coverage(pp: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def loglik_quantiles(ll: DataFrame, keys: list[str]) -> DataFrame:
-    """Seven quantiles of the best log-likelihood, exact, from one sorted array per key."""
-    arr = F.sort_array(F.collect_list(F.greatest("ll_a", "ll_b")))
-    g = ll.groupBy(*keys).agg(arr.alias("_l"))
-    n = F.size("_l")
+    """Seven quantiles of the best log-likelihood, exact.
+
+    Equal values are counted first, so a key moves its distinct values; the
+    values at the wanted ranks are picked from running counts, which sort with
+    spilling and hold no key in memory.
+    """
     qs = {"q0": 0.0, "q025": 0.025, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q975": 0.975, "q1": 1.0}
-    return g.select(*keys, *[F.element_at("_l", F.least(F.floor(n * q).cast("int") + 1, n)).alias(k) for k, q in qs.items()])
+    n = ll.groupBy(*keys, F.greatest("ll_a", "ll_b").alias("_l")).agg(F.count("*").alias("_k")).where("_l is not null")
+    w = Window.partitionBy(*keys)
+    n = n.withColumn("_to", F.sum("_k").over(w.orderBy("_l"))).withColumn("_n", F.sum("_k").over(w))
+    at = {k: F.least(F.floor(F.col("_n") * q) + 1, F.col("_n")) for k, q in qs.items()}
+    return n.groupBy(*keys).agg(*[F.max(F.when((F.col("_to") - F.col("_k") < r) & (r <= F.col("_to")), F.col("_l"))).alias(k) for k, r in at.items()])
 
 
-def error_observations(bases: DataFrame) -> DataFrame:
-    """One row per base: read position, reference base, quality, read base and log probability."""
-    return bases.select(F.col("rd_idx").alias("read_pos"), F.col("ref_base"), F.col("q").alias("qual"), F.col("base").alias("read_base"), "logp")
+def error_observations(bases: DataFrame, deleted: DataFrame | None = None, errors_only: bool = False) -> DataFrame:
+    """One row per base: read position, reference base, quality, read base and log probability.
+
+    A column ``hard_clip`` of ``bases`` shifts the read position by the bases
+    clipped away before it.  ``deleted`` (``rd_idx, ref_base``: the base before
+    the gap and the reference base without a read base) gives rows of quality
+    -1 and base ``-``.  ``errors_only`` keeps the bases that differ.
+    """
+    shift = lambda d: F.col("rd_idx") + (F.coalesce("hard_clip", F.lit(0)) if "hard_clip" in d.columns else 0)
+    out = bases.select(shift(bases).alias("read_pos"), F.col("ref_base"), F.col("q").alias("qual"), F.col("base").alias("read_base"), "logp")
+    if deleted is not None:
+        gap = deleted.select(shift(deleted).alias("read_pos"), "ref_base", F.lit(-1).alias("qual"), F.lit("-").alias("read_base"), F.lit(None).cast("double").alias("logp"))
+        out = out.unionByName(gap)
+    return out.where("ref_base <> read_base") if errors_only else out

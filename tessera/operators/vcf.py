@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.operators.genotype import genotype_quality
+from tessera.operators.genotype import genotype_quality, low_coverage
 
 LN10 = 2.302585092994046
 
 
-def header(chroms: list[str], sample: str, date: str, source: str = "tessera", equal_test: bool = False, posthoc: bool = False, gl: bool = False, coverage: float | None = None, min_quality: int | None = None) -> list[str]:
-    """Header lines; FILTER and FORMAT entries only for what the records use."""
+def header(chroms: list[str], sample: str, date: str, source: str = "tessera", equal_test: bool = False, posthoc: bool = False, gl: bool = False, coverage: float | None = None, min_quality: int | None = None, reference: str | None = None, clustering: bool = False) -> list[str]:
+    """Header lines; FILTER and FORMAT entries only for what the records use.
+
+    Records by ``clustering`` have the filters of indels instead of the per-site ones.
+    """
     out = ["##fileformat=VCFv4.2", f"##fileDate={date}", f"##source={source}"]
+    if reference is not None:
+        out.append(f"##reference={reference}")
+    out.append("##phasing=no")
     out += [f"##contig=<ID={c}>" for c in chroms]
-    out.append('##FILTER=<ID=al2,Description="More than two alleles">')
+    if clustering:
+        posthoc, coverage, equal_test = False, None, False
+        out += ['##FILTER=<ID=sgi,Description="Indel within a subgenome">', '##FILTER=<ID=hmi,Description="Indel between the subgenomes">']
+    else:
+        out.append('##FILTER=<ID=al2,Description="More than two alleles">')
     if posthoc:
         out.append('##FILTER=<ID=sc5,Description="Coverage test on haplotypes failed at 5 percent">')
         if min_quality is not None:
@@ -94,6 +104,12 @@ def third_allele_rows(sites: DataFrame) -> DataFrame:
     return sites.where("third_allele").select(F.explode(F.array(side("a"), side("b"))).alias("_r")).select("_r.*")
 
 
+def coverage_rows(sites: DataFrame, least: float = 0.9) -> DataFrame:
+    """``cNN`` records of sites below the coverage screen, without alternative or genotype."""
+    side = lambda s: F.struct(F.lit(s.upper()).alias("side"), F.col(f"name_{s}").alias("chrom"), (F.col(f"pos_{s}") + 1).alias("pos"), F.col(f"ref_{s}").alias("ref"), F.lit(".").alias("alt"), F.lit(f"c{round(100 * least)}").alias("filter"))
+    return sites.where(low_coverage(least)).select(F.explode(F.array(side("a"), side("b"))).alias("_r")).select("_r.*")
+
+
 def lines(rows: DataFrame) -> DataFrame:
     """``chrom, pos, line`` of complete tab-separated records."""
     parts = [F.col("gt"), F.col("dp").cast("string"), F.col("gq").cast("string")]

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.operators import genotype as G, vcf
+from tessera.operators.likelihood import expected_coverage, read_posteriors
 from tessera.plans.adapters import PILEUP, duck, spark_sql
 
 KEYS = ["site"]
@@ -75,6 +76,40 @@ def vcf_rows(spark, sf):
     return rows.select("chrom", "pos", "ref", "alt", "filter", "format", "gt", "dp")
 
 
+def _sites(spark, sf):
+    """All sites with their counts, alleles and references."""
+    p = pileup(spark, sf)
+    refs = [F.min("ref_a").alias("ref_a"), F.min("ref_b").alias("ref_b"), *G._count_bases()]
+    s = G.top_alleles(G.expected_counts(p, KEYS, counts=refs)).withColumn("min_cov", F.least("cov_a", "cov_b"))
+    return s.withColumns({"name_a": F.lit("chrA"), "name_b": F.lit("chrB"), "pos_a": F.col("site"), "pos_b": F.col("site")})
+
+
+def vcf_third_allele(spark, sf):
+    """Records of sites with evidence of a third allele."""
+    return vcf.third_allele_rows(G.biallelic(_sites(spark, sf), 0.05))
+
+
+def _screened(spark, sf):
+    """Sites beside the coverage that is expected of each subgenome: its mean over all sites."""
+    s = _sites(spark, sf)
+    return s.crossJoin(F.broadcast(s.agg(F.round(F.avg("cov_a"), 6).alias("region_cov_a"), F.round(F.avg("cov_b"), 6).alias("region_cov_b"))))  # one row
+
+
+def vcf_low_coverage(spark, sf):
+    """Records of sites below the coverage screen."""
+    return vcf.coverage_rows(_screened(spark, sf), 0.6)
+
+
+def coverage_screen(spark, sf):
+    """Sites that pass the coverage screen."""
+    return _round(G.coverage_screen(_screened(spark, sf), 0.6).select("site", "cov_a", "cov_b"), ["cov_a", "cov_b"], 4)
+
+
+def region_coverage(spark, sf):
+    """Expected reads of each subgenome per site, from whole-read posteriors."""
+    return _round(expected_coverage(read_posteriors(pileup(spark, sf)), KEYS), ["cov_a", "cov_b", "min_cov"])
+
+
 def vcf_lines(spark, sf):
     """Complete VCF body lines with GL."""
     return vcf.lines(vcf.site_rows(_called(spark, sf), gl=True))
@@ -94,7 +129,7 @@ def multi_sample_vcf(spark, sf):
     return vcf.multi_sample(vcf.site_rows(c, extra=["sample"]), ["s0", "s1", "s2"])
 
 
-QUERIES = {f.__name__: f for f in (site_base_counts, loo_expected_counts, top3_alleles, biallelic_screen, genotype_posterior, genotype_marginals, genotype_call, vcf_rows, vcf_lines, genotype_table, multi_sample_vcf)}
+QUERIES = {f.__name__: f for f in (site_base_counts, loo_expected_counts, top3_alleles, biallelic_screen, genotype_posterior, genotype_marginals, genotype_call, vcf_rows, vcf_third_allele, vcf_low_coverage, coverage_screen, region_coverage, vcf_lines, genotype_table, multi_sample_vcf)}
 
 _L10, _L3 = math.log(10), math.log(3)
 
@@ -146,7 +181,14 @@ o as (select chrom, pos, "ref", coalesce(nullif(concat_ws(',', case when nuc1 <>
       when nuc2 = "ref" then (case g when 2 then '0/0' when 1 then '0/1' else '1/1' end)
       else (case g when 2 then '2/2' when 1 then '1/2' else '1/1' end) end gt, floor(cov + 0.5)::int dp from v)
 """
+_SCREEN = """, rf as (select site, min(ref_a) ref_a, min(ref_b) ref_b from p group by 1),
+s as (select *, cov_a < 0.6 * round(avg(cov_a) over (), 6) or cov_b < 0.6 * round(avg(cov_b) over (), 6) low from t3 join ec using (site) join rf using (site))"""
+_ALT = """coalesce(nullif(concat_ws(',', case when nuc1 <> {r} then nuc1 end, case when nuc2 <> {r} and num2 > 0 then nuc2 end), ''), '.')"""
 ORACLE = {
+    "vcf_third_allele": _K + _SCREEN + " union all ".join(f"select '{x.upper()}' side, 'chr{x.upper()}' chrom, site + 1 pos, ref_{x} \"ref\", {_ALT.format(r='ref_' + x)} alt, 'al2' as \"filter\" from s where num3 > 0.05 * least(cov_a, cov_b) / 2" for x in "ab"),
+    "vcf_low_coverage": _K + _SCREEN + " union all ".join(f"select '{x.upper()}' side, 'chr{x.upper()}' chrom, site + 1 pos, ref_{x} \"ref\", '.' alt, 'c60' as \"filter\" from s where low" for x in "ab"),
+    "coverage_screen": _K + _SCREEN + "select site, round(cov_a, 4) cov_a, round(cov_b, 4) cov_b from s where not low",
+    "region_coverage": _K + "select site, count(*) n_reads, round(sum(v), 6) cov_a, round(sum(1 - v), 6) cov_b, round(least(sum(v), sum(1 - v)), 6) min_cov from (select site, 1 / (1 + exp(ll_b - ll_a)) v from p) group by 1",
     "site_base_counts": _K + "select site, " + ", ".join(f"count(*) filter (base = '{x}') n_{x.lower()}" for x in "ACTG") + " from p group by 1",
     "loo_expected_counts": _K
     + "select site, n_cover, " + ", ".join(f"round(e{s}_{x}, 6) e{s}_{x}" for s in "ab" for x in "actg")

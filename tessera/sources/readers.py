@@ -181,7 +181,7 @@ def error_table(spark: SparkSession, path: str) -> DataFrame:
 
 def error_profile(spark: SparkSession, path: str, scale: float = 1000.0) -> DataFrame:
     """``true_base, read_base, q, prob`` of a 16-row matrix (A, C, G, T to A, C, G, T) scaled by 1000."""
-    r = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.trim("value"), r"[\s,]+", ","), ",").alias("v"))
+    r = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.regexp_replace("value", r"^[\s,]+|[\s,]+$", ""), r"[\s,]+", ","), ",").alias("v")).where(F.size("v") >= 16)
     width = (F.size("v") / 16).cast("int")
     p = r.select(width.alias("w"), F.posexplode("v").alias("i", "x"))
     letter = lambda k: F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), k + 1)

@@ -51,6 +51,13 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in shared storage, removed at the end."""
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def small(df: DataFrame, max_rows: int) -> list | None:
     """Rows of ``df`` if there are at most ``max_rows``, else None (nothing unbounded is fetched)."""
     rows = df.limit(max_rows + 1).collect()
