@@ -123,6 +123,16 @@ def allele_balance(df: DataFrame, n1: str, n2: str) -> DataFrame:
     return df.withColumn("chi2", x).withColumn("p_value", stats.chi2_sf(F.col("chi2"), 1))
 
 
+def unbalanced_alleles(calls: DataFrame, side: str, level: float = 0.05) -> DataFrame:
+    """Heterozygous sites of a subgenome whose commonest allele is not half of its expected coverage.
+
+    Chi-square with one degree of freedom on the share of the modal base.
+    """
+    share = F.greatest(*[F.col(f"e{side}_{x}") for x in "actg"]) / F.col(f"cov_{side}")
+    x = 4 * F.col(f"cov_{side}") * (share - 0.5) * (share - 0.5)
+    return calls.where(F.col("g1" if side == "a" else "g2") == 1).withColumn("chi2", x).where(stats.chi2_sf(x, 1) < level)
+
+
 def haplotype_number(df: DataFrame) -> DataFrame:
     """Likelihood ratios on the four largest clusters ``n1 >= n2 >= n3 >= n4``.
 

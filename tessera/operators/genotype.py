@@ -152,16 +152,36 @@ def genotype_quality(error: Column) -> Column:
     return F.when(error > 0, F.least(F.lit(99), F.floor(-10 * F.log10(error)).cast("int"))).otherwise(99)
 
 
-def call_sites(p: DataFrame, keys: list[str], fraction: float = 0.5, region_min_cov: Column | None = None) -> DataFrame:
+def site_table(p: DataFrame, keys: list[str], fraction: float = 0.5, regions: DataFrame | None = None, plain: bool = False, extra: list[Column] | None = None) -> DataFrame:
+    """One row per site: expected counts, alleles and ``third_allele``, in one aggregation.
+
+    ``regions`` (some of the keys, ``region_cov_a, region_cov_b``) holds the
+    expected coverage of the region, whose smaller one judges a third allele
+    (default: the site's own).  ``plain`` weights a base by its whole read
+    (``pp_a``) instead of the read without the site.  ``extra`` are further
+    aggregates of the same pass.
+    """
+    counts = [*_count_bases(), *(extra or [])]
+    s = top_alleles(expected_counts(without_site(p), keys, F.col("pp_a"), counts) if plain else expected_counts(p, keys, counts=counts))
+    if regions is not None:
+        s = s.join(regions, [k for k in keys if k in regions.columns]).withColumn("min_cov", F.least("region_cov_a", "region_cov_b"))
+    else:
+        s = s.withColumn("min_cov", F.least("cov_a", "cov_b"))
+    return biallelic(s, fraction)
+
+
+def call_table(p: DataFrame, keys: list[str], sites: DataFrame) -> DataFrame:
+    """Posteriors, marginals and call of the covered sites of ``sites`` without a third allele."""
+    sites = covered(sites).where("not third_allele")
+    lik = genotype_likelihoods(p.join(sites.select(*keys, "nuc1", "nuc2"), keys), keys)
+    return call_letters(call(marginals(posteriors(lik))).join(sites.drop("third_allele"), keys))
+
+
+def call_sites(p: DataFrame, keys: list[str], fraction: float = 0.5) -> DataFrame:
     """Everything per site: expected counts, alleles, screens, posteriors, marginals and call.
 
     Two aggregations on the same keys; the second joins the small per-site
     table back.  Sites without reads, without expected coverage in a subgenome
-    or with a third allele are left out.  ``region_min_cov`` is the smaller
-    expected coverage of the region (default: of the site).
+    or with a third allele are left out.
     """
-    sites = top_alleles(expected_counts(p, keys, counts=_count_bases())).withColumn("min_cov", region_min_cov if region_min_cov is not None else F.least("cov_a", "cov_b"))
-    sites = covered(biallelic(sites, fraction)).where("not third_allele")
-    lik = genotype_likelihoods(p.join(sites.select(*keys, "nuc1", "nuc2"), keys), keys)
-    out = call(marginals(posteriors(lik))).join(sites.drop("third_allele"), keys)
-    return call_letters(out)
+    return call_table(p, keys, site_table(p, keys, fraction))

@@ -94,20 +94,20 @@ def _filter(g: Column, het: Column, least: float | None) -> Column:
     return F.when((g == 1) & (het < least), f"gq{quality}").otherwise("PASS")
 
 
-def third_allele_rows(sites: DataFrame) -> DataFrame:
+def third_allele_rows(sites: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """``al2`` records of sites with a third allele, without genotype."""
 
     def side(s: str) -> Column:
         ref = F.col(f"ref_{s}")
         return F.struct(F.lit(s.upper()).alias("side"), F.col(f"name_{s}").alias("chrom"), (F.col(f"pos_{s}") + 1).alias("pos"), ref.alias("ref"), _alt(ref, F.col("nuc1"), F.col("nuc2"), ~F.col("no_alt")).alias("alt"), F.lit("al2").alias("filter"))
 
-    return sites.where("third_allele").select(F.explode(F.array(side("a"), side("b"))).alias("_r")).select("_r.*")
+    return sites.where("third_allele").select(*(extra or []), F.explode(F.array(side("a"), side("b"))).alias("_r")).select(*(extra or []), "_r.*")
 
 
-def coverage_rows(sites: DataFrame, least: float = 0.9) -> DataFrame:
+def coverage_rows(sites: DataFrame, least: float = 0.9, extra: list[str] | None = None) -> DataFrame:
     """``cNN`` records of sites below the coverage screen, without alternative or genotype."""
     side = lambda s: F.struct(F.lit(s.upper()).alias("side"), F.col(f"name_{s}").alias("chrom"), (F.col(f"pos_{s}") + 1).alias("pos"), F.col(f"ref_{s}").alias("ref"), F.lit(".").alias("alt"), F.lit(f"c{round(100 * least)}").alias("filter"))
-    return sites.where(low_coverage(least)).select(F.explode(F.array(side("a"), side("b"))).alias("_r")).select("_r.*")
+    return sites.where(low_coverage(least)).select(*(extra or []), F.explode(F.array(side("a"), side("b"))).alias("_r")).select(*(extra or []), "_r.*")
 
 
 def lines(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions import cigar, seq
 from tessera.operators import coverage_tests, genotype as G, regions, vcf
-from tessera.operators.likelihood import log_likelihood, read_posteriors, with_emission
+from tessera.operators.likelihood import expected_coverage, log_likelihood, read_posteriors, with_emission
 from tessera.operators.reads import ReadFilter, extents, filter_reads, match_clips, overlap_targets, pair_subgenomes, strand_name
 from tessera.storage import stage
 
@@ -21,15 +21,17 @@ from tessera.storage import stage
 class Options:
     """Keyword options of the genotyper, with their defaults."""
 
+    # regions in the older 0-based notation are an option of ``regions.parse_targets``
     reads: ReadFilter = field(default_factory=ReadFilter)
     min_loglik: float | None = None
     min_posterior: float = 0.0
     biallelic: float = 0.5
     equal_coverage_test: bool = False
+    posthoc_test: bool = False  # marks unbalanced heterozygous sites
     posthoc_min_posterior: float | None = None
     gl: bool = False
-    legacy_regions: bool = False
-    min_subgenomic_coverage: float = 5.0  # reported beside the calls, not enforced
+    min_subgenomic_coverage: float = 5.0  # ``low_region`` beside the calls tells; not enforced
+    coverage_screen: float | None = None  # least share of the region's coverage, in both subgenomes
     error_model: DataFrame | None = None
     amplicon: bool = False  # plain read posteriors as weights, no leave-one-out
 
@@ -94,20 +96,57 @@ def pileup(alignments: DataFrame, targets: DataFrame, reference: DataFrame, o: O
     return a.join(b, [*keys, "pos_b"]).join(ll.select("sample", "target_id", "name", "ll_a", "ll_b", "pp_a"), ["sample", "target_id", "name"])
 
 
+KEYS = ["sample", "target_id", "pos_a", "pos_b"]
+
+
+def sites(p: DataFrame, targets: DataFrame, o: Options = Options()) -> DataFrame:
+    """All sites of a pileup, judged by the expected coverage of their sample and target.
+
+    One aggregation by read and one by site, reference bases included.
+    """
+    region = ["sample", "target_id"]
+    reads = p.groupBy(*region, "name").agg(F.max("pp_a").alias("pp_a"))
+    cov = expected_coverage(reads, region).select(*region, F.col("cov_a").alias("region_cov_a"), F.col("cov_b").alias("region_cov_b"))
+    ref_b = F.when(F.col("b_reversed"), seq.complement(F.col("ref_b"))).otherwise(F.col("ref_b"))
+    s = G.site_table(p, KEYS, o.biallelic, cov, o.amplicon, [F.min("ref_a").alias("ref_a"), F.min(ref_b).alias("ref_b")])
+    s = s.withColumn("low_region", F.col("min_cov") < o.min_subgenomic_coverage)
+    return s.join(targets.select("target_id", F.col("chrom_a").alias("name_a"), F.col("chrom_b").alias("name_b")), "target_id")
+
+
+def calls_of(p: DataFrame, s: DataFrame, o: Options = Options()) -> DataFrame:
+    """Calls of the sites that pass the screens, with the equal-coverage test if asked for."""
+    calls = G.call_table(p, KEYS, s if o.coverage_screen is None else G.coverage_screen(s, o.coverage_screen))
+    if o.equal_coverage_test:
+        het = calls.where("g1 = 1 or g2 = 1").select(*KEYS, "nuc1", "nuc2", "g1", "g2")
+        ect = coverage_tests.equal_coverage_test(G.without_site(p).join(het, KEYS), KEYS)
+        calls = calls.join(ect, KEYS, "left")
+    return calls
+
+
 def genotype(alignments: DataFrame, targets: DataFrame, reference: DataFrame, o: Options = Options()) -> DataFrame:
     """Calls of every sample at every homoeologous site."""
     p = stage(pileup(alignments, targets, reference, o), "pileup")
-    keys = ["sample", "target_id", "pos_a", "pos_b"]
-    calls = G.call_sites(p, keys, o.biallelic)
-    refs = p.groupBy(*keys).agg(F.min("ref_a").alias("ref_a"), F.min(F.when(F.col("b_reversed"), seq.complement(F.col("ref_b"))).otherwise(F.col("ref_b"))).alias("ref_b"))
-    calls = calls.join(refs, keys).join(targets.select("target_id", F.col("chrom_a").alias("name_a"), F.col("chrom_b").alias("name_b")), "target_id")
-    if o.equal_coverage_test:
-        het = calls.where("g1 = 1 or g2 = 1").select(*keys, "nuc1", "nuc2", "g1", "g2")
-        ect = coverage_tests.equal_coverage_test(G.without_site(p).join(het, keys), keys)
-        calls = calls.join(ect, keys, "left")
-    return calls
+    return calls_of(p, sites(p, targets, o), o)
 
 
 def vcf_records(calls: DataFrame, o: Options = Options()) -> DataFrame:
-    """VCF rows of the calls of all samples."""
-    return vcf.site_rows(calls, o.gl, o.equal_coverage_test, o.posthoc_min_posterior, extra=["sample", "target_id"])
+    """VCF rows of the calls of all samples; unbalanced heterozygous sites fail if the post-hoc test is asked for."""
+    rows = vcf.site_rows(calls, o.gl, o.equal_coverage_test, o.posthoc_min_posterior, extra=["sample", "target_id"])
+    if not o.posthoc_test:
+        return rows
+    bad = [coverage_tests.unbalanced_alleles(calls, s).select("sample", "target_id", F.lit(s.upper()).alias("side"), (F.col(f"pos_{s}") + 1).alias("pos")) for s in "ab"]
+    failed = bad[0].unionByName(bad[1]).withColumn("_bad", F.lit(True))
+    return rows.join(failed, ["sample", "target_id", "side", "pos"], "left").withColumn("filter", F.when(F.col("_bad"), "sc5").otherwise(F.col("filter"))).drop("_bad")
+
+
+def variants(alignments: DataFrame, targets: DataFrame, reference: DataFrame, o: Options = Options()) -> DataFrame:
+    """All VCF rows of all samples: called sites, third alleles and sites below the coverage screen."""
+    p = stage(pileup(alignments, targets, reference, o), "pileup")
+    s = stage(sites(p, targets, o), "pileup-sites")
+    names = ["sample", "target_id"]
+    rows = vcf_records(calls_of(p, s, o), o)
+    high = s if o.coverage_screen is None else G.coverage_screen(s, o.coverage_screen)
+    rows = rows.unionByName(vcf.third_allele_rows(G.covered(high), names), allowMissingColumns=True)
+    if o.coverage_screen is not None:
+        rows = rows.unionByName(vcf.coverage_rows(s, o.coverage_screen, names), allowMissingColumns=True)
+    return rows

@@ -187,6 +187,15 @@ def test_clusterings(spark):
         clusters.MAX_MODES = old
 
 
+def test_unbalanced_alleles(spark):
+    from tessera.operators import coverage_tests
+
+    cols = "k int, g1 int, g2 int, ea_a double, ea_c double, ea_t double, ea_g double, cov_a double"
+    rows = [(1, 1, 0, 20.0, 18.0, 0.0, 0.0, 38.0), (2, 1, 0, 60.0, 20.0, 0.0, 0.0, 80.0), (3, 0, 1, 60.0, 20.0, 0.0, 0.0, 80.0)]
+    got = coverage_tests.unbalanced_alleles(spark.createDataFrame(rows, cols), "a").collect()
+    assert [r["k"] for r in got] == [2] and abs(got[0]["chi2"] - 20.0) < 1e-9
+
+
 def test_mixture_recovers_haplotypes(spark):
     h = spark.createDataFrame([(i, j, ("ACGT" if i % 3 else "TCGA")[j], 30) for i in range(30) for j in range(4)], "read_idx int, site int, base string, q int")
     pp, haps, lls = clusters.haplotype_mixture(h, 2)

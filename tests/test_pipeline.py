@@ -31,6 +31,20 @@ def test_pipeline_calls_simulated_genotypes(spark, reverse):
         assert ((r["pos_a"] + r["pos_b"]) == n - 1).all()
     rows = pipeline.vcf_records(calls, pipeline.Options(equal_coverage_test=True, gl=True))
     assert rows.count() == 2 * len(r)
+    if reverse:
+        return
+    p = pipeline.pileup(a.unionByName(b), targets, fa)
+    share = F.least(F.col("cov_a") / F.col("region_cov_a"), F.col("cov_b") / F.col("region_cov_b"))
+    least = pipeline.sites(p, targets).agg(F.percentile(share, F.lit(0.3))).first()[0]
+    o = pipeline.Options(posthoc_test=True, coverage_screen=least, biallelic=0.1)
+    s = pipeline.sites(p, targets, o)
+    n_low, n_sites = s.where(share < least).count(), s.count()
+    third = s.where((share >= least) & (F.col("num3") > 0.1 * F.least("region_cov_a", "region_cov_b") / 2)).count()
+    kinds = {x["filter"]: x["n"] for x in pipeline.variants(a.unionByName(b), targets, fa, o).groupBy("filter").agg(F.count("*").alias("n")).collect()}
+    assert kinds[f"c{round(100 * least)}"] == 2 * n_low > 0 and kinds.get("al2", 0) == 2 * third
+    assert sum(kinds.values()) == 2 * n_sites and kinds["PASS"] > n_sites
+    plain = pipeline.genotype(a.unionByName(b), targets, fa, pipeline.Options(amplicon=True))
+    assert plain.count() > 0.9 * 2 * n and plain.where("low_region").count() in (0, plain.count())
 
 
 def test_haplotype_decisions(spark):
