@@ -348,7 +348,7 @@ def _chains(rng, sites=40):
     return rows
 
 
-@pytest.mark.parametrize("chunk,cohort", [(8192, 128), (5, 3)])
+@pytest.mark.parametrize("chunk,cohort", [(5, 3)])
 def test_peaks_of_chains_do_not_depend_on_the_layout(spark, monkeypatch, tmp_path, chunk, cohort):
     """Peaks are exactly the records without a denser neighbour; files, batches and parts change nothing."""
     rows = dict(enumerate(_chains(random.Random(9))))
