@@ -484,9 +484,9 @@ def similar_sequences(df: DataFrame, k: int = 11, threshold: float = 0.5) -> tup
     texts = stage(uniq.select("uid", "key").join(F.broadcast(need) if few else need, "uid", "left_semi"), "near-texts")
     both = cand.join(texts.select(F.col("uid").alias("a"), F.col("key").alias("ka")), "a").join(texts.select(F.col("uid").alias("b"), F.col("key").alias("kb")), "b")
     pairs = stage(_verify(both, k, threshold), "near-pairs")
-    many = stage(uniq.where("low < high").select("field", "uid", "key"), "near-many")
-    mine = df.select("field", "id", pack(F.col("seq")).alias("key"))
-    copies = stage(mine.join(F.broadcast(many) if fits(many, "length(key) + 16") else many, ["field", "key"]).select("field", "uid", "id").distinct(), "near-copies")
+    many = stage(spelled(uniq.where("low < high")), "near-many")
+    mine = df.select("field", "id", "seq")
+    copies = stage(mine.join(F.broadcast(many) if fits(many, "length(seq) + 16") else many, ["field", "seq"]).select("field", "uid", "id").distinct(), "near-copies")
     one = uniq.where("low = high").select("field", "uid", F.col("low").alias("id"))
     return pairs, one.unionByName(copies), copies
 
