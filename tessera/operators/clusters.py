@@ -128,17 +128,116 @@ def density_seeds(df: DataFrame, k: int, key: str, codes: str) -> DataFrame:
     return df.join(top, key).withColumn("cluster", (F.row_number().over(Window.orderBy(F.desc("density"), key)) - 1).cast("int")).select("cluster", F.col(codes).alias("mode"))
 
 
-def estimate_k(df: DataFrame, ks: list[int], key: str, codes: str, seed: int = 1) -> pd.DataFrame:
-    """Cost and jump statistic of each number of clusters; the greatest jump is the estimate."""
+def seeds_from_set(rows: DataFrame, k: int, key: str, codes: str, seed: int = 1) -> DataFrame:
+    """``k`` different code lists drawn from a given set of rows; fewer if it has fewer."""
+    one = rows.where(F.col(codes).isNotNull()).groupBy(F.col(codes).alias("mode")).agg(F.min(key).alias("_k"))
+    return _numbered(sample_rows(one, ["_k"], k, seed), "_k")
+
+
+def seeds_from_partition(df: DataFrame, partition: DataFrame, k: int, key: str, codes: str, seed: int = 1) -> DataFrame:
+    """One row drawn from each of up to ``k`` groups of a partition (``key, cluster``), largest groups first."""
+    size = partition.where("cluster is not null").groupBy("cluster").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "cluster").limit(k)
+    drawn = partition.join(size, "cluster").groupBy("cluster").agg(F.min(F.struct(F.xxhash64(F.col(key), F.lit(seed)), F.col(key).alias("k")))["k"].alias(key))
+    return _numbered(df.join(drawn, key).withColumn("mode", F.col(codes)), key)
+
+
+def seeds_by_frequency(df: DataFrame, k: int, key: str, codes: str) -> DataFrame:
+    """Frequent codes dealt out over ``k`` drafts site by site, each replaced by the row nearest to it.
+
+    Draft ``i`` takes at every site the code of rank ``i`` (round again where a
+    site has fewer codes), so the drafts differ; a draft that is no row's
+    nearest stays as it is.
+    """
+    n = df.select(F.posexplode(codes).alias("site", "code")).where("code is not null").groupBy("site", "code").agg(F.count("*").alias("n"))
+    ranked = n.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", (-F.col("code")).alias("c"))), asc=False), lambda x: -x["c"]).alias("codes"))  # codes of a site
+    draft = ranked.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select("cluster", "site", F.element_at("codes", (F.pmod(F.col("cluster") + F.col("site"), F.size("codes")) + 1).cast("int")).alias("code"))
+    draft = stage(draft.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("site", "code"))), lambda x: x["code"]).alias("mode")), "seeds")
+    near = assign_modes(df, draft, key, codes).groupBy("cluster").agg(F.min(F.struct("distance", F.col(key).alias("k")))["k"].alias(key))
+    rows = df.join(near, key).select("cluster", F.col(codes).alias("_row"))
+    return stage(draft.join(rows, "cluster", "left").select("cluster", F.coalesce("_row", "mode").alias("mode")), "seeds")
+
+
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    return stage(rows.withColumn("cluster", (F.row_number().over(Window.orderBy(order)) - 1).cast("int")).select("cluster", "mode"), "seeds")  # k rows
+
+
+def transfer_modes(x: np.ndarray, label: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """Optimal transfer of single rows between clusters until none lowers the cost: labels and cost.
+
+    The cost of a cluster is the number of its codes that differ from its modes.
+    A row's move changes it by the modal counts with and without the row.
+    Codes are whole numbers from 0; ties keep the row where it is, and no
+    cluster is emptied.
+    """
+    n, sites = x.shape
+    label = label.copy()
+    counts = np.zeros((k, sites, int(x.max(initial=0)) + 1), np.int64)
+    at = np.arange(sites)
+    for i in range(n):
+        counts[label[i], at, x[i]] += 1
+    size = np.bincount(label, minlength=k)
+    quiet, i = 0, 0
+    while quiet < n:
+        a = label[i]
+        if size[a] > 1:
+            top = counts.max(2)
+            own = counts[:, at, x[i]]
+            join = sites - (np.maximum(own + 1, top) - top).sum(1)  # what the row adds to each cluster
+            counts[a, at, x[i]] -= 1
+            leave = sites - (top[a] - counts[a].max(1)).sum()  # what it costs where it is
+            join[a] = leave
+            b = int(join.argmin())
+            if join[b] >= leave:
+                b = a
+            counts[b, at, x[i]] += 1
+            if b != a:
+                size[a] -= 1
+                size[b] += 1
+                label[i], quiet = b, -1
+        quiet += 1
+        i = (i + 1) % n
+    return label, int((size[:, None] - counts.max(2)).sum())
+
+
+def kmodes_transfer(df: DataFrame, k: int, group: list[str], key: str, codes: str) -> DataFrame:
+    """``group, key, cluster, cost``: clusters of each group by optimal transfer, from rows dealt out in order.
+
+    The method is sequential, so one group is one task; groups run in parallel.
+    Rows need equally long codes from 0 on without nulls; others are left out.
+    """
+    ok = df.where(F.col(codes).isNotNull() & ~F.exists(codes, lambda v: v.isNull() | (v < 0)))
+    schema = ", ".join(f"`{c}` {ok.schema[c].dataType.simpleString()}" for c in [*group, key]) + ", cluster int, cost bigint"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key).reset_index(drop=True)
+        m = min(k, len(pdf))
+        label, cost = transfer_modes(np.stack(pdf[codes].to_list()).astype(np.int64), np.arange(len(pdf)) % m, m)
+        return pdf[[*group, key]].assign(cluster=label.astype(np.int32), cost=cost)
+
+    return ok.select(*group, key, codes).groupBy(*group).applyInPandas(run, schema)
+
+
+def estimate_k(df: DataFrame, ks: list[int], key: str, codes: str, seed: int = 1, starts: int = 1) -> pd.DataFrame:
+    """Cost, jump and Krzanowski-Lai statistic of each number of clusters; the greatest of either is the estimate.
+
+    The cost is the least of ``starts`` seedings, with their standard deviation
+    beside it.  The second statistic compares how the cost falls before and
+    after a number, so it needs consecutive numbers and is missing at the ends.
+    """
     p = df.agg(F.max(F.size(codes))).first()[0]
     n = df.count()
     rows, last = [], 0.0
     for k in ks:
-        cost = kmodes(df, k, key, codes, max_iter=None, seed=seed)[2][-1]
+        costs = [kmodes(df, k, key, codes, max_iter=None, seed=seed + i)[2][-1] for i in range(starts)]
+        cost = min(costs)
         d = (max(cost, 1) / (n * p)) ** (-p / 2) if cost else math.inf
-        rows.append((k, cost, d - last))
+        rows.append((k, cost, float(np.std(costs)), d - last))
         last = d
-    return pd.DataFrame(rows, columns=["k", "cost", "jump"])
+    out = pd.DataFrame(rows, columns=["k", "cost", "sd", "jump"])
+    w = dict(zip(out["k"], out["cost"]))
+    fall = {k: (k - 1) ** (2 / p) * w[k - 1] - k ** (2 / p) * w[k] for k in w if k - 1 in w}
+    out["kl"] = [abs(fall[k] / fall[k + 1]) if k in fall and fall.get(k + 1) else math.nan for k in out["k"]]
+    return out
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

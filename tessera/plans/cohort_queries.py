@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tessera.operators import clusters, coverage_tests as T, genotype as G, metrics as M, simulate, truth
+from tessera.operators import clusters, cohort_vcf, coverage_tests as T, genotype as G, metrics as M, simulate, truth
 from tessera.operators.versions import latest
 from tessera.plans.adapters import INFO, PILEUP, duck, spark_sql
 from tessera.plans.dataset_queries import table
@@ -267,6 +267,34 @@ def deblur_sequences(spark, sf):
     return clusters.deblur_samples(d, "sample_id").withColumn("abundance", F.round("abundance", 4))
 
 
+CALLS = "chrom_a position_a chrom_b position_b genotype call_a call_b cov_a cov_b".split()
+
+
+def _cohort(spark, sf, kind):
+    i = info(spark, sf)
+    one = i.groupBy(*SITE, "genotype").agg(F.max(F.struct("genotype_call", "cov_a", "cov_b")).alias("v"))
+    calls = one.select(*SITE, "genotype", F.substring_index("v.genotype_call", "/", 1).alias("call_a"), F.substring_index("v.genotype_call", "/", -1).alias("call_b"), "v.cov_a", "v.cov_b")
+    m = M.snp_metrics(i)
+    m = m.select(*SITE, *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("pp_homo_a", "pp_homo_b", "pp_homeo")])  # so that no digit of the text is a tie
+    bases = lambda s, k: i.select(F.col(f"chrom_{s}").alias("chrom"), (F.col(f"position_{s}") - 1).alias("pos0"), F.substring(F.lit("ACTG"), (1 + (F.col(f"position_{s}") + k) % 4).cast("int"), F.lit(1)).alias("base")).distinct()
+    return cohort_vcf.records(calls, m, bases("a", 0), bases("b", 1), kind, [f"ind{k}" for k in range(5)])
+
+
+def cohort_vcf_a(spark, sf):
+    """Multi-sample records of subgenome A with the posterior of a homologous SNP."""
+    return _cohort(spark, sf, "a")
+
+
+def cohort_vcf_b(spark, sf):
+    """Multi-sample records of subgenome B."""
+    return _cohort(spark, sf, "b")
+
+
+def cohort_vcf_ab(spark, sf):
+    """Multi-sample records of site pairs with the posterior of a homoeologous SNP."""
+    return _cohort(spark, sf, "ab")
+
+
 def _simulated(spark, sf):
     """Five individuals of a genome with one site per order."""
     return simulate.individuals(simulate.genomes(spark, table(spark, sf, "orders").count(), 0.01, 0.01), 5)
@@ -305,7 +333,7 @@ def stream_windowed_counts(spark, sf):
 FUNCTIONS = [het_metric, snp_metrics, snp_metrics_simulation, pooled_metrics, alleles_by_frequency, info_filter, confident_calls, site_coverage, gatk_het, gatk_letters,
              gatk_snp_metrics, truth_left, truth_right, truth_full, precision_recall, pr_curve, average_precision, method_correlation, wilson_interval, haplotype_lrt, haplotype_hypothesis,
              allele_balance, equal_coverage_test, cluster_purity, cluster_contingency, cluster_agreement, cluster_homogeneity, kmodes_update, kmodes_assign,
-             kmodes_cluster, kmodes_converged, stratified_counts, deblur_sequences, simulated_genotypes, simulated_shape, stream_windowed_counts]
+             kmodes_cluster, kmodes_converged, cohort_vcf_a, cohort_vcf_b, cohort_vcf_ab, stratified_counts, deblur_sequences, simulated_genotypes, simulated_shape, stream_windowed_counts]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
 _PP = [f"pp_{a}{b}" for a in range(3) for b in range(3)]
@@ -381,6 +409,21 @@ s as (select position_a, max(g_n) g_n, max(a_n) a_n, max(b_n) b_n,
 select position_a, {v('g_n', 'h')} pp_homeo, {v('a_n', 'a')} pp_homo_a, {v('b_n', 'b')} pp_homo_b from s"""
 
 
+def _cohort_sql(kind: str) -> str:
+    sides = "ab" if kind == "ab" else kind
+    ref = " || ".join(f"substr('ACTG', (1 + (position_a + {0 if s == 'a' else 1}) % 4)::int, 1)" for s in sides)
+    own = "string_split(gc, '/')" if kind == "ab" else f"string_split(string_split(gc, '/')[{1 if kind == 'a' else 2}], '')"
+    depth = " || ':' || ".join(f"v.cov_{s}::bigint" for s in sides)
+    entry, metric = {"a": ("PPHA", "pp_homo_a"), "b": ("PPHA", "pp_homo_b"), "ab": ("PPH0", "pp_homeo")}[kind]
+    text = lambda i: f"coalesce(max(array_to_string(list_transform(own, lambda x: list_position(list_prepend(ref, alts), x) - 1), '/') || ':' || depth) filter (genotype = 'ind{i}'), './.') ind{i}"
+    return _REAL + f""", w as (select position_a, genotype, max(struct_pack(genotype_call := genotype_call, cov_a := cov_a, cov_b := cov_b)) v from i group by 1, 2),
+x as (select *, v.genotype_call gc, {ref} ref, {depth} depth from w), y as (select *, {own} own from x),
+z as (select position_a, list_filter(list_sort(list_distinct(flatten(list(own)))), lambda q: q <> max(ref)) alts from y group by 1)
+select 'chr{"A/chrB" if kind == "ab" else kind.upper()}' chrom, position_a pos, {"position_a pos_b, " if kind == "ab" else ""}max(ref) "ref", case when len(any_value(alts)) > 0 then array_to_string(any_value(alts), ',') else '.' end alt,
+ format('{entry}={{:e}}', max(round({metric}, 4) + 0.0)) info, '{"GT:DPA:DPB" if kind == "ab" else "GT:DP"}' "format", {", ".join(text(i) for i in range(5))}
+from y join z using (position_a) join mt using (position_a) group by position_a"""
+
+
 _T4 = """
 with n as (select sample_id, upper(hash_sequence) c, sum(abundance) n from hash_seqs where abundance is not null group by 1, 2),
 g as (select sample_id, list(n order by n desc) t from n group by 1),
@@ -442,6 +485,7 @@ n as (select cluster_id, site, code, count(*) n from e where code is not null gr
 m as (select cluster_id c, list(code order by site) md from (select * from n qualify row_number() over (partition by cluster_id, site order by n desc, code) = 1) group by 1),
 d as (select obs_id, c, list_sum(list_transform(list_zip(dmat, md), lambda p: (p[1] is distinct from p[2])::int)) d from kmodes_obs cross join m)
 select obs_id, c as cluster, d::int distance from d qualify row_number() over (partition by obs_id order by d, c) = 1""",
+    **{f"cohort_vcf_{k}": _cohort_sql(k) for k in ("a", "b", "ab")},
     "kmodes_converged": "select count(*) n_rows, 0::bigint n_open, true cheaper, true falls from kmodes_obs",
     "stratified_counts": "select run_id, least(count(*), 50)::bigint n_rows from kmodes_obs where run_id is not null group by 1",
     "simulated_shape": "select 'ind' || i genotype, n n_sites, n n_positions, true letters from range(5) r(i), (select count(*) n from orders)",

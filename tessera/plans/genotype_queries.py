@@ -184,7 +184,35 @@ o as (select chrom, pos, "ref", coalesce(nullif(concat_ws(',', case when nuc1 <>
 _SCREEN = """, rf as (select site, min(ref_a) ref_a, min(ref_b) ref_b from p group by 1),
 s as (select *, cov_a < 0.6 * round(avg(cov_a) over (), 6) or cov_b < 0.6 * round(avg(cov_b) over (), 6) low from t3 join ec using (site) join rf using (site))"""
 _ALT = """coalesce(nullif(concat_ws(',', case when nuc1 <> {r} then nuc1 end, case when nuc2 <> {r} and num2 > 0 then nuc2 end), ''), '.')"""
+_GT = """case when nuc1 = "ref" then (case g when 2 then '1/1' when 1 then '0/1' else '0/0' end)
+      when nuc2 = "ref" then (case g when 2 then '0/0' when 1 then '0/1' else '1/1' end)
+      else (case g when 2 then '2/2' when 1 then '1/2' else '1/1' end) end"""
+
+
+def _lines_sql() -> str:
+    profile = {
+        "a": "case g2 " + " ".join(f"when {j} then [lp_0{j}, lp_1{j}, lp_2{j}]" for j in range(3)) + " end",
+        "b": "case g1 " + " ".join(f"when {j} then [lp_{j}0, lp_{j}1, lp_{j}2]" for j in range(3)) + " end",
+    }
+    side = lambda s, g: f"select 'chr{s.upper()}' chrom, site + 1 pos, ref_{s} \"ref\", nuc1, nuc2, num2, {g} g, cov_{s} cov, 1 - case {g} when 0 then p{s}_0 when 1 then p{s}_1 else p{s}_2 end err, {profile[s]} l from called join rf using (site)"
+    return _K + f""", rf as (select site, min(ref_a) ref_a, min(ref_b) ref_b from p group by 1), v as ({side("a", "g1")} union all {side("b", "g2")}),
+o as (select *, {_ALT.format(r='"ref"')} alt, {_GT} gt, floor(cov + 0.5)::int dp, case when err > 0 then least(99, floor(-10 * log10(err))::int) else 99 end gq,
+  array_to_string(list_transform(case when nuc1 <> "ref" and nuc2 = "ref" then list_reverse(l) else l end, lambda x: printf('%.2f', x / {_L10!r})), ',') gl from v)
+select chrom, pos, concat_ws(chr(9), chrom, pos::varchar, '.', "ref", alt, '.', 'PASS', '.', 'GT:DP:GQ:GL', concat_ws(':', gt, dp::varchar, gq::varchar, gl)) line from o"""
+
+
+def _multi_sql() -> str:
+    side = lambda s, g: f"select 'chr{s.upper()}' chrom, site + 1 pos, ref_{s} \"ref\", nuc1, nuc2, num2, {g} g, sample from called join rf using (site, sample)"
+    samples = ", ".join(f"coalesce(max(txt) filter (sample = 's{i}'), './.') s{i}" for i in range(3))
+    return kernel("site, sample", ", 's' || (read_no % 3) as sample") + f""", rf as (select site, sample, min(ref_a) ref_a, min(ref_b) ref_b from p group by 1, 2), v as ({side("a", "g1")} union all {side("b", "g2")}),
+o as (select *, {_ALT.format(r='"ref"')} alt, {_GT} gt from v),
+t as (select *, array_to_string(list_transform(string_split(gt, '/'), lambda i: list_concat(["ref"], string_split(alt, ','))[i::int + 1]), '/') txt from o)
+select chrom, pos, "ref", coalesce(string_agg(distinct alt, ',' order by alt) filter (alt <> '.'), '.') alt, {samples}, count(*) n_called from t group by 1, 2, 3"""
+
+
 ORACLE = {
+    "vcf_lines": _lines_sql(),
+    "multi_sample_vcf": _multi_sql(),
     "vcf_third_allele": _K + _SCREEN + " union all ".join(f"select '{x.upper()}' side, 'chr{x.upper()}' chrom, site + 1 pos, ref_{x} \"ref\", {_ALT.format(r='ref_' + x)} alt, 'al2' as \"filter\" from s where num3 > 0.05 * least(cov_a, cov_b) / 2" for x in "ab"),
     "vcf_low_coverage": _K + _SCREEN + " union all ".join(f"select '{x.upper()}' side, 'chr{x.upper()}' chrom, site + 1 pos, ref_{x} \"ref\", '.' alt, 'c60' as \"filter\" from s where low" for x in "ab"),
     "coverage_screen": _K + _SCREEN + "select site, round(cov_a, 4) cov_a, round(cov_b, 4) cov_b from s where not low",

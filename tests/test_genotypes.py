@@ -187,6 +187,35 @@ def test_clusterings(spark):
         clusters.MAX_MODES = old
 
 
+def test_kmodes_seeds_and_transfer(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 4, (3, 12))
+    rows = [[int(v) if rng.random() > 0.1 else int(rng.integers(0, 4)) for v in centre[i % 3]] for i in range(60)]
+    x = spark.createDataFrame([(i, i % 2, r) for i, r in enumerate(rows)], "k int, g int, x array<int>")
+    part = x.selectExpr("k", "k % 3 as cluster")
+    for seeds in (clusters.seeds_from_set(x, 3, "k", "x"), clusters.seeds_from_partition(x, part, 3, "k", "x"), clusters.seeds_by_frequency(x, 3, "k", "x")):
+        got = seeds.collect()
+        assert sorted(r["cluster"] for r in got) == [0, 1, 2] and all(len(r["mode"]) == 12 for r in got)
+    a, _, costs = clusters.kmodes(x, 3, "k", "x", seeds=clusters.seeds_from_partition(x, part, 3, "k", "x"))
+    assert a.select("cluster").distinct().count() == 3
+    full = np.array(rows)
+    cost = lambda lab: sum(int((full[lab == c][:, s] != np.bincount(full[lab == c][:, s]).argmax()).sum()) for c in np.unique(lab) for s in range(12))
+    lab, total = clusters.transfer_modes(full, np.arange(60) % 4, 4)
+    assert cost(lab) == total <= cost(np.arange(60) % 4)
+    for i in range(60):  # no single move is better
+        for c in range(4):
+            if (lab == lab[i]).sum() > 1:
+                moved = lab.copy()
+                moved[i] = c
+                assert cost(moved) >= total
+    t = clusters.kmodes_transfer(x, 3, ["g"], "k", "x").toPandas()
+    assert len(t) == 60 and t.groupby("g")["cost"].nunique().tolist() == [1, 1]
+    e = clusters.estimate_k(x, [1, 2, 3, 4], "k", "x", starts=2)
+    assert e["cost"].is_monotonic_decreasing and e["kl"].notna().sum() == 2
+
+
 def test_unbalanced_alleles(spark):
     from tessera.operators import coverage_tests
 
