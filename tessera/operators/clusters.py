@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessera.operators.ordering import row_index, sample_rows
-from tessera.storage import small, stage
+from tessera.storage import discard, small, stage
 
 MAX_MODES = 10_000
 
@@ -91,15 +91,18 @@ def kmodes(df: DataFrame, k: int, key: str, codes: str, seeds: DataFrame | None
     if seeds is None:
         s = sample_rows(df.select(key, F.col(codes).alias("mode")), [key], k, seed)
         seeds = s.withColumn("cluster", (F.row_number().over(Window.orderBy(key)) - 1).cast("int")).select("cluster", "mode")  # k rows
-    modes, costs = stage(seeds, "modes"), []
+    modes, costs, a = stage(seeds, "modes"), [], None
     while True:
-        a = stage(assign_modes(df, modes, key, codes), "assigned")
+        before, a = a, stage(assign_modes(df, modes, key, codes), "assigned")
+        if before is not None:
+            discard(before)
         costs.append(int(a.agg(F.sum("distance")).first()[0] or 0))
         if len(costs) > 1 and costs[-1] >= costs[-2]:
             return a, modes, costs
         if max_iter is not None and len(costs) > max_iter:
             raise RuntimeError(f"k-modes: the cost still falls after {max_iter} rounds: {costs}")
-        modes = stage(update_modes(df, a, key, codes), "modes")
+        old, modes = modes, stage(update_modes(df, a, key, codes), "modes")
+        discard(old)
 
 
 def seed_by_distance(df: DataFrame, k: int, key: str, codes: str, seed: int = 1) -> DataFrame:

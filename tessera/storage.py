@@ -48,7 +48,16 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more, such as that of a loop's last round."""
+    path = getattr(df, "_staged", None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
