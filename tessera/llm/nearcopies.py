@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.storage import stage
+from tessera.storage import discard, stage
 
 SLOTS = 1 << 18  # hashed token counts: a fixed size, whatever the collection
 BROADCAST_BYTES = 8 << 20  # most bytes of a side sent to all tasks
@@ -512,6 +512,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stage(both.distinct(), "near-edges")
     label = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "near-labels")
+    last = label
     while True:
         near = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         step = label.join(near, label["node"] == near["a"]).select("node", F.least("root", "m").alias("new"), "root")
@@ -519,7 +520,8 @@ def components(edges: DataFrame) -> DataFrame:
         moved = step.join(hook, "root").select("node", F.least("new", "to").alias("new"), F.col("root").alias("old"))
         jump = moved.select(F.col("node").alias("new"), F.col("new").alias("far"))
         nxt = stage(moved.join(jump, "new", "left").select("node", F.coalesce("far", "new").alias("root"), "old"), "near-labels")
-        label = nxt.select("node", "root")
+        discard(last)
+        last, label = nxt, nxt.select("node", "root")
         if nxt.where("root <> old").isEmpty():
             break
     return label
