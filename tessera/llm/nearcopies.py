@@ -28,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.storage import discard, stage
@@ -35,9 +36,12 @@ from tessera.storage import discard, stage
 SLOTS = 1 << 18  # hashed token counts: a fixed size, whatever the collection
 BROADCAST_BYTES = 8 << 20  # most bytes of a side sent to all tasks
 RARE, FREQUENT, HOT = 0.02, 8.0, 64.0  # class limits in mean counts of a slot
-ROWS = 16_384  # records indexed at a time; row numbers take 16 bits
+ROWS = 65_536  # most records in a block of the index; row numbers take 16 bits
+PORTION = 640 << 10  # packed bytes of sequences whose tokens are made at a time
+PER_BLOCK = 4_000_000  # combinations after which a block of the index is closed
 SPARE = 3  # combinations similar records share beyond the first, for the count filter
-PER_BUCKET = 6_000_000  # combinations one bucket should hold
+PER_BUCKET = 2_000_000  # combinations one bucket should hold
+MEETINGS = 1 << 20  # meetings in posting lists counted at a time
 SIZED_BY = 64  # one record in so many is indexed beforehand to size the buckets
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,17 +177,26 @@ def least_overlap(n: np.ndarray, shortest: np.ndarray, threshold: float) -> np.n
     return np.maximum(np.ceil(threshold / (1 + threshold) * (n + partner) - 1e-9), 1).astype(np.int64)
 
 
-def _uids(values: np.ndarray) -> bytes:
-    """Consecutive ids as runs of (start, length)."""
-    cut = np.flatnonzero(np.diff(values) != 1) + 1
-    starts = np.concatenate([[0], cut])
-    return np.concatenate([values[starts], np.diff(np.append(starts, len(values)))]).astype(np.int64).tobytes()
+def _portions(batches: Iterator[pa.RecordBatch], *cols: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about :data:`PORTION` bytes in the columns, but a record at least."""
+    for b in batches:
+        size = np.cumsum(sum(pc.binary_length(b.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols))
+        cut = np.flatnonzero(np.diff((size - 1) // PORTION)) + 1
+        for x, y in zip([0, *cut], [*cut, b.num_rows]):
+            yield b.slice(x, y - x)
 
 
-def _from_runs(raw: bytes) -> np.ndarray:
-    a = np.frombuffer(raw, np.int64)
-    starts, lens = a[: len(a) // 2], a[len(a) // 2 :]
-    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+def _steps(values: np.ndarray) -> bytes:
+    """Values as runs of equal ones: differences of their values and of their starts."""
+    at = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1])
+    return zlib.compress(np.concatenate([np.diff(values[at], prepend=0), np.diff(at, prepend=0)]).astype(np.int64).tobytes(), 1)
+
+
+def _at(raw: bytes, row: np.ndarray) -> np.ndarray:
+    """Values of some rows of :func:`_steps`."""
+    a = np.frombuffer(zlib.decompress(raw), np.int64)
+    h = len(a) // 2
+    return np.cumsum(a[:h])[np.searchsorted(np.cumsum(a[h:]), row, side="right") - 1]
 
 
 def token_table(uniq: DataFrame, k: int) -> tuple[dict[int, np.ndarray], dict[int, int], dict[int, int]]:
@@ -197,7 +210,7 @@ def token_table(uniq: DataFrame, k: int) -> tuple[dict[int, np.ndarray], dict[in
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         least: dict[int, int] = {}
-        for b in batches:
+        for b in _portions(batches, 2):
             field = b.column(0).to_numpy(zero_copy_only=False)
             h, offs = tokens(*packed_buffer(b.column(2)), k, field)
             n = np.diff(offs)
@@ -231,35 +244,42 @@ def token_table(uniq: DataFrame, k: int) -> tuple[dict[int, np.ndarray], dict[in
     return classes, least, all_
 
 
-def _pack(low: np.ndarray, who: np.ndarray, high_bits: int) -> bytes:
-    """A sorted posting list: how many signatures have each high part, then low parts and row numbers.
+def _squeeze(cols: np.ndarray) -> bytes:
+    """Columns of integers, the first one ascending: its differences, and equal bytes of the numbers side by side."""
+    wide = np.ascontiguousarray(np.concatenate([np.diff(cols[:1], prepend=0), cols[1:]]), "<i8")
+    return zlib.compress(wide.view(np.uint8).reshape(*wide.shape, 8).transpose(0, 2, 1).tobytes(), 1)
 
-    The first byte is the width of the counts.
-    """
-    counts = np.bincount(low >> np.uint32(16), minlength=1 << high_bits)
-    width = 1 if counts.max() < 256 else 4
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes() + low.astype(np.uint16).tobytes() + who.astype(np.uint16).tobytes()
 
+def _expand(raw: bytes, cols: int = 4) -> np.ndarray:
+    wide = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(cols, 8, -1).transpose(0, 2, 1)
+    out = np.ascontiguousarray(wide).view("<i8")[:, :, 0].copy()
+    np.cumsum(out[0], out=out[0])
+    return out
 
-def _unpack(blob: bytes, high_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    at = 1 + (blob[0] << high_bits)
-    counts = np.frombuffer(blob[1:at], f"<u{blob[0]}")
-    m = (len(blob) - at) // 4
-    high = np.repeat(np.arange(1 << high_bits, dtype=np.uint32), counts)
-    body = np.frombuffer(blob[at:], np.uint16)
-    return (high << np.uint32(16)) | body[:m], body[m:]
 
+def _pack(low: np.ndarray, who: np.ndarray, high_bits: int) -> bytes:
+    """A sorted posting list: its length, low parts of the signatures, row numbers and, a bit each, the high parts' steps."""
+    bits = np.zeros((1 << high_bits) + len(low), np.uint8)
+    bits[(low >> np.uint32(16)) + np.arange(len(low))] = 1
+    return len(low).to_bytes(4, "little") + low.astype("<u2").tobytes() + who.astype("<u2").tobytes() + np.packbits(bits).tobytes()
 
-def _candidates(uniq: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Distinct ``a, b`` record pairs (a < b) that share as many combinations as similar ones must.
 
-    With ``c`` common tokens two records share at least ``c`` less the cost of
-    the finer one's cells; the pair's own least overlap less that cost is
-    therefore a lower bound that discards partly overlapping pairs unseen.
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int.from_bytes(blob[:4], "little")
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=4 + 4 * m))) - np.arange(m)
+    return (high.astype(np.uint32) << np.uint32(16)) | np.frombuffer(blob, "<u2", m, 4), np.frombuffer(blob, "<u2", m, 4 + 2 * m)
+
+
+def _index(uniq: DataFrame, k: int, threshold: float) -> tuple[DataFrame, int, dict[int, int]]:
+    """Posting lists ``bucket, blob, runs, sizes``, the number of buckets and the tokens of each field's shortest record.
+
+    ``runs`` are the uids of a block's rows and ``sizes`` their fields and
+    numbers of tokens, both as runs: every bucket gets them, so they must stay
+    small against the postings whatever the number of records and of buckets.
+    Where they would not, ``sizes`` holds those of the postings only.
     """
     classes, least, _ = token_table(uniq, k)
     shared = uniq.sparkSession.sparkContext.broadcast((classes, least))
-    share = threshold / (1 + threshold)
 
     def combined(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         classes, least = shared.value
@@ -275,79 +295,143 @@ def _candidates(uniq: DataFrame, k: int, threshold: float) -> DataFrame:
         budget = np.maximum(least_overlap(n, short, threshold) - 1 - SPARE, 0)
         sig, who = combinations(h, offs, cls, budget + 1)
         sig ^= np.uint64(0x5851F42D4C957F2D) * field[who].astype(np.uint64)
-        return sig, who, n, budget
+        return sig, who, field.astype(np.int64) << 32 | n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(combined(b)[0]) for b in batches)
+        n = sum(len(combined(b)[0]) for b in _portions(batches, 2))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     # the size of the index decides the number of buckets and nothing else, so one record in SIZED_BY tells it well enough
     some = uniq.where(F.pmod(F.xxhash64("uid"), F.lit(SIZED_BY)) == 0).mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-some * SIZED_BY // PER_BUCKET))
-    high_bits = max(4, min(16, int(np.log2(ROWS * 64 / buckets))))
+    # signatures keep 26 to 32 bits: few others collide in a bucket, and the high parts cost a bit or two each
+    high_bits = max(10, min(16, int(np.ceil(np.log2(PER_BLOCK / buckets)))))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                uid = b.column(1).to_numpy(zero_copy_only=False)
-                sig, who, n, budget = combined(b)
-                bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
-                low = (bucket << np.uint64(32)) | ((sig & np.uint64(0xFFFFFFFF)) >> np.uint64(16 - high_bits))
-                order = np.argsort(low)
-                low, who = low[order], who[order]
-                edges = np.searchsorted(low, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-                low = low.astype(np.uint32)
-                full = np.flatnonzero(np.diff(edges))
-                blobs = [_pack(low[x:y], who[x:y], high_bits) for x, y in zip(edges[full], edges[full + 1])]
-                runs, sizes = _uids(uid), np.stack([n, budget]).astype(np.int32).tobytes()
-                m = len(full)
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.array([runs] * m, pa.binary()), pa.array([zlib.compress(sizes, 1)] * m, pa.binary())], names=["bucket", "blob", "runs", "sizes"])
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, who, n, budget = [], [], [], []
-        for blob, runs, sizes in zip(pdf["blob"], pdf["runs"], pdf["sizes"]):
-            low, row = _unpack(blob, high_bits)
-            nb = np.frombuffer(zlib.decompress(sizes), np.int32).reshape(2, -1)
-            sig.append(low), who.append(_from_runs(runs)[row]), n.append(nb[0][row]), budget.append(nb[1][row])
-        sig, who, n, budget = (np.concatenate(v) for v in (sig, who, n, budget))
-        order = np.argsort(sig, kind="stable")
+        held: list[tuple[np.ndarray, ...]] = []  # signatures, rows, sizes, uids
+        rows = total = 0
+
+        def block() -> pa.RecordBatch:
+            sig, who, size, uid = (np.concatenate(v) for v in zip(*held))
+            held.clear()
+            low = ((sig >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)
+            low |= (sig & np.uint64(0xFFFFFFFF)) >> np.uint64(16 - high_bits)
+            del sig
+            order = np.argsort(low)
+            low, who = low[order], who[order]
+            del order
+            edges = np.searchsorted(low, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+            low = low.astype(np.uint32)
+            full = np.flatnonzero(np.diff(edges))
+            m, runs, sizes = len(full), _steps(uid - np.arange(len(uid))), b"\0" + _steps(size)
+            blobs = [_pack(low[x:y], who[x:y], high_bits) for x, y in zip(edges[full], edges[full + 1])]
+            if m * len(sizes) <= 2 * len(low):
+                each = [sizes] * m
+            else:
+                each = [b"\1" + zlib.compress(size[who[x:y]].tobytes(), 1) for x, y in zip(edges[full], edges[full + 1])]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary()), pa.array([runs] * m, pa.binary()), pa.array(each, pa.binary())], names=["bucket", "blob", "runs", "sizes"])
+
+        for whole in _portions(batches, 2):
+            for at in range(0, whole.num_rows, ROWS // 4):
+                b = whole.slice(at, ROWS // 4)
+                sig, who, size = combined(b)
+                if held and (rows + b.num_rows > ROWS or total + len(sig) > PER_BLOCK):
+                    yield block()
+                    rows = total = 0
+                held.append((sig, (who + rows).astype(np.uint16), size, b.column(1).to_numpy(zero_copy_only=False)))
+                rows, total = rows + b.num_rows, total + len(sig)
+        if held:
+            yield block()
+
+    return uniq.mapInArrow(index, "bucket int, blob binary, runs binary, sizes binary"), buckets, least
+
+
+def _candidates(uniq: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Distinct ``a, b`` record pairs (a < b) that share as many combinations as similar ones must.
+
+    With ``c`` common tokens two records share at least ``c`` less the cost of
+    the finer one's cells; the pair's own least overlap less that cost is
+    therefore a lower bound that discards partly overlapping pairs unseen.
+    """
+    blobs, buckets, least = _index(uniq, k, threshold)
+    share = threshold / (1 + threshold)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("blob", "runs", "sizes")))]
+        sig, row = zip(*(_unpack(blob) for blob, _, _ in lists))
+        edges = np.cumsum([0, *map(len, sig)])
+        sig = np.concatenate(sig)
+        order = np.argsort(sig)
         sig = sig[order]
         same = sig[1:] == sig[:-1]
         inside = np.zeros(len(sig), bool)
         inside[1:] |= same
         inside[:-1] |= same
-        keep = order[inside]
-        sig = sig[inside]
-        names, first, who = np.unique(who[keep], return_index=True, return_inverse=True)
-        n, budget = n[keep][first], budget[keep][first]
-        found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        live, d, held, size = np.arange(len(sig)), 1, [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            code, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            both, at = np.unique(np.concatenate([found, code]), return_inverse=True)
-            return both, np.bincount(at, weights=np.concatenate([times, count]), minlength=len(both)).astype(np.int64)
+        keep, sig = order[inside], sig[inside]
+        del order, same
+        if not len(keep):
+            return
+        hit = np.zeros(len(inside), bool)
+        hit[keep] = True
+        uid, size = [], []
+        for (_, runs, sizes), r, x, y in zip(lists, row, edges, edges[1:]):  # only of postings that meet others
+            mine = np.flatnonzero(hit[x:y])
+            if len(mine):
+                r = r[mine]
+                uid.append(_at(runs, r) + r)
+                size.append(_at(sizes[1:], r) if sizes[0] == 0 else np.frombuffer(zlib.decompress(sizes[1:]), np.int64)[mine])
+        del lists, row
+        names, who = np.unique(np.concatenate(uid), return_inverse=True)
+        held_by = np.empty(len(names), np.int64)
+        held_by[who] = np.concatenate(size)
+        who = who[(np.cumsum(hit) - 1)[keep]]
+        del uid, size, hit, keep, inside
+        n, field = held_by & 0xFFFFFFFF, held_by >> 32
+        short = np.array([least[f] for f in field.tolist()])
+        budget = np.maximum(least_overlap(n, short, threshold) - 1 - SPARE, 0)
 
+        def counted() -> pa.RecordBatch:
+            code, times = np.unique(np.concatenate(held), return_counts=True)
+            x, y = code // len(names), code % len(names)
+            ok = (field[x] == field[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
+            x, y, times = x[ok], y[ok], times[ok]
+            need = np.maximum(np.ceil(share * (n[x] + n[y]) - 1e-9) - np.maximum(budget[x], budget[y]), 1)
+            part = (_scramble(names[x].astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cols = np.stack([names[x], names[y] - names[x], times, need.astype(np.int64)])[:, order]
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(edges))
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_squeeze(cols[:, i:j]) for i, j in zip(edges[full], edges[full + 1])], pa.binary())], names=["part", "rows"])
+
+        live, d, held, met = np.arange(len(sig)), 1, [], 0
         while len(live):  # partners at distance d within a posting list
             live = live[live + d < len(sig)]
             live = live[sig[live + d] == sig[live]]
-            x, y = who[live], who[live + d]
-            code = np.minimum(x, y) * np.int64(len(names)) + np.maximum(x, y)
-            held.append(code[x != y])
-            size += len(code)
-            if size > 4_000_000:
-                (found, times), held, size = merged(), [], 0
+            for c in range(0, len(live), MEETINGS):
+                some = live[c : c + MEETINGS]
+                x, y = who[some], who[some + d]
+                held.append((np.minimum(x, y) * np.int64(len(names)) + np.maximum(x, y))[x != y])
+                met += len(some)
+                if met >= MEETINGS:
+                    yield counted()
+                    held, met = [], 0
             d += 1
-        found, times = merged()
-        x, y = found // max(len(names), 1), found % max(len(names), 1)
-        need = np.ceil(share * (n[x] + n[y]) - 1e-9) - np.maximum(budget[x], budget[y])
-        fits = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
-        return pd.DataFrame({"a": names[x], "b": names[y], "s": times.astype(np.int32), "need": np.maximum(need, 1).astype(np.int32)})[fits]
+        if held:
+            yield counted()
 
-    blobs = uniq.mapInArrow(index, "bucket int, blob binary, runs binary, sizes binary")
-    found = blobs.repartition(max(buckets // 4, 8), "bucket").groupBy("bucket").applyInPandas(pairs, "a bigint, b bigint, s int, need int")
-    return found.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("need").alias("need")).where("s >= need").select("a", "b")
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, gap, s, need = np.concatenate([_expand(r) for t in batches for r in t.column("rows").to_pylist()], axis=1)
+        order = np.lexsort((gap, a))
+        a, gap = a[order], gap[order]
+        first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(gap, prepend=-1) != 0))
+        ok = np.add.reduceat(s[order], first) >= need[order][first]
+        a, gap = a[first][ok], gap[first][ok]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(a + gap)], names=["a", "b"])
+
+    # a pair meets in as many buckets as it shares combinations, so pairs travel as packed columns and not as rows
+    parts = max(buckets // 2, 8)
+    found = blobs.repartition(max(buckets // 4, 8), "bucket").groupBy("bucket").applyInArrow(pairs, "part int, rows binary")
+    return found.repartition(max(parts // 4, 8), "part").groupBy("part").applyInArrow(summed, "a bigint, b bigint")
 
 
 def _pieces(buf: np.ndarray, offs: np.ndarray, k: int) -> np.ndarray | None:
@@ -387,7 +471,7 @@ def _verify(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
     """``a, b, similarity`` of candidate pairs carrying their packed sequences ``ka`` and ``kb``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _portions(batches, 2, 3):
             sim = similarities(b.column(2), b.column(3), k)
             ok = np.flatnonzero(sim >= threshold)
             take = pa.array(ok)
@@ -451,8 +535,12 @@ def _spell(raw: np.ndarray) -> np.ndarray:
 
 
 def unique_sequences(df: DataFrame) -> DataFrame:
-    """``field, uid, key, low, high``: one row per distinct sequence (packed), with its least and greatest id."""
+    """``field, uid, key, low, high``: one row per distinct sequence (packed), with its least and greatest id.
+
+    Rows of one length lie together, so that sizes of the index are few runs.
+    """
     g = df.groupBy("field", pack(F.col("seq")).alias("key")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    g = g.sortWithinPartitions("field", F.length("key"), F.expr("substring(key, 1, 1) >= X'10'"))  # an odd number of letters starts with a zero
     return stage(g.select("field", F.monotonically_increasing_id().alias("uid"), "key", "low", "high"), "near-unique")
 
 

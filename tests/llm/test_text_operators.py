@@ -145,6 +145,25 @@ def test_a_shared_adapter_is_no_candidate(spark):
     assert {(i, 10_000 + i) for i in range(60)} <= got and len(got) < 70
 
 
+def test_the_index_does_not_grow_with_records_times_buckets(spark, monkeypatch):
+    """What every bucket gets of every block is small against the postings, and small blocks, buckets and counts lose no pair."""
+    rng = random.Random(4)
+    rows = [(i % 2, i, "".join(rng.choice("ACGT") for _ in range(rng.randint(60, 110)))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "field int, id bigint, seq string").coalesce(1)
+    held, whole = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: held.append(self) or whole(self, *a))
+    monkeypatch.setattr(nearcopies, "PER_BUCKET", 8000)
+    nearcopies._candidates(nearcopies.unique_sequences(df).select("field", "uid", "key"), 11, 0.5)
+    n = held[0].agg(F.sum(F.length("blob")).alias("lists"), F.sum(F.length("runs") + F.length("sizes")).alias("rest")).first()
+    assert n["rest"] < 0.5 * n["lists"]
+    for name, value in (("PER_BUCKET", 100), ("ROWS", 16), ("PER_BLOCK", 500), ("PORTION", 200), ("MEETINGS", 3)):
+        monkeypatch.setattr(nearcopies, name, value, raising=False)
+    seqs = [s for s in _sequences(rng) if len(s) >= 11]
+    got = {(r["id_low"], r["id_high"]) for r in nearcopies.similar_ids(spark.createDataFrame([(0, i, s) for i, s in enumerate(seqs)], "field int, id bigint, seq string")).collect()}
+    cut = [{s[j : j + 11] for j in range(len(s) - 10)} for s in seqs]
+    assert got == {(i, j) for j in range(len(seqs)) for i in range(j) if len(cut[i] & cut[j]) >= 0.5 * len(cut[i] | cut[j])}
+
+
 def test_packing_is_reversible(spark):
     s = ["A", "AC", "ACG", "ACGTNRYKMSWBDHV", "AC-GT", "0", "00", "é", "", "acgt", "V" * 999]
     d = spark.createDataFrame([(x,) for x in s], "s string").select("s", nearcopies.unpack(nearcopies.pack(F.col("s"))).alias("t"), nearcopies.pack(F.col("s")).alias("k"))
