@@ -152,7 +152,7 @@ def test_the_index_does_not_grow_with_records_times_buckets(spark, monkeypatch):
     df = spark.createDataFrame(rows, "field int, id bigint, seq string").coalesce(1)
     held, whole = [], type(df).repartition
     monkeypatch.setattr(type(df), "repartition", lambda self, *a: held.append(self) or whole(self, *a))
-    monkeypatch.setattr(nearcopies, "PER_BUCKET", 8000)
+    monkeypatch.setattr(nearcopies, "PER_BUCKET", 1000)
     nearcopies._candidates(nearcopies.unique_sequences(df).select("field", "uid", "key"), 11, 0.5)
     n = held[0].agg(F.sum(F.length("blob")).alias("lists"), F.sum(F.length("runs") + F.length("sizes")).alias("rest")).first()
     assert n["rest"] < 0.5 * n["lists"]
