@@ -8,21 +8,24 @@ are neighbours like any others.  A record without one is a peak, and following
 the pointers gives the labels.
 
 Neighbour joins: the sites are cut into so many blocks that two records within
-the radius agree in a whole block (pigeonhole over the differing sites).  A
-block with few unknown sites is indexed under all its completions, so unknown
-sites cost no block.  The joins run in three tiers, each for the records the
-one before left without a neighbour:
-
-1. three of the blocks; each record meets the ``COHORT`` densest of its buckets;
-2. all blocks, among the records still without one;
-3. all blocks, against every record that can be denser, in full.
-
-So a record is a peak exactly if no denser record lies within the radius, at
-whatever size; only which of several denser neighbours it points to is
-settled by the first tier that has one.  All choices follow density and the
-records' contents, so neither the files nor the batches nor :data:`CHUNK`
-change a result.  Hot buckets are divided into parts that all meet the
-bucket's densest records.
+a gap agree in a whole block (pigeonhole over the differing sites).  A block
+with few unknown sites is indexed under all its completions, so unknown sites
+cost no block.
+
+1. All records meet in ``near + 1`` blocks, ``near`` being below half the
+   radius; every pair up to ``near`` meets, so a pointer of at most that gap is
+   the nearest.
+2. The records without one (peaks, and those whose nearest is farther) meet
+   every record that can be denser in ``radius + 1`` blocks.
+
+Where unknown sites break the blocks, the first join runs over the whole radius
+and the records concerned are compared with all others.  Buckets are searched
+in full, hot ones by exact division (:class:`_Search`).
+
+So a record is a peak exactly if no denser record lies within the radius, and
+every other record points to its nearest denser one, of several the densest, of
+these the first by a hash of key and codes.  Neither the files nor the batches
+nor :data:`CHUNK` change a result.
 """
 
 from __future__ import annotations
@@ -36,11 +39,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.storage import discard, stage
 
-CHUNK = 8192  # rows of one bucket handled together; no result depends on it
-COHORT = 128  # densest records of a bucket that all its records meet in the first tiers
+CHUNK = 8192  # an eighth of the rows handled together, unless one bucket has more; no result depends on it
+COHORT = 16  # densest records of a group that all its records meet before it is divided; 16 times as many are not divided
 WINDOWS = 5  # windows of sites whose agreement makes the density
 COMPLETIONS = 64  # most completions of a block with unknown sites
-SLOTS = 1 << 18  # least densities of the third tier: a fixed size, whatever the table
+SLOTS = 1 << 18  # least densities of the second join: a fixed size, whatever the table
 BROADCAST_BYTES = 16 << 20  # most bytes of asking records sent to all tasks; beyond it they are shuffled
 APART = 20_000  # records compared with all others at a time, where unknown sites break the blocks
 _R = np.random.default_rng(20_240_601).integers(1, 1 << 63, 1 << 16, dtype=np.uint64) | np.uint64(1)
@@ -63,10 +66,15 @@ class Sites:
         self.planes = max(1, int(high - low).bit_length()) + 1
         self.bytes = -(-sites // 8)
         self.words = -(-self.bytes // 8)
-        self.spared = self.values ** min(unknown, 64) <= COMPLETIONS  # every block of every record can be completed
         self.m = max(1, min(radius + 1, sites))
+        self.unknown = unknown
+        self.spared = self.completes(self.m)
         self.full = sites - 2 * unknown > radius  # any two records share more sites than the radius
 
+    def completes(self, parts: int) -> bool:
+        """Whether every block of every record can be completed and has a known site."""
+        return self.values ** min(self.unknown, 64) <= COMPLETIONS and (not self.unknown or self.unknown < self.sites // parts)
+
     def pack(self, col: pa.Array) -> pa.Array:
         """Lists of codes as fixed-size bytes; absent sites are unknown."""
         lens = np.nan_to_num(col.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -210,35 +218,47 @@ def _densities(points: DataFrame, s: Sites) -> DataFrame:
     return points.join(found, "uid", "left").select("id", "uid", F.coalesce("density", F.lit(0).cast("bigint")).alias("density"), "tie", "codes")
 
 
-def _spread(points: DataFrame, s: Sites, picked: list[int] | None, least: object = None) -> DataFrame:
-    """One row per record and bucket; ``least`` (a broadcast table) keeps records that can be denser than an asking one."""
+def _press(cols: list[np.ndarray]) -> bytes:
+    """Columns of equally many rows as bytes, place by place of their values, compressed; :func:`_open` reads them."""
+    return pa.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in cols), "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, key = s.blocks(s.read(b.column(3)), s.m, picked)
-            if least is not None:
-                ok = b.column(1).to_numpy()[row] >= least.value[key & (SLOTS - 1)]
-                row, key = row[ok], key[ok]
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[b.column(i).take(at) for i in range(4)]], names=["bucket", "uid", "density", "tie", "codes"])
 
-    return points.select("uid", "density", "tie", "codes").mapInArrow(run, f"bucket bigint, {POINT}")
+def _open(raw: bytes, rows: int, types: list[tuple[type, int]]) -> list[np.ndarray]:
+    """The columns of :func:`_press`, each of ``type`` and bytes a row."""
+    data = np.frombuffer(pa.decompress(raw, rows * sum(n for _, n in types), "zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, n in types:
+        out.append(np.ascontiguousarray(data[at : at + rows * n].reshape(n, rows).T).view(kind))
+        at += rows * n
+    return out
 
 
-def _crowded(points: DataFrame, n_points: int, s: Sites, picked: list[int] | None) -> DataFrame | None:
-    """``bucket, parts`` of the buckets beyond :data:`CHUNK` rows, if there are any."""
-    if n_points <= CHUNK:
-        return None
+def _spread(points: DataFrame, s: Sites, parts: int, n: int, least: object = None) -> DataFrame:
+    """Records of every bucket as packed columns, by the ``n`` groups of the buckets; ``least`` (a broadcast table) keeps
+    records that can be denser than an asking one.  A bucket goes by half of its key: two that share it only meet in vain.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, key = s.blocks(s.read(b.column(0)), s.m, picked)
-            key, n = np.unique(key, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["bucket", "n"])
-
-    n = points.select("codes").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = stage(n.where(F.col("n") > CHUNK).select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "peaks-crowded")
-    return None if found.isEmpty() else found
+            raw = s.read(b.column(3))
+            row, key = s.blocks(raw, parts)
+            if least is not None:
+                ok = b.column(1).to_numpy()[row] >= least.value[key & (SLOTS - 1)]
+                row, key = row[ok], key[ok]
+            g = ((key.view(np.uint64) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+            o = np.lexsort((key, g))
+            g, row, key = g[o], row[o], key.view(np.uint64)[o].astype(np.uint32)
+            uid, density, tie = (b.column(i).to_numpy() for i in range(3))
+            asks = b.column(4).to_numpy(zero_copy_only=False).astype(np.uint8)
+            raw = raw.reshape(len(raw), -1)
+            start, size = _groups(g)
+            packed = []
+            for a, k in zip(start, size):
+                at = row[a : a + k]
+                packed.append(_press([key[a : a + k], uid[at], density[at], tie[at], asks[at], raw[at]]))
+            yield pa.RecordBatch.from_arrays([pa.array(g[start]), pa.array(size), pa.array(packed, pa.binary())], names=["g", "size", "packed"])
+
+    return points.select("uid", "density", "tie", "codes", "asks").mapInArrow(run, "g bigint, size bigint, packed binary")
 
 
 FOUND = "uid bigint, gap int, rank bigint, tie bigint, parent bigint"
@@ -267,54 +287,188 @@ def _best(s: Sites, w: np.ndarray, ask: np.ndarray, lead: np.ndarray, order: tup
     return i, j, gap
 
 
-def _cohorts(points: DataFrame, s: Sites, picked: list[int] | None) -> DataFrame:
-    """Pointer candidates from the meeting of each record with the densest records of its buckets."""
-    rows = _spread(points, s, picked)
-    n_points = points.count()
-    crowded = _crowded(points, n_points, s, picked)
-    rows = rows.withColumn("led", F.lit(False))
-    if crowded is None:
-        rows = rows.withColumn("part", F.lit(0))
-    else:
-        rows = rows.join(crowded, "bucket", "left")
-        w = Window.partitionBy("bucket").orderBy(F.desc("density"), "tie", "uid")
-        top = rows.where("parts is not null").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= COHORT).drop("_r", "led")
-        top = top.withColumn("led", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rows = rows.withColumn("part", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"), F.lit(0)))
-        rows = rows.unionByName(top).drop("parts")
+def _groups(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the groups of a sorted column."""
+    start = np.flatnonzero(np.diff(group, prepend=group[0] - 1)) if len(group) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(group)))
 
-    def meet(t: pa.Table) -> pa.Table:
-        bucket, uid, density, tie = (t.column(c).to_numpy() for c in ("bucket", "uid", "density", "tie"))
-        part, led = t.column("part").to_numpy(), t.column("led").to_numpy().astype(bool)
-        o = np.lexsort((uid, tie, -density, ~led, part, bucket))  # led copies first; without them the densest are
-        bucket, part, uid, density, tie, led = (v[o] for v in (bucket, part, uid, density, tie, led))
-        w = s.wide(s.read(t.column("codes"))[o])
-        n = len(uid)
-        start = np.flatnonzero((np.diff(bucket, prepend=0) != 0) | (np.diff(part, prepend=-1) != 0) | (np.arange(n) == 0))
-        first = np.repeat(start, np.diff(np.append(start, n)))
-        rank = np.arange(n) - first
-        copies = np.add.reduceat(led, start) if n else np.zeros(0, np.int64)
-        heads = np.repeat(np.where(copies > 0, copies, COHORT), np.diff(np.append(start, n)))
-        best, gap = np.full(n, -1), np.full(n, s.radius + 1)
-        live = np.arange(n)[~led]
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``start .. start + n - 1`` of every range in turn."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class _Search:
+    """Nearest denser record of the asking rows within their buckets: exact for gaps up to ``near``.
+
+    The rows come densest first, so a row's partners are those before it in its group.  A group too large for all pairs
+    meets its densest rows first; ``x`` differs from the densest, ``h``, in the sites D.  A row that agrees with ``x`` in
+    no site of D is at least as far from ``x`` as ``h`` and no denser, so only rows that have the code of ``x`` (or none)
+    at a site of D can be nearer: the group is divided into one list a site and code, and the lists are groups in turn.
+    A row within ``g`` of ``x`` misses at most ``g`` sites of D, so any ``g + 1`` of them will do: those of the shortest
+    lists.  Groups of records that have little in common are divided by their cheapest blocks instead.
+    """
+
+    def __init__(self, s: Sites, near: int, bucket: np.ndarray, asks: np.ndarray, raw: np.ndarray):
+        self.s, self.near, self.raw, self.n = s, near, raw, len(bucket)
+        self.w = s.wide(raw)
+        self.best = np.full(self.n, (s.radius + 1) * self.n)  # gap * n + row of the best partner
+        group, row, ask, cut = np.unique(bucket, return_inverse=True)[1], np.arange(self.n), asks, np.zeros(self.n, bool)
+        while len(row):
+            group, row, ask, cut = self.round(group, row, ask, cut)
+
+    def meet(self, i: np.ndarray, j: np.ndarray) -> None:
+        d = self.s.differ(self.w, i, j)
+        ok = (d <= self.s.radius) & (i != j)
+        np.minimum.at(self.best, i[ok], d[ok] * self.n + j[ok])
+
+    def whole(self, row: np.ndarray, at: np.ndarray, rank: np.ndarray) -> None:
+        """The rows at ``at`` meet all before them in their groups, in bounded batches."""
+        step, a = np.cumsum(rank[at]), 0
+        while a < len(at):
+            z = max(a + 1, int(np.searchsorted(step, (step[a - 1] if a else 0) + (1 << 19), side="right")))
+            k = rank[at[a:z]]
+            self.meet(np.repeat(row[at[a:z]], k), row[_ranges(at[a:z] - k, k)])
+            a = z
+
+    def round(self, group: np.ndarray, row: np.ndarray, ask: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+        s, n = self.s, self.n
+        o = np.lexsort((row, group))
+        group, row, ask, cut = group[o], row[o], ask[o] & (self.best[row[o]] >= n), cut[o]  # nothing beats a gap of 0
+        start, size = _groups(group)
+        at = np.arange(len(row))
+        last = np.maximum.reduceat(np.where(ask, at, -1), start)
+        keep = at <= np.repeat(last, size)  # rows behind the last asking one lead nobody
+        group, row, ask, cut = group[keep], row[keep], ask[keep], cut[keep]
+        start, size = _groups(group)
+        rank = np.arange(len(row)) - np.repeat(start, size)
+        big = np.repeat(size > 16 * COHORT, size)
+        self.whole(row, np.flatnonzero(ask & ~big), rank)
+        if not big.any():
+            return (row[:0],) * 4
+        group, row, ask, cut, rank = group[big], row[big], ask[big], cut[big], rank[big]
+        start, size = _groups(group)
+        group = np.repeat(np.arange(len(start)), size)
+        first = start[group]
         for r in range(COHORT):
-            live = live[(rank[live] > r) & (heads[live] > r)]
-            if not len(live):
-                break
-            head = first[live] + r
-            up = (density[head] > density[live]) | ((density[head] == density[live]) & ((tie[head] < tie[live]) | ((tie[head] == tie[live]) & (uid[head] < uid[live]))))
-            i, j = live[up], head[up]
-            d = s.differ(w, i, j)
-            near = d < gap[i]
-            best[i[near]], gap[i[near]] = j[near], d[near]
-            live = live[gap[live] > 0]
-        has = np.flatnonzero(best >= 0)
-        to = best[has]
-        return _found(uid[has], gap[has], density[to], tie[to], uid[to])
-
-    n = max(1, -(-n_points * len(picked or range(s.m)) // (4 * CHUNK)))
-    group = F.pmod(F.xxhash64("bucket", "part"), F.lit(n)).alias("g")
-    return rows.groupBy(group).applyInArrow(meet, FOUND)
+            live = np.flatnonzero(ask & (rank > r) & (self.best[row] >= n))
+            self.meet(row[live], row[first[live] + r])
+        ask &= (rank >= COHORT) & (self.best[row] >= n)
+        cost = np.bincount(group, rank * ask, len(start))  # pairs, if all of a group meet
+        out = []
+        gap = np.concatenate([s.differ(self.w, row[a : a + (1 << 19)], row[first[a : a + (1 << 19)]]) for a in range(0, len(row), 1 << 19)])
+        done = np.bincount(group, gap, len(start)) > 2 * s.radius * size if s.full else np.zeros(len(start), bool)
+        if not done.all():
+            got, mine, lone = self.lists(group, row, ask, start, cost, ~done)
+            self.whole(row, lone, rank)
+            out.append((*got, cut[got[-1]]))
+            done = ~mine
+        if done.any():
+            got, mine = self.parts(group, row, ask, cost, done & ~cut[start])
+            base = out[0][0].max(initial=-1) + 1 if out else 0
+            out.append((got[0] + base, got[1], np.ones(len(got[0]), bool)))
+            self.whole(row, np.flatnonzero(ask & (done & ~mine)[group]), rank)
+        group, at, cut = (np.concatenate(v) for v in zip(*[(g[0], g[-2], g[-1]) for g in out]))
+        asks = np.concatenate([out[0][1] if len(g) == 4 else ask[g[1]] for g in out])
+        return group, row[at], asks, cut
+
+    def lists(self, group: np.ndarray, row: np.ndarray, ask: np.ndarray, start: np.ndarray, cost: np.ndarray, able: np.ndarray) -> tuple:
+        """Lists by site and code where they are cheaper: list, asking mark and place of their rows; the groups divided; asking rows that can't be."""
+        s = self.s
+        hx, hk = s.codes(self.raw[row[start]])
+        at, key, open_at, open_key = [], [], [], []
+        k = np.zeros(len(row), np.int64)
+        sound = np.ones(len(row), bool)
+        able_at = np.flatnonzero(able[group])
+        for a in range(0, len(able_at), 1 << 14):
+            e = able_at[a : a + (1 << 14)]
+            x, known = s.codes(self.raw[row[e]])
+            g = group[e]
+            both = known & hk[g]
+            i, site = np.nonzero(both & (x != hx[g]))
+            at.append(e[i]), key.append((g[i] * s.sites + site) * s.values + x[i, site])
+            k[e] = np.bincount(i, minlength=len(e))
+            sound[e] = both.sum(1) > s.radius
+            i, site = np.nonzero(hk[g] & ~known)
+            open_at.append(e[i]), open_key.append(g[i] * s.sites + site)
+        at, key, open_at, open_key = (np.concatenate(v) for v in (at, key, open_at, open_key))
+        lone = ask & ~sound & able[group]  # the densest is no partner of these, so it bounds nothing
+        ask = ask & sound
+        sizes = np.unique(key, return_inverse=True, return_counts=True)
+        opens = np.unique(open_key, return_counts=True)
+        n = sizes[2][sizes[1]]
+        to = np.searchsorted(opens[0], key // s.values)
+        hit = (to < len(opens[0])) & (np.append(opens[0], -1)[to] == key // s.values)
+        n = n + np.where(hit, np.append(opens[1], 0)[to], 0)
+        o = np.flatnonzero(ask[at])
+        o = o[np.lexsort((n[o], at[o]))]
+        first, many = _groups(at[o])
+        nth = np.arange(len(o)) - np.repeat(first, many)
+        picked = np.zeros(len(at), bool)
+        picked[o] = nth <= np.minimum(self.best[row[at[o]]] // self.n, self.near)
+        price = np.bincount(group[at], picked * (n / 2) + 10, len(able)) + np.bincount(group, lone * (np.arange(len(row)) - start[group]), len(able))
+        mine = able & (price < 0.7 * cost)
+        picked &= mine[group[at]]
+        lists = np.unique(key[picked])
+        to = np.searchsorted(lists, key)
+        lead = (to < len(lists)) & (np.append(lists, -1)[to] == key)
+        lo, hi = np.searchsorted(lists, open_key * s.values), np.searchsorted(lists, (open_key + 1) * s.values)
+        more = np.repeat(open_at, hi - lo)
+        got = np.concatenate([to[lead], _ranges(lo, hi - lo)]), np.concatenate([picked[lead], np.zeros(len(more), bool)]), np.concatenate([at[lead], more])
+        return got, mine, np.flatnonzero(lone & mine[group])
+
+    def parts(self, group: np.ndarray, row: np.ndarray, ask: np.ndarray, cost: np.ndarray, able: np.ndarray) -> tuple:
+        """Buckets by the cheapest ``near + 1`` of twice as many blocks where they are cheaper: bucket and place of their rows; the groups divided."""
+        s, m = self.s, 2 * (self.near + 1)
+        none = (np.zeros(0, np.int64),) * 2
+        if not s.completes(m) or not able.any():
+            return none, np.zeros(len(able), bool)
+        mine = np.flatnonzero(able[group])
+        kept, price = [], np.full((m, len(able)), np.inf)
+        for b in range(m):
+            at, key = s.blocks(self.raw[row[mine]], m, [b])
+            at = mine[at]
+            o = np.lexsort((key, group[at]))
+            at, key = at[o], key[o]
+            new = (np.diff(key, prepend=0) != 0) | (np.diff(group[at], prepend=-1) != 0)
+            bucket = np.cumsum(new) - 1
+            size = np.bincount(bucket)[bucket]
+            price[b] = np.bincount(group[at], size / 2 * ask[at] + 5, len(able))
+            kept.append((bucket, at))
+        rank = np.argsort(np.argsort(price, axis=0, kind="stable"), axis=0, kind="stable")
+        use = rank <= self.near
+        cheap = able & (np.where(use, price, 0).sum(0) < 0.7 * cost)
+        out, base = [none], 0
+        for b, (bucket, at) in enumerate(kept):
+            ok = (use[b] & cheap)[group[at]]
+            out.append((bucket[ok] + base, at[ok]))
+            base += bucket.max(initial=-1) + 1
+        return tuple(np.concatenate(v) for v in zip(*out)), cheap
+
+
+def _in_buckets(points: DataFrame, s: Sites, near: int, parts: int, n_points: int, least: object = None) -> DataFrame:
+    """Pointer candidates of the ``points`` that ask from all of their buckets; none up to ``near`` is missed."""
+    types = [(np.uint32, 4), (np.int64, 8), (np.int64, 8), (np.int64, 8), (np.uint8, 1), (np.uint8, s.planes * s.bytes)]
+
+    def meet(t: pa.Table) -> pa.Table:
+        got = [_open(p.as_py(), n.as_py(), types) for n, p in zip(t.column("size"), t.column("packed"))]
+        bucket, uid, density, tie, asks, raw = (np.concatenate(v) for v in zip(*got))
+        del got
+        bucket, uid, density, tie, asks = (v[:, 0] for v in (bucket, uid, density, tie, asks))
+        o = np.lexsort((bucket, uid, tie, -density))
+        o = o[(np.diff(uid[o], prepend=-1) != 0) | (np.diff(bucket[o].astype(np.int64), prepend=-1) != 0)]  # nothing meets itself
+        uid, density, tie = uid[o], density[o], tie[o]
+        best = _Search(s, near, bucket[o], asks[o] > 0, raw[o].reshape(len(o), s.planes, s.bytes)).best
+        has = np.flatnonzero(best < (s.radius + 1) * len(o))
+        to = best[has] % len(o)
+        # a record may be here in several buckets
+        one = np.lexsort((best[has], uid[has]))
+        one = one[np.diff(uid[has][one], prepend=-1) != 0]
+        has, to = has[one], to[one]
+        return _found(uid[has], best[has] // len(o), density[to], tie[to], uid[to])
+
+    n = max(1, -(-n_points * parts // (8 * CHUNK)))
+    return _spread(points, s, parts, n, least).groupBy("g").applyInArrow(meet, FOUND)
 
 
 def _in_place(points: DataFrame, open_: DataFrame, s: Sites) -> DataFrame:
@@ -367,48 +521,8 @@ def _in_full(points: DataFrame, open_: DataFrame, s: Sites) -> DataFrame:
     low = np.full(SLOTS, np.iinfo(np.int64).max)
     low[got.column("slot").to_numpy()] = got.column("low").to_numpy()
     shared = points.sparkSession.sparkContext.broadcast(low)
-    rows = _spread(points, s, None, shared).withColumn("asks", F.lit(False)).unionByName(_spread(open_, s, None).withColumn("asks", F.lit(True)))
-    rows = stage(rows, "peaks-rest")
-    n_rows, hot = rows.count(), None
-    if n_rows > CHUNK:
-        size = rows.groupBy("bucket").agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("l"))
-        hot = stage(size.where((F.col("a") > 0) & (F.greatest("a", "l") > CHUNK)).select("bucket", F.ceil(F.col("a") / CHUNK).cast("int").alias("a"), F.ceil(F.col("l") / CHUNK).cast("int").alias("l")), "peaks-hot")
-    if hot is None or hot.isEmpty():
-        rows = rows.withColumns({"p": F.lit(0), "q": F.lit(0)})
-    else:  # parts of the asking records meet parts of the others, group by group
-        rows = rows.join(hot, "bucket", "left").withColumns({c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1)) for c in "al"})
-        own = F.pmod(F.xxhash64("uid"), F.when(F.col("asks"), F.col("a")).otherwise(F.col("l"))).cast("int")
-        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("l")).otherwise(F.col("a")) - 1)))
-        rows = rows.withColumn("p", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other"))).withColumn("q", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own"))).drop("a", "l", "own", "other")
-
-    def meet(t: pa.Table) -> pa.Table:
-        asks = t.column("asks").to_numpy().astype(bool)
-        o = np.lexsort((asks, *[t.column(c).to_numpy() for c in ("q", "p", "bucket")]))
-        asks = asks[o]
-        bucket, p, q, uid, density, tie = (t.column(c).to_numpy()[o] for c in ("bucket", "p", "q", "uid", "density", "tie"))
-        w = s.wide(s.read(t.column("codes"))[o])
-        new = (np.diff(bucket, prepend=0) != 0) | (np.diff(p, prepend=-1) != 0) | (np.diff(q, prepend=-1) != 0)
-        start = np.flatnonzero(new | (np.arange(len(uid)) == 0))
-        size = np.diff(np.append(start, len(uid)))
-        lead = np.add.reduceat(~asks, start) if len(uid) else size
-        out = []
-        ask = np.flatnonzero(asks)
-        g = np.searchsorted(start, ask, side="right") - 1
-        n = lead[g]
-        step = np.cumsum(n)
-        a = 0
-        while a < len(ask):  # pairs in bounded batches
-            z = max(a + 1, int(np.searchsorted(step, (step[a - 1] if a else 0) + (1 << 21), side="right")))
-            k = n[a:z]
-            at = np.repeat(np.arange(a, z), k)
-            to = np.repeat(start[g[a:z]], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            out.append(_best(s, w, ask, np.arange(len(uid)), (uid, tie, density), at, to))
-            a = z
-        i, j, gap = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        return _found(uid[i], gap, density[j], tie[j], uid[j])
-
-    n = max(1, -(-n_rows // (4 * CHUNK)))
-    return rows.groupBy(F.pmod(F.xxhash64("bucket", "p", "q"), F.lit(n)).alias("g")).applyInArrow(meet, FOUND)
+    marked = points.join(open_.select("uid", F.lit(True).alias("asks")), "uid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    return _in_buckets(marked, s, s.radius, s.m, points.count(), shared)
 
 
 def _with_apart(points: DataFrame, s: Sites) -> list[DataFrame]:
@@ -449,8 +563,8 @@ def _with_apart(points: DataFrame, s: Sites) -> list[DataFrame]:
 
 
 def _nearest(found: DataFrame) -> DataFrame:
-    """``uid, parent``: the nearest of the candidates; ties to the denser."""
-    return stage(found.groupBy("uid").agg(F.min(F.struct("gap", "rank", "tie", "parent")).alias("v")).select("uid", F.col("v.parent").alias("parent")), "peaks-pointers")
+    """The nearest of the candidates of every record; ties to the denser."""
+    return stage(found.groupBy("uid").agg(F.min(F.struct("gap", "rank", "tie", "parent")).alias("v")).select("uid", "v.*"), "peaks-pointers")
 
 
 def _roots(pointers: DataFrame) -> DataFrame:
@@ -492,19 +606,19 @@ def density_peaks(df: DataFrame, key: str, codes: str, radius: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), s.pack(b.column(1))], names=["id", "codes"])
 
     points = src.mapInArrow(pack, f"id {id_type}, codes binary").select("id", F.monotonically_increasing_id().alias("uid"), F.xxhash64("id", "codes").alias("tie"), "codes")
-    points = stage(points, "peaks-packed")
-    _settle(points, s)
-    points = stage(_densities(points, s), "peaks-points")
-    tier = sorted({b * s.m // 3 for b in range(3)})
-    found = _cohorts(points, s, tier)
+    packed = stage(points, "peaks-packed")
+    _settle(packed, s)
+    points = stage(_densities(packed, s), "peaks-points")
+    discard(packed)
+    near = max(0, (radius - 1) // 2) if s.spared else radius
+    found = _in_buckets(points.withColumn("asks", F.lit(True)), s, near, min(near + 1, s.sites) if s.spared else s.m, points.count())
     for extra in _with_apart(points, s):
         found = found.unionByName(extra)
     pointers = _nearest(found)
-    open_ = stage(points.join(pointers, "uid", "left_anti"), "peaks-open")
-    again = _nearest(_cohorts(open_, s, None))
-    pointers = pointers.unionByName(again)
-    open_ = stage(open_.join(again, "uid", "left_anti"), "peaks-open")
-    pointers = pointers.unionByName(_nearest(_in_full(points, open_, s)))
+    if near < radius:
+        sure = pointers.where(F.col("gap") <= near)
+        open_ = stage(points.join(sure, "uid", "left_anti"), "peaks-open")
+        pointers = sure.unionByName(_nearest(_in_full(points, open_, s)))
     roots = _roots(pointers)
     return stage(points.select("id", "uid", "density").join(roots, "uid", "left").select("id", "uid", F.coalesce("root", "uid").alias("root"), "density"), "peaks-members")
 

@@ -411,3 +411,74 @@ def test_records_with_many_unknown_sites_stand_apart(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(rows)), "k bigint, x array<int>")
     got = {r["id"]: r["first_id"] for r in similarity.labels(similarity.density_peaks(df, "k", "x", 3)).collect()}
     assert got == {i: i % 2 for i in range(20)}
+
+
+def _roots_by_hand(spark, df, rows, radius):
+    """Roots by comparing every record with every other: the nearest denser neighbour, ties to the denser, then by the hash."""
+    src = df.select("k", F.col("x").alias("_x"))
+    s = similarity._sites(src, radius)
+    keys = [k for k in sorted(rows)]
+    packed = s.pack(pa.array([rows[k] for k in keys], pa.list_(pa.int32()))).to_pylist()
+    packed = spark.createDataFrame(list(zip(keys, packed)), "k bigint, c binary")
+    tie = {r["k"]: r["t"] for r in packed.select("k", F.xxhash64("k", "c").alias("t")).collect()}
+    density = _peaks_by_hand(rows, radius)
+    parent = {}
+    for i, x in rows.items():
+        mine = (-density[i], tie[i])
+        seen = [(_gap(x, rows[j], radius), -density[j], tie[j], j) for j in rows if (-density[j], tie[j]) < mine]
+        near = min((v for v in seen if v[0] <= radius), default=None)
+        parent[i] = near[3] if near else i
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    return {i: root(i) for i in rows}
+
+
+@pytest.mark.parametrize("kind,sent", [("few unknown", None), ("few unknown", 0), ("chains", None)])
+def test_every_pointer_is_the_nearest_denser_record(spark, monkeypatch, kind, sent):
+    """Where clusters are chains a record goes with its nearest denser neighbour, not with any within the radius."""
+    monkeypatch.setattr(similarity, "COHORT", 2)
+    monkeypatch.setattr(similarity, "CHUNK", 64)
+    if sent is not None:
+        monkeypatch.setattr(similarity, "BROADCAST_BYTES", sent)
+    rng = random.Random(11)
+    rows = [x for _ in range(3) for x in _chains(rng)]
+    if kind == "few unknown":  # the third and later unknown sites of a record get other codes
+        for x in rows:
+            for i in [i for i, v in enumerate(x) if v is None][2:]:
+                x[i] = rng.randrange(4)
+    rows = dict(enumerate(rows))
+    df = spark.createDataFrame(list(rows.items()), "k bigint, x array<int>")
+    got = similarity.density_peaks(df, "k", "x", 6).collect()
+    name = {r["uid"]: r["id"] for r in got}
+    assert {r["id"]: name[r["root"]] for r in got} == _roots_by_hand(spark, df, rows, 6)
+
+
+@pytest.mark.parametrize("clusters,size,edits,radius", [(1, 1500, 5, 10), (150, 10, 3, 8), (2, 600, 9, 6)])
+def test_divided_buckets_miss_no_nearer_record(monkeypatch, clusters, size, edits, radius):
+    """A bucket too large for all pairs is divided by lists or blocks; gaps up to ``near`` equal brute force, at fewer pairs."""
+    monkeypatch.setattr(similarity, "COHORT", 4)
+    rng = np.random.default_rng(clusters)
+    x = np.repeat(rng.integers(0, 4, (clusters, 80)), size, axis=0)
+    n, near = len(x), radius // 2
+    hit = rng.random((n, 80)).argsort(1) < rng.integers(0, edits + 1, n)[:, None]
+    x = np.where(hit, rng.integers(0, 4, (n, 80)), x)
+    gone = rng.random((n, 80)).argsort(1) < rng.choice([0, 0, 0, 1, 3], n)[:, None]
+    order = rng.permutation(n)
+    order = order[np.argsort(hit.sum(1)[order], kind="stable")]  # as densities would
+    x, gone = x[order], gone[order]
+    s = similarity.Sites(80, 0, 3, radius, 3)
+    raw = s.read(s.pack(pa.array([[None if g else int(v) for v, g in zip(*r)] for r in zip(x, gone)], pa.list_(pa.int32()))))
+    pairs = [0]
+    meet = similarity._Search.meet
+    monkeypatch.setattr(similarity._Search, "meet", lambda self, i, j: (pairs.__setitem__(0, pairs[0] + len(i)), meet(self, i, j))[1])
+    best = similarity._Search(s, near, np.zeros(n, np.int64), np.ones(n, bool), raw).best
+    for i in range(1, n):
+        d = ((x[i] != x[:i]) & ~gone[i] & ~gone[:i]).sum(1)
+        j = int(d.argmin())
+        if d[j] <= near:
+            assert best[i] == d[j] * n + j
+        else:
+            assert best[i] // n > near
+    assert edits > radius or pairs[0] < n * n / 4
