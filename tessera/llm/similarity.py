@@ -81,14 +81,21 @@ class Sites:
         flat = col.flatten()
         known = flat.is_valid().to_numpy(zero_copy_only=False)
         vals = np.where(known, flat.fill_null(self.low).to_numpy(zero_copy_only=False).astype(np.int64) - self.low, 0)
-        row = np.repeat(np.arange(len(col)), lens)
-        at = (row, np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens))
+        even = (lens == self.sites).all()
+        if not even:
+            row = np.repeat(np.arange(len(col)), lens)
+            at = (row, np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens))
         out = np.zeros((len(col), self.planes, self.bytes), np.uint8)
         for p in range(self.planes):
-            bits = np.zeros((len(col), self.sites), bool)
-            bits[at] = known if p == self.planes - 1 else (vals >> p) & 1 == 1
+            on = known if p == self.planes - 1 else (vals >> p) & 1 == 1
+            if even:
+                bits = on.reshape(len(col), self.sites)
+            else:
+                bits = np.zeros((len(col), self.sites), bool)
+                bits[at] = on
             out[:, p] = np.packbits(bits, axis=1)
-        return pa.array([r.tobytes() for r in out.reshape(len(col), -1)], pa.binary())
+        offs = np.arange(len(col) + 1, dtype=np.int32) * (self.planes * self.bytes)
+        return pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(offs), pa.py_buffer(out.tobytes())])
 
     def read(self, col: pa.Array) -> np.ndarray:
         """Packed bytes as ``rows, planes, bytes``."""
@@ -459,7 +466,7 @@ def _in_buckets(points: DataFrame, s: Sites, near: int, parts: int, n_points: in
         o = o[(np.diff(uid[o], prepend=-1) != 0) | (np.diff(bucket[o].astype(np.int64), prepend=-1) != 0)]  # nothing meets itself
         uid, density, tie = uid[o], density[o], tie[o]
         best = _Search(s, near, bucket[o], asks[o] > 0, raw[o].reshape(len(o), s.planes, s.bytes)).best
-        has = np.flatnonzero(best < (s.radius + 1) * len(o))
+        has = np.flatnonzero(best < (near + 1) * len(o))  # a farther one is left to the join over the whole radius
         to = best[has] % len(o)
         # a record may be here in several buckets
         one = np.lexsort((best[has], uid[has]))
@@ -616,9 +623,8 @@ def density_peaks(df: DataFrame, key: str, codes: str, radius: int) -> DataFrame
         found = found.unionByName(extra)
     pointers = _nearest(found)
     if near < radius:
-        sure = pointers.where(F.col("gap") <= near)
-        open_ = stage(points.join(sure, "uid", "left_anti"), "peaks-open")
-        pointers = sure.unionByName(_nearest(_in_full(points, open_, s)))
+        open_ = stage(points.join(pointers, "uid", "left_anti"), "peaks-open")
+        pointers = pointers.unionByName(_nearest(_in_full(points, open_, s)))
     roots = _roots(pointers)
     return stage(points.select("id", "uid", "density").join(roots, "uid", "left").select("id", "uid", F.coalesce("root", "uid").alias("root"), "density"), "peaks-members")
 
